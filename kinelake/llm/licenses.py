@@ -119,7 +119,7 @@ class Scanner:
         at = at[self.known[k] == h]
         cuts = np.flatnonzero((np.diff(at, prepend=-9) > 1) | (words.doc[at] != words.doc[np.maximum(at - 1, 0)])) if len(at) else []
         places, matches = defaultdict(list), defaultdict(list)
-        for c, d in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        for c, d in zip(cuts, [*cuts, len(at)][1:], strict=True):
             begin, end = int(at[c]), int(at[d - 1]) + 3
             doc = int(words.doc[begin])
             run = [self.vocabulary.get(words.word(j), -1) for j in range(begin, end)]
