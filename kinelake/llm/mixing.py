@@ -25,7 +25,7 @@ from . import textkit as T
 from .frames import written
 
 LIMIT, LAST = 3, 12
-BLOCK = 20_000
+BLOCK = 2_000
 WEIGHTS = (1.0, 2.0, 3.0)
 _UNIT = "doc_id long, source string, size long, row long, base long, p double, moved double, aim double, done boolean"
 
