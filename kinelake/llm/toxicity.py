@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 
-BOUND, SEGMENT, STEPS = 800, 64, 60
+BOUND, SEGMENT, STEPS = 500, 64, 60
 #: lower edges of the bins of log-odds; bin 0, below the first, says nothing
 EDGES = (1.5, 2.5, 3.5, 5.0)
 TAG_ODDS, SIGNIFICANT = 2.5, 25.0
