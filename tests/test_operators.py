@@ -123,8 +123,8 @@ def test_result_files(spark, tmp_path):
     task = tmp_path / "pick"
     task.mkdir()
     (task / "_result.txt").write_text("Timestamp\n\n0.5")
-    (task / "episode_0001_success.mp4").write_bytes(b"")
-    (task / "episode_0002_failure.mp4").write_bytes(b"")
+    (task / "episode_0001_success.mp4").write_bytes(b"x")
+    (task / "episode_0002_failure.mp4").write_bytes(b"x")
     assert result_layout(spark, str(tmp_path)) == "B"
     got = evaluation.rollup_files(video_names(spark, str(tmp_path)), text_results(spark, str(tmp_path))).first()
     assert (got.task, got.success_rate, got.num_success_rollouts, got.num_rollouts, got.agrees) == ("pick", 0.5, 1, 2, True)
