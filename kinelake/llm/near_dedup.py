@@ -3,7 +3,7 @@
 Two permutations of the 32-bit universe make all signature coordinates: sigma scatters a shingle once, pi is shifted
 circularly by k for coordinate k, so ``h_k(S) = min over s of pi(sigma(s) + k)``. Bands of coordinates select
 candidate pairs, which full shingle sets confirm. Documents with equal sets are one class from the start, so copies
-are never expanded into pairs. In each band bucket every class is first compared with the bucket's leader; then only
+are never expanded into pairs. In each band bucket every class is first compared with the bucket's two leaders; then only
 those pairs of a bucket that are still in different components. A link between two members of one component could
 not change the result, so the components are those of all links found by banding.
 
@@ -128,7 +128,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Keeps pairs whose set sizes allow the similarity."""
+    """Distinct pairs whose set sizes allow the similarity."""
     return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
 
 
@@ -139,27 +139,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signed = written(docs.mapInArrow(_sign(width, bands, rows), _SIGN_SCHEMA))
     whole = signed.filter("set_key is not null")
     classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    members = written(classes.select("rep", "n", F.explode("bands").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    members = written(members.join(shared.select("bucket", "leader"), "bucket"))
-
-    star = written(_near(members.filter("rep <> leader.rep").select(F.col("rep").alias("a"), F.col("leader.rep").alias("b"), F.col("n").alias("na"), F.col("leader.n").alias("nb")), percent))
+    classes = written(classes)
+    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high"), F.count("*").alias("size")).filter("size > 1")
+    members = written(members.join(shared.select("bucket", "low", "high"), "bucket"))
+
+    # every class of a bucket with both of its leaders, the smallest and the largest id
+    ends = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.array("low", "high")).alias("l")).filter("a <> l.rep")
+    star = written(_near(ends.select("a", F.col("l.rep").alias("b"), "na", F.col("l.n").alias("nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb"), percent))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), _SET_SCHEMA).dropDuplicates(["doc_id"]))
     links = written(_confirmed(star, sets, percent))
     parts = components(links)
 
-    owned = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    owned = written(owned)
-    groups = owned.select("bucket", "component").distinct()
-    split = groups.groupBy("bucket").count().filter("count > 1").select("bucket")
-    groups = groups.join(split, "bucket")
-    across = groups.select("bucket", F.col("component").alias("ca")).join(groups.select("bucket", F.col("component").alias("cb")), "bucket").filter("ca < cb")
-    one = owned.select("bucket", F.col("component").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"))
-    two = owned.select("bucket", F.col("component").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    rest = _near(across.join(one, ["bucket", "ca"]).join(two, ["bucket", "cb"]), percent)
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest), sets, percent))
+    # what is left: pairs of a bucket in different components. A pair is made in the first bucket that it shares only,
+    # and needs two shared bands (a pair at the threshold shares 13 of 30 on average, fewer than two in 1 of a million)
+    owned = written(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
+    open_ = written(owned.join(split, "bucket", "left_semi").join(classes.select("rep", "bands"), "rep"))
+    one, two = (open_.select("bucket", *(F.col(c).alias(c + side) for c in ("rep", "n", "component", "bands"))) for side in ("_a", "_b"))
+    common = "array_compact(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)))"
+    rest = one.join(two, "bucket").filter(f"rep_a < rep_b and component_a <> component_b and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {int(percent)} and {common}[0] = bucket and size({common}) >= 2")
+    more = written(_confirmed(written(rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))), sets, percent))
     parts = components(links.unionByName(more))
 
     # from classes back to documents: the class's component, which holds its smallest doc_id
