@@ -2,8 +2,8 @@
 
 Candidates are strings after words that announce a secret. Each is measured by the bytes it adds when it is compressed
 with a dictionary of common identifiers and the text around it: what repeats its surroundings or is put together from
-identifiers costs little, random strings cost nearly their entropy. Those whose added bytes reach ``NOVELTY`` of what
-their alphabet allows are reported as kind "novel". Spans of the three base kinds (assign, access, hex) always stay; a
+identifiers costs little, random strings cost nearly their length. Those whose added bytes reach ``NOVELTY`` of their
+length are reported as kind "novel". Spans of the three base kinds (assign, access, hex) always stay; a
 novel span that overlaps one is not reported again.
 
 Defined cases: null and empty texts have no spans; spans count code points, end exclusive; other columns are ignored.
@@ -11,7 +11,6 @@ Defined cases: null and empty texts have no spans; spans count code points, end
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -51,11 +50,9 @@ def added_bytes(candidate: bytes, around: bytes) -> int:
 
 
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Added bytes over the bytes that a random string of the same alphabet and length would need (at most 1)."""
+    """Added bytes over the candidate's length (at most 1): so short a random string is stored as it is."""
     own = candidate.encode()
-    size = 16 if re.fullmatch(r"[0-9a-fA-F]+", candidate) else 10 if candidate.isdigit() else 64
-    needs = max(1.0, len(own) * math.log2(size) / 8)
-    return min(1.0, added_bytes(own, (before + " " + after).encode("utf-8", "replace")) / needs)
+    return min(1.0, added_bytes(own, (before + " " + after).encode("utf-8", "replace")) / max(1, len(own)))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
