@@ -37,7 +37,7 @@ class EpisodeSource:
         return episode_key(path)
 
     def _text(self) -> DataFrame:
-        rows = self.spark.read.option("wholetext", True).option("pathGlobFilter", self.file_pattern).text(self.folders())
+        rows = self.spark.read.option("pathGlobFilter", self.file_pattern).text(self.folders(), wholetext=True)
         return rows.select(self.key(F.col("_metadata.file_path")).alias("episode"), F.col("_metadata.file_path").alias("path"), "value")
 
     def episodes(self) -> DataFrame:
@@ -61,7 +61,7 @@ class EpisodeSource:
     def metadata(self, path: str | None = None) -> DataFrame:
         """(episode, num_frames) of the metadata file, or built from the documents."""
         if path:
-            whole = self.spark.read.option("wholetext", True).text(path)
+            whole = self.spark.read.text(path, wholetext=True)
             return whole.select(F.explode(F.from_json("value", "map<string,int>")).alias("episode", "num_frames"))
         return self.frame_counts()
 
@@ -127,7 +127,7 @@ def sorted_views(observations: Column) -> Column:
 
 def rank_results(spark: SparkSession, folder: str) -> DataFrame:
     """(task, num_success_rollouts, num_rollouts, success_rate) of all eval_results_*.json."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "eval_results_*.json").text(folder)
+    rows = spark.read.option("pathGlobFilter", "eval_results_*.json").text(folder, wholetext=True)
     return rows.select(F.explode(F.from_json("value", RESULT_DDL)).alias("task", "r")).select("task", "r.*")
 
 
