@@ -3,9 +3,10 @@
 Two permutations of the 32-bit universe make all signature coordinates: sigma scatters a shingle once, pi is shifted
 circularly by k for coordinate k, so ``h_k(S) = min over s of pi(sigma(s) + k)``. Bands of coordinates select
 candidate pairs, which full shingle sets confirm. Documents with equal sets are one class from the start, so copies
-are never expanded into pairs. In each band bucket every class is first compared with the bucket's two leaders; then only
-those pairs of a bucket that are still in different components. A link between two members of one component could
-not change the result, so the components are those of all links found by banding.
+are never expanded into pairs. In each band bucket every class is compared with the bucket's two leaders. Classes of larger
+buckets that are then in different components go an exact way, a prefix filter on their rarest shingles, so that a
+bucket of many documents around one shared passage is not expanded into its pairs. A link between two members of one
+component could not change the result, so the components hold all links found by banding.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component. A repeated
 doc_id is one document whose texts are taken as they come: the rows keep their own sets, and share the id.
@@ -124,7 +125,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+    return both.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select(pairs.columns)
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -132,6 +133,25 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, component_a, component_b) of different components that may be similar enough; loses none.
+
+    Shingles are ordered by how many sets hold them, those of one component only first. Similar sets share a shingle
+    among the first ``n - ceil(n * percent / 100) + 1`` of both, and at the first shared one enough must remain in
+    both to reach the similarity. So passages that very many documents share meet nowhere but where little else is.
+    """
+    held = sets.select("doc_id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    common = held.groupBy("s").agg(F.count("*").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("s", "f")
+    ranked = held.join(common, "s").groupBy("doc_id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "s"))).alias("t"))
+    ranked = ranked.withColumn("own", F.col("n") - F.size("t")).withColumn("use", F.expr(f"n - (n * {int(percent)} + 99) div 100 + 1 - own")).filter("use > 0")
+    firsts = ranked.select("doc_id", "component", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(use as int))")).alias("k", "e"))
+    firsts = written(firsts.select("doc_id", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s")))
+    one, two = (firsts.select("s", *(F.col(c).alias(c + side) for c in ("doc_id", "component", "n", "at"))) for side in ("_a", "_b"))
+    fits = f"(1 + least(n_a - at_a, n_b - at_b)) * {100 + int(percent)} >= (n_a + n_b) * {int(percent)}"
+    pairs = one.join(two, "s").filter(f"doc_id_a < doc_id_b and component_a <> component_b and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {int(percent)} and {fits}")
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "component_a", "component_b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id linked with it, directly or not)
     and kept (doc_id = component_id)."""
@@ -152,20 +172,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = written(_confirmed(star, sets, percent))
     parts = components(links)
 
-    # what is left: pairs of a bucket in different components. A pair is made in the first bucket that it shares only,
-    # and needs two shared bands (a pair at the threshold shares 13 of 30 on average, fewer than two in 1 of a million)
-    owned = written(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
-    open_ = written(owned.join(split, "bucket", "left_semi").join(classes.select("rep", "bands"), "rep"))
-    one, two = (open_.select("bucket", *(F.col(c).alias(c + side) for c in ("rep", "n", "component", "bands"))) for side in ("_a", "_b"))
-    common = "array_compact(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)))"
-    rest = one.join(two, "bucket").filter(f"rep_a < rep_b and component_a <> component_b and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {int(percent)} and {common}[0] = bucket and size({common}) >= 2")
-    more = written(_confirmed(written(rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))), sets, percent))
-    parts = components(links.unionByName(more))
+    # what is left: classes of buckets with over three classes (fewer are complete by now) in several components
+    owned = written(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
+    split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2 and size > 3")
+    open_ = owned.join(split.select("bucket"), "bucket", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
+    rest = written(_prefix_pairs(open_.join(sets, "doc_id"), percent))
+    more = written(_confirmed(rest, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
 
     # from classes back to documents: the class's component, which holds its smallest doc_id
     ids = whole.select("doc_id", "set_key", "n_shingles").join(classes.select("set_key", "rep"), "set_key")
-    ids = ids.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    ids = ids.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    ids = ids.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ids = ids.join(joined, "component", "left").select("doc_id", "n_shingles", F.coalesce("top", "component").alias("component_id"))
     alone = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
