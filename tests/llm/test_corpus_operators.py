@@ -49,6 +49,32 @@ def test_near_duplicates_equal_sql(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in Q.op2_near_dedup(spark, FOLDER).collect()} == sql
 
 
+def test_prefix_pairs_lose_no_link(spark):
+    """Against brute force: sets around one shared passage, copies with few changes, several components."""
+    import random
+
+    from kinelake.llm import near_dedup
+
+    rng, passage, rows = random.Random(5), list(range(40)), []
+    for family in range(12):
+        own = [1000 * (family + 1) + k for k in range(rng.choice([3, 10, 40]))]
+        for k in range(6):
+            kept = [x for x in passage + own if rng.random() > 0.05]
+            rows.append((family * 10 + k, family * 10 + rng.choice([0, k]), sorted({*kept, 10**6 + family * 100 + k})))
+    sets = spark.createDataFrame(rows, "doc_id long, component long, shingles array<long>")
+    for percent in (80, 85):
+        wanted = {
+            (a, b)
+            for a, ca, x in rows
+            for b, cb, y in rows
+            if a < b and ca != cb and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})
+        }
+        pairs = near_dedup._prefix_pairs(sets, percent).select("a", "b")
+        assert wanted and wanted <= {tuple(r) for r in pairs.collect()}
+        assert {tuple(r) for r in near_dedup._confirmed(pairs, sets.select("doc_id", "shingles"), percent).collect()} == wanted
+    assert near_dedup._prefix_pairs(sets.limit(0), 80).count() == 0
+
+
 def test_decontamination_equals_sql_and_blocks(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
