@@ -38,9 +38,9 @@ def canonical(q: Quaternion) -> Quaternion:
     return tuple(c * sign for c in q)
 
 
-def to_rotvec(q: Quaternion) -> Vector:
-    """Rotation vector with an angle of at most pi."""
-    w, x, y, z = canonical(q)
+def to_rotvec(q: Quaternion, own: bool = False) -> Vector:
+    """Rotation vector with an angle of at most pi; ``own`` says that w >= 0 already."""
+    w, x, y, z = q if own else canonical(q)
     n = norm((x, y, z))
     scale = F.when(n < SMALL, F.lit(2.0)).otherwise(2 * F.atan2(n, w) / F.when(n < SMALL, F.lit(1.0)).otherwise(n))
     return x * scale, y * scale, z * scale
@@ -65,13 +65,30 @@ def delta(action: Quaternion, state: Quaternion) -> Vector:
     return to_rotvec(multiply(action, conjugate(state)))
 
 
+def staged(df: DataFrame, name: str, parts: list[Column] | tuple[Column, ...]) -> tuple[DataFrame, Quaternion]:
+    """Adds the parts as scalar columns ``name0``, ``name1``, ... and returns the frame with references to them. Scalars
+    that the next step uses several times stay a projection of their own; an array built here would be merged into each
+    of its uses, and the expression would grow by a factor at every step."""
+    names = [f"{name}{k}" for k in range(len(parts))]
+    return df.withColumns(dict(zip(names, parts, strict=True))), tuple(F.col(n) for n in names)
+
+
 def with_delta(df: DataFrame, action: Vector, state: Vector, out: str = "delta") -> DataFrame:
-    """Adds the delta rotation as an array column, in three projections: each result is used many times by the next, so
-    one nested expression would repeat it and outgrow the size limit of generated code."""
-    take = lambda name, n: tuple(F.col(name)[k] for k in range(n))
-    df = df.withColumns({"_qa": F.array(*from_rotvec(action)), "_qs": F.array(*from_rotvec(state))})
-    df = df.withColumn("_q", F.array(*multiply(take("_qa", 4), conjugate(take("_qs", 4)))))
-    return df.withColumn(out, F.array(*to_rotvec(take("_q", 4)))).drop("_qa", "_qs", "_q")
+    """Adds the delta rotation as an array column, step by step over scalar columns."""
+    kept = df.columns
+    df, qa = staged(df, "_qa", from_rotvec(action))
+    df, qs = staged(df, "_qs", from_rotvec(state))
+    df, q = staged(df, "_q", multiply(qa, conjugate(qs)))
+    df, q = staged(df, "_c", canonical(q))
+    return df.select(*kept, F.array(*to_rotvec(q, own=True)).alias(out))
+
+
+def with_quaternion(df: DataFrame, matrix: list[list[Column]], out: str = "quaternion") -> DataFrame:
+    """Adds the quaternion (w >= 0) of a matrix as an array column, step by step over scalar columns."""
+    kept = df.columns
+    df, m = staged(df, "_m", [c for row in matrix for c in row])
+    df, q = staged(df, "_f", from_matrix([list(m[3 * i : 3 * i + 3]) for i in range(3)], signed=False))
+    return df.select(*kept, F.array(*canonical(q)).alias(out))
 
 
 def to_matrix(q: Quaternion) -> list[list[Column]]:
@@ -83,8 +100,8 @@ def to_matrix(q: Quaternion) -> list[list[Column]]:
     ]
 
 
-def from_matrix(m: list[list[Column]]) -> Quaternion:
-    """Quaternion with w >= 0; of the four forms the one with the largest divisor."""
+def from_matrix(m: list[list[Column]], signed: bool = True) -> Quaternion:
+    """Quaternion, of the four forms the one with the largest divisor; with w >= 0 where ``signed``."""
     t = m[0][0] + m[1][1] + m[2][2]
     zero = F.lit(0.0)
 
@@ -102,7 +119,8 @@ def from_matrix(m: list[list[Column]]) -> Quaternion:
     c = four(1 - m[0][0] + m[1][1] - m[2][2], 2, [m[0][2] - m[2][0], m[0][1] + m[1][0], m[1][2] + m[2][1]])
     d = four(1 - m[0][0] - m[1][1] + m[2][2], 3, [m[1][0] - m[0][1], m[0][2] + m[2][0], m[1][2] + m[2][1]])
     big_a, big_b, big_c = t > 0, (m[0][0] >= m[1][1]) & (m[0][0] >= m[2][2]), m[1][1] >= m[2][2]
-    return canonical(tuple(F.when(big_a, a[k]).when(big_b, b[k]).when(big_c, c[k]).otherwise(d[k]) for k in range(4)))
+    q = tuple(F.when(big_a, a[k]).when(big_b, b[k]).when(big_c, c[k]).otherwise(d[k]) for k in range(4))
+    return canonical(q) if signed else q
 
 
 def any_encoding(array: Column) -> list[list[Column]]:

@@ -126,21 +126,25 @@ def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row; a function of elements would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rms_norm(array: Column, eps: float = 1e-6) -> Column:
     scale = F.sqrt(total(F.transform(array, lambda x: x.cast("double") * x)) / F.size(array) + eps)
-    return F.transform(array, lambda x: x / scale)
+    return let(scale, lambda s: F.transform(array, lambda x: x / s))
 
 
 def layer_norm(array: Column, eps: float = 1e-6) -> Column:
-    mean = total(array) / F.size(array)
-    spread = F.sqrt(total(F.transform(array, lambda x: (x - mean) * (x - mean))) / F.size(array) + eps)
-    return F.transform(array, lambda x: (x - mean) / spread)
+    centred = let(total(array) / F.size(array), lambda mean: F.transform(array, lambda x: x - mean))
+    spread = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + eps)
+    return let(centred, lambda c: let(spread(c), lambda s: F.transform(c, lambda x: x / s)))
 
 
 def softmax(array: Column) -> Column:
-    top = F.array_max(array)
-    powers = F.transform(array, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = let(F.array_max(array), lambda top: F.transform(array, lambda x: F.exp(x.cast("double") - top)))
+    return let(powers, lambda p: let(total(p), lambda z: F.transform(p, lambda x: x / z)))
 
 
 def gelu(x: Column) -> Column:

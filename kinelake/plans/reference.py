@@ -156,12 +156,14 @@ rv AS (SELECT vec_id, unnest(range(3)) AS axis, unnest(list_transform(q[2:4], la
 
 
 def _turns(spark, d):
+    """Delta rotations. The array is never null; explode it by the outer form, since the plain one adds a filter on its
+    size, which is pushed below the projections and unfolds their expressions."""
     return Q.with_delta(_pairs(spark, d).filter("later is not null"), Q.vector(F.col("later"), 10), Q.vector(F.col("e"), 3))
 
 
 @query(f"WITH {_DELTA} SELECT CAST(axis AS INTEGER) AS axis, {r6s('quantile_cont(value, 0.01)')} AS q01, {r6s('quantile_cont(value, 0.99)')} AS q99 FROM rv GROUP BY 1")
 def stats_rotation_delta(spark, d):
-    long = _turns(spark, d).select(F.posexplode("delta").alias("axis", "value"))
+    long = _turns(spark, d).select(F.posexplode_outer("delta").alias("axis", "value"))
     return statistics.quantiles(long, ["axis"]).select("axis", r6(F.col("q01")).alias("q01"), r6(F.col("q99")).alias("q99"))
 
 
@@ -191,7 +193,7 @@ def state_vector_masked(spark, d):
 
 @query(f"WITH {_DELTA} SELECT vec_id, CAST(axis AS INTEGER) AS axis, {r6s('value')} AS rotation FROM rv")
 def action_vector_delta(spark, d):
-    rows = _turns(spark, d).select("vec_id", F.posexplode("delta").alias("axis", "v"))
+    rows = _turns(spark, d).select("vec_id", F.posexplode_outer("delta").alias("axis", "v"))
     return rows.select("vec_id", "axis", r6(F.col("v")).alias("rotation"))
 
 
@@ -211,8 +213,9 @@ def server_roundtrip(spark, d):
 
 @query(f"WITH {VECTORS}, q AS (SELECT vec_id, {_q('e', 4)} AS q FROM vectors), c AS (SELECT vec_id, CASE WHEN q[1] < 0 THEN list_transform(q, lambda x: -x) ELSE q END AS q FROM q) SELECT vec_id, {r6s('q[1]')} AS w, {r6s('q[2]')} AS x, {r6s('q[3]')} AS y, {r6s('q[4]')} AS z FROM c")
 def quaternion_canonical(spark, d):
-    q = Q.from_matrix(Q.to_matrix(Q.from_rotvec(Q.vector(F.col("e"), 3))))
-    return vectors(spark, d).select("vec_id", *(r6(c).alias(n) for c, n in zip(q, "wxyz", strict=True)))
+    rows, q = Q.staged(vectors(spark, d).select("vec_id", "e"), "_q", Q.from_rotvec(Q.vector(F.col("e"), 3)))
+    turned = Q.with_quaternion(rows, Q.to_matrix(q), "q")
+    return turned.select("vec_id", *(r6(F.col("q")[k]).alias(n) for k, n in enumerate("wxyz")))
 
 
 #: fixed values: the world base turned by a quarter about z, and the tool axes (x' = z, y' = -y, z' = x)
