@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import images as I
 from ..functions import random as R
 from ..functions import rotation as Q
 from ..functions import text as X
@@ -275,6 +276,32 @@ def image_nearest_resize(spark, d):
     return vectors(spark, d).select("vec_id", F.posexplode(taken).alias("i", "x")).select("vec_id", "i", r6(F.col("x").cast("double")).alias("v"))
 
 
+def _lerp(n: str, size: int, to: int) -> str:
+    """SQL columns of one axis: lower and upper place and the weight of the upper one."""
+    at = f"greatest((({n}) + 0.5) * ({size} / {to}.0) - 0.5, 0)"
+    return f"CAST(floor({at}) AS INTEGER) AS lo_, least(CAST(floor({at}) AS INTEGER) + 1, {size - 1}) AS hi_, {at} - floor({at}) AS w_"
+
+
+@query(f"""WITH {VECTORS}, l AS (SELECT vec_id, e, unnest(range(60)) AS i FROM vectors),
+g AS (SELECT vec_id, e, i, {_lerp('i // 12', 8, 5).replace('lo_', 't').replace('hi_', 'b').replace('w_', 'v')}, {_lerp('i % 12', 8, 12).replace('lo_', 'l').replace('hi_', 'r').replace('w_', 'u')} FROM l)
+SELECT vec_id, CAST(i AS INTEGER) AS i, {r6s('(e[t * 8 + l + 1] * (1 - u) + e[t * 8 + r + 1] * u) * (1 - v) + (e[b * 8 + l + 1] * (1 - u) + e[b * 8 + r + 1] * u) * v')} AS v FROM g""")
+def image_bilinear_resize(spark, d):
+    rows = vectors(spark, d).select("vec_id", F.posexplode(I.resize_bilinear(F.col("e"), 8, 8, 5, 12)).alias("i", "x"))
+    return rows.select("vec_id", "i", r6(F.col("x")).alias("v"))
+
+
+@query()
+def color_jitter(spark, d):
+    """Brightness, contrast, saturation and hue in a hashed order; elements 0-15, 16-31 and 32-47 are the planes of a
+    4x4 image. The order changes from row to row: tested against plain loops."""
+    k = F.col("vec_id")
+    planes = [F.transform(F.slice("e", 1 + 16 * c, 16), lambda v: F.least(F.greatest((v.cast("double") + 1) / 2, F.lit(0.0)), F.lit(1.0))) for c in range(3)]
+    factors = {n: sampling.jitter(0.8, 1.2, k, n) for n in ("brightness", "contrast", "saturation")} | {"hue": sampling.jitter(-0.1, 0.1, k, "hue")}
+    order = sampling.permute(F.array(*(F.lit(n) for n in range(4))), k)
+    rows = vectors(spark, d).select("vec_id", F.posexplode_outer(I.jitter(I.rgb(*planes), order, factors)).alias("i", "p"))
+    return rows.select("vec_id", "i", *(r6(F.col(f"p.{c}") * 2 - 1).alias(c) for c in "rgb"))
+
+
 @query(f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(64)) AS i, unnest(e) AS v FROM vectors) SELECT vec_id, CAST((i // 16) * 4 + (i % 8) // 2 AS INTEGER) AS patch, CAST((i // 8 % 2) * 2 + i % 2 AS INTEGER) AS place, {r6s('v')} AS v FROM l")
 def patchify(spark, d):
     i = F.col("i")
@@ -359,6 +386,24 @@ def solver_trajectory(spark, d):
     return vectors(spark, d).select("vec_id", r6(schedule.solve(e(0), lambda x, s: x - 0.25, c)).alias("x"))
 
 
+@query()
+def solver_high_order(spark, d):
+    """Order 3 of the solver with corrector; tested against numpy."""
+    c = schedule.solver_coefficients(12, 5.0, order=3)
+    return vectors(spark, d).select("vec_id", r6(schedule.solve(e(0), lambda x, s: x - 0.25, c)).alias("x"))
+
+
+@query()
+def solver_multistep(spark, d):
+    """Predictor-only solver: order 3, and order 2 with added noise (hashed); tested against numpy."""
+    third = schedule.multistep_coefficients(20, 5.0, order=3)
+    noisy = schedule.multistep_coefficients(20, 5.0, "sde-dpmsolver++", middle="heun")
+    flow = lambda x, s: x - 0.25
+    return vectors(spark, d).select(
+        "vec_id", r6(schedule.solve_multistep(e(0), flow, third)).alias("x"), r6(schedule.solve_multistep(e(0), flow, noisy, noise=lambda k: R.normal(F.col("vec_id"), k))).alias("noisy")
+    )
+
+
 @query()
 def solver_coefficients(spark, d):
     rows = schedule.solver_coefficients(10, 5.0)

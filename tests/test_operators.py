@@ -1,5 +1,6 @@
 """Operators against numpy and hand-made fixtures."""
 
+import colorsys
 import json
 import math
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinelake.functions import images as I
 from kinelake.functions import rotation as Q
 from kinelake.functions import text as X
 from kinelake.functions import vectors as V
@@ -66,6 +68,141 @@ def test_solver_equals_loop(spark):
     assert abs(constant - 0.3) < 1e-9
 
 
+@pytest.mark.parametrize("kind", ["bh1", "bh2"])
+@pytest.mark.parametrize("data", [True, False])
+def test_solver_orders_converge(spark, kind, data):
+    """dx/dsigma = x - 0.25 has an exact solution; with noise prediction a constant noise has one."""
+    if not data:
+        c = schedule.solver_coefficients(12, 5.0, kind, 3, data=False, last=0.01)
+        # the noise 0.4 throughout: x / (1 - sigma) grows by 0.4 times the growth of sigma / (1 - sigma)
+        got = one(spark, schedule.solve(F.lit(0.7), lambda x, s: (x - 0.4) / (1 - s), c, data=False).alias("x")).x
+        rate = lambda s: s / (1 - s)
+        expected = 0.99 * (0.7 / (1 - c[0]["sigma"]) + 0.4 * (rate(0.01) - rate(c[0]["sigma"])))
+        assert abs(got - expected) < 1e-8
+        return
+    errors = []
+    for order in (1, 2, 3):
+        c = schedule.solver_coefficients(40, 3.0, kind, order)
+        got = one(spark, schedule.solve(F.lit(0.7), lambda x, s: x - 0.25, c).alias("x")).x
+        errors.append(abs(got - (0.25 + 0.45 * math.exp(-c[0]["sigma"]))))
+    assert errors[0] > errors[1] and max(errors[1:]) < 2e-3
+
+
+def test_solver_closed_form_of_order_two():
+    """b, c, d and e of a middle step against the two equations written out."""
+    for kind in ("bh1", "bh2"):
+        rows = schedule.solver_coefficients(10, 5.0, kind)
+        s = [r["sigma"] for r in rows] + [0.0]
+        lam = [math.log((1 - x) / x) for x in s[:-1]]
+        k = 4
+        h, alpha = lam[k + 1] - lam[k], 1 - s[k + 1]
+        r, phi = (lam[k - 1] - lam[k]) / h, math.expm1(-h)
+        size = -h if kind == "bh1" else phi
+        p1 = phi / -h - 1
+        b1, b2 = p1 / size, 2 * (p1 / -h - 0.5) / size
+        w0 = (b1 - b2) / (1 - r)
+        expected = (-alpha * phi, -alpha * size * 0.5 / r, -alpha * size * w0 / r, -alpha * size * (b1 - w0))
+        assert np.allclose([rows[k][n] for n in "bcde"], expected, atol=1e-12)
+
+
+def _multistep_loop(algorithm, order, middle, steps, last, x, flow, noise):
+    """The published update formulas, step by step."""
+    s = [*schedule.levels(steps, 5.0)[:-1], last]
+    lam = [math.log((1 - v) / v) if v else math.inf for v in s]
+    past = []
+    for k in range(steps):
+        v = flow(x, s[k])
+        past.insert(0, x - s[k] * v if algorithm.endswith("++") else x - (1 - s[k]) * v)
+        own = min(order, k + 1)
+        if k == steps - 1 and (steps < 15 or last == 0):
+            own = 1
+        elif k == steps - 2 and steps < 15:
+            own = min(own, 2)
+        h, at, st, a0, s0 = lam[k + 1] - lam[k], 1 - s[k + 1], s[k + 1], 1 - s[k], s[k]
+        d1 = d2 = 0.0
+        if own > 1:
+            r0 = (lam[k] - lam[k - 1]) / h
+            d1 = (past[0] - past[1]) / r0
+        if own == 3:
+            r1 = (lam[k - 1] - lam[k - 2]) / h
+            d2 = (d1 - (past[1] - past[2]) / r1) / (r0 + r1)
+            d1 = d1 + r0 * d2
+        heun = middle == "heun" or own == 3
+        if algorithm == "dpmsolver++":
+            e = math.exp(-h) - 1
+            x = st / s0 * x - at * e * past[0] + (at * ((e / h + 1) if heun else -0.5 * e) * d1 if own > 1 else 0) - (at * ((e + h) / h**2 - 0.5) * d2 if own > 2 else 0)
+        elif algorithm == "dpmsolver":
+            e = math.exp(h) - 1
+            x = at / a0 * x - st * e * past[0] - st * ((e / h - 1) if heun else 0.5 * e) * d1 - (st * ((e - h) / h**2 - 0.5) * d2 if own > 2 else 0)
+        elif algorithm == "sde-dpmsolver++":
+            e = 1 - math.exp(-2 * h)
+            x = st / s0 * math.exp(-h) * x + at * e * past[0] + (at * ((e / (-2 * h) + 1) if heun else 0.5 * e) * d1 if own > 1 else 0) + st * math.sqrt(e) * noise(k)
+        else:
+            e = math.exp(h) - 1
+            x = at / a0 * x - 2 * st * e * past[0] - st * (2 * (e / h - 1) if heun else e) * d1 + st * math.sqrt(math.exp(2 * h) - 1) * noise(k)
+    return x
+
+
+@pytest.mark.parametrize("algorithm", schedule.ALGORITHMS)
+def test_multistep_equals_loop(spark, algorithm):
+    data, noisy = algorithm.endswith("++"), algorithm.startswith("sde")
+    cases, columns = [], []
+    for order in (1, 2) if noisy else (1, 2, 3):
+        for middle in ("midpoint", "heun"):
+            for steps in (10, 16):
+                last = 0.0 if data else 0.02
+                c = schedule.multistep_coefficients(steps, 5.0, algorithm, order, middle, last)
+                columns.append(schedule.solve_multistep(F.lit(0.7), lambda x, s: x - 0.25, c, data, (lambda k: k * 0.1 - 0.3) if noisy else None).alias(f"x{len(cases)}"))
+                cases.append(_multistep_loop(algorithm, order, middle, steps, last, 0.7, lambda x, s: x - 0.25, lambda k: k * 0.1 - 0.3))
+    got = spark.range(1).select(*columns).first()
+    assert np.allclose(list(got), cases, rtol=1e-9, atol=1e-9)
+
+
+def test_solver_arguments():
+    for bad in (lambda: schedule.multistep_coefficients(5, 5.0, "dpmsolver"), lambda: schedule.multistep_coefficients(5, 5.0, "sde-dpmsolver++", 3), lambda: schedule.solver_coefficients(5, 5.0, data=False)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_color_jitter(spark):
+    rng = np.random.default_rng(5)
+    image = np.vstack([rng.random((15, 3)), [[0.5, 0.5, 0.5]]])
+    f = {"brightness": 1.3, "contrast": 0.7, "saturation": 1.4, "hue": -0.2}
+    grey = lambda p: p @ np.array([0.2989, 0.587, 0.114])
+
+    def change(p, n):
+        if n == 0:
+            return np.clip(p * f["brightness"], 0, 1)
+        if n == 1:
+            return np.clip(p * f["contrast"] + grey(p).mean() * (1 - f["contrast"]), 0, 1)
+        if n == 2:
+            return np.clip(p * f["saturation"] + grey(p)[:, None] * (1 - f["saturation"]), 0, 1)
+        turned = [colorsys.rgb_to_hsv(*q) for q in p]
+        return np.array([colorsys.hsv_to_rgb((h + f["hue"]) % 1, s, v) for h, s, v in turned])
+
+    orders = [[0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2], []]
+    planes = [image[:, c].tolist() for c in range(3)]
+    df = spark.createDataFrame([(k, o, *planes) for k, o in enumerate(orders)], "k int, o array<int>, r array<double>, g array<double>, b array<double>")
+    for row in df.select("k", I.jitter(I.rgb(F.col("r"), F.col("g"), F.col("b")), F.col("o"), {n: F.lit(v) for n, v in f.items()}).alias("p")).collect():
+        expected = image
+        for n in orders[row.k]:
+            expected = change(expected, n)
+        assert np.allclose(np.array([[p.r, p.g, p.b] for p in row.p]), expected, atol=1e-9)
+
+
+def test_bilinear_resize(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],), (None,)], "p array<double>")
+    same, wide, none = df.select(I.resize_bilinear(F.col("p"), 2, 2, 2, 2).alias("s"), I.resize_bilinear(F.col("p"), 2, 2, 2, 4).alias("w")).collect()[0] + (df.select(I.resize_bilinear(F.col("p"), 2, 2, 3, 3).alias("n")).collect()[1].n,)
+    assert same == [0.0, 1.0, 2.0, 3.0] and wide == [0.0, 0.25, 0.75, 1.0, 2.0, 2.25, 2.75, 3.0] and none is None
+
+
+def test_norms(spark):
+    x = np.random.default_rng(7).normal(size=9)
+    row = one(spark, F.array(*map(F.lit, x.tolist())).alias("x"), V.rms_norm(F.array(*map(F.lit, x.tolist()))).alias("rms"), V.layer_norm(F.array(*map(F.lit, x.tolist()))).alias("layer"), V.softmax(F.array(*map(F.lit, x.tolist()))).alias("soft"))
+    assert np.allclose(row.rms, x / np.sqrt((x * x).mean() + 1e-6)) and np.allclose(row.layer, (x - x.mean()) / np.sqrt(x.var() + 1e-6))
+    assert np.allclose(row.soft, np.exp(x) / np.exp(x).sum())
+
+
 def test_ssim(spark):
     rng = np.random.default_rng(2)
     a, b = rng.random(144), rng.random(144)
