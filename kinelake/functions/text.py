@@ -28,15 +28,14 @@ def whitespace_clean(text: Column) -> Column:
 
 def canonicalize(text: Column, keep: str | None = None) -> Column:
     """Underscores become spaces, ASCII punctuation goes (but for the exact token ``keep``), lower case, blanks collapsed."""
-    spaced = F.translate(text, "_", " ")
-
-    def bare(part: Column) -> Column:
-        return F.translate(part, PUNCTUATION.replace("_", ""), "")
-
+    others = PUNCTUATION.replace("_", "")
     if keep:
+        spaced = F.translate(text, "_", " ")
+        bare = lambda part: F.translate(part, others, "")
         quoted = "".join(f"\\x{{{ord(c):X}}}" for c in keep)
         return whitespace_clean(F.lower(F.array_join(F.transform(F.split(spaced, quoted), bare), keep)))
-    return whitespace_clean(F.lower(bare(spaced)))
+    # one pass over the text: the first character has a replacement, the rest have none and go
+    return whitespace_clean(F.lower(F.translate(text, "_" + others, " ")))
 
 
 @F.pandas_udf(StringType())
