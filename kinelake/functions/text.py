@@ -75,19 +75,21 @@ def pad_mask(ids: Column, size: int) -> Column:
 
 
 def format_number(v: Column) -> Column:
-    """nan, 0.000, exponent form for very small or large values, 3 decimals from 1000, else up to 6 without zeros."""
+    """nan, 0.000, exponent form for very small or large values, 3 decimals from 1000, else up to 6 without zeros;
+    NULL stays NULL, here and in the texts of speeds and times below."""
     size = F.abs(v)
     fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v), "0+$", ""), r"\.$", "")
-    return F.when(F.isnan(v), "nan").when(v == 0, "0.000").when((size < 1e-4) | (size > 1e6), F.format_string("%.3e", v)).when(size >= 1000, F.format_string("%.3f", v)).otherwise(fixed)
+    return F.when(v.isNull(), None).when(F.isnan(v), "nan").when(v == 0, "0.000").when((size < 1e-4) | (size > 1e6), F.format_string("%.3e", v)).when(size >= 1000, F.format_string("%.3f", v)).otherwise(fixed)
 
 
 def format_speed(speed: Column, unit: str) -> Column:
-    return F.when(speed >= 1000, F.format_string(f"%.3fk {unit}", speed / 1000)).otherwise(F.format_string(f"%.3f {unit}", speed))
+    return F.when(speed >= 1000, F.format_string(f"%.3fk {unit}", speed / 1000)).when(speed.isNotNull(), F.format_string(f"%.3f {unit}", speed))
 
 
 def format_eta(seconds: Column) -> Column:
     whole = F.floor(seconds)
-    return F.format_string("%02dh %02dm %02ds", F.floor(whole / 3600).cast("long"), F.floor((whole % 3600) / 60).cast("long"), (whole % 60).cast("long"))
+    text = F.format_string("%02dh %02dm %02ds", F.floor(whole / 3600).cast("long"), F.floor((whole % 3600) / 60).cast("long"), (whole % 60).cast("long"))
+    return F.when(seconds.isNotNull(), text)
 
 
 def format_step(step: Column, digits: int) -> Column:

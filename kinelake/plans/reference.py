@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -238,9 +239,14 @@ def pose_accumulate_xyz(spark, d):
     return vectors(spark, d).select("vec_id", r6(1.5 + F.sum(e(7)).over(w)).alias("x"), r6(F.sum(e(13)).over(w)).alias("gripper"))
 
 
-@query()
+_STEP = re.sub(r"\b([ab])\[", lambda m: {"a": "new", "b": "old"}[m[1]] + "[", _MUL)
+
+
+@query(f"""WITH {VECTORS}, q AS (SELECT episode, frame, {_q('e', 11)} AS q FROM vectors), s AS (SELECT episode, list(q ORDER BY frame) AS s FROM q GROUP BY episode),
+p AS (SELECT episode, list_reduce(s, lambda old, new: {_STEP}) AS q FROM s)
+SELECT episode, {r6s('q[1]')} AS w, {r6s('q[2]')} AS x, {r6s('q[3]')} AS y, {r6s('q[4]')} AS z FROM p""")
 def pose_accumulate_rotation(spark, d):
-    """Ordered product of the rotations of an episode (not commutative): no window function in SQL."""
+    """Ordered product of the rotations of an episode (not commutative), folded over the sorted steps."""
     step = F.array(*Q.from_rotvec(Q.vector(F.col("e"), 10)))
     steps = vectors(spark, d).groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("frame", step.alias("q")))).alias("s"))
     q = Q.accumulate(F.transform("s", lambda s: s["q"]), F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0))))
@@ -511,15 +517,23 @@ def rollout_truncate(spark, d):
     return cut.select("episode", "frame", "first_success", (F.col("frame") % 4 == 0).alias("kept"))
 
 
-@query(f"""WITH {FRAMES}, l AS (SELECT episode, frame, (frame - first_value(frame) OVER w) AS ds, (seconds - first_value(seconds) OVER w) AS dt, count(*) OVER w AS n FROM frames WHERE frame > 0 WINDOW w AS (PARTITION BY episode ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-s AS (SELECT episode, frame, CASE WHEN n < 2 OR dt <= 0 THEN 0.0 ELSE ds / dt END AS speed FROM l)
+_SPEED = f"""{FRAMES}, l AS (SELECT episode, frame, (frame - first_value(frame) OVER w) AS ds, (seconds - first_value(seconds) OVER w) AS dt, count(*) OVER w AS n, value FROM frames WHERE frame > 0 WINDOW w AS (PARTITION BY episode ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+s AS (SELECT episode, frame, value, CASE WHEN n < 2 OR dt <= 0 THEN 0.0 ELSE ds / dt END AS speed FROM l)"""
+
+
+@query(f"""WITH {_SPEED}
 SELECT episode, frame, {r6s('speed')} AS speed, CASE WHEN speed > 0 THEN round((200 - frame) / speed, 2) END AS eta FROM s""")
 def speed_eta(spark, d):
     got = evaluation.speed(frames(spark, d), "episode", "frame", "seconds", 200)
     return got.select("episode", "frame", r6(F.col("speed")).alias("speed"), F.round("eta", 2).alias("eta"))
 
 
-@query()
+@query(f"""WITH {_SPEED}, t AS (SELECT *, CAST(floor(CASE WHEN speed > 0 THEN (200 - frame) / speed END) AS BIGINT) AS eta FROM s)
+SELECT episode, lpad(CAST(frame AS VARCHAR), 5, '0') AS step,
+  CASE WHEN speed >= 1000 THEN printf('%.3fk it/s', speed / 1000) ELSE printf('%.3f it/s', speed) END AS speed,
+  printf('%02dh %02dm %02ds', eta // 3600, eta % 3600 // 60, eta % 60) AS eta,
+  CASE WHEN isnan(value) THEN 'nan' WHEN value = 0 THEN '0.000' WHEN abs(value) < 1e-4 OR abs(value) > 1e6 THEN printf('%.3e', value) WHEN abs(value) >= 1000 THEN printf('%.3f', value)
+    ELSE rtrim(rtrim(printf('%.6f', value), '0'), '.') END AS value FROM t""")
 def log_format(spark, d):
     """Log text of speeds, times and values."""
     got = evaluation.speed(frames(spark, d), "episode", "frame", "seconds", 200)

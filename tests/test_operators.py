@@ -196,6 +196,13 @@ def test_bilinear_resize(spark):
     assert same == [0.0, 1.0, 2.0, 3.0] and wide == [0.0, 0.25, 0.75, 1.0, 2.0, 2.25, 2.75, 3.0] and none is None
 
 
+def test_formats_keep_null(spark):
+    """A run without a speed has no remaining time; its text is NULL, not a text of nulls."""
+    none = F.lit(None).cast("double")
+    assert list(one(spark, X.format_eta(none).alias("a"), X.format_speed(none, "it/s").alias("b"), X.format_number(none).alias("c"))) == [None] * 3
+    assert list(one(spark, X.format_eta(F.lit(3725.9)).alias("a"), X.format_speed(F.lit(1500.0), "it/s").alias("b"))) == ["01h 02m 05s", "1.500k it/s"]
+
+
 def test_norms(spark):
     x = np.random.default_rng(7).normal(size=9)
     row = one(spark, F.array(*map(F.lit, x.tolist())).alias("x"), V.rms_norm(F.array(*map(F.lit, x.tolist()))).alias("rms"), V.layer_norm(F.array(*map(F.lit, x.tolist()))).alias("layer"), V.softmax(F.array(*map(F.lit, x.tolist()))).alias("soft"))
