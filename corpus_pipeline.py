@@ -5,6 +5,9 @@
 3. decontamination: documents that hold a benchmark window go;
 4. secrets: secret spans in texts are replaced by marks, n_chars follows; every document stays;
 5. mixing: words that the mix takes of each document, by source weights (rows refer to documents by doc_id).
+
+Null texts count as empty and pass every stage. A near-duplicate is dropped by its doc_id: rows without one stay, and
+repeated rows under the id that is kept stay together. Empty tables give empty tables.
 """
 
 from __future__ import annotations
