@@ -2,17 +2,19 @@
 
 Candidates are strings after words that announce a secret. Each is measured by the bytes it adds when it is compressed
 with a dictionary of common identifiers and the text around it: what repeats its surroundings or is put together from
-identifiers costs little, random strings cost nearly their length. Those whose added bytes reach ``NOVELTY`` of their
-length are reported as kind "novel". Spans of the three base kinds (assign, access, hex) always stay; a
-novel span that overlaps one is not reported again.
+identifiers costs little. Those whose added bytes reach ``NOVELTY`` of what random strings of the same alphabet and
+length cost under the same compressor are reported as kind "novel". Spans of the three base kinds (assign, access, hex)
+always stay; a novel span that overlaps one is not reported again.
 
 Defined cases: null and empty texts have no spans; spans count code points, end exclusive; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +51,33 @@ def added_bytes(candidate: bytes, around: bytes) -> int:
     return len(press.compress(candidate)) - len(press.compress(b""))
 
 
+#: classes of characters that a random string draws from as a whole; any other character is a class of its own
+_CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
+#: random strings that are measured for a cost, and the length from which the cost grows in proportion
+_DRAWS, _LONG = 5, 4096
+
+
+def alphabet(candidate: str) -> str:
+    """The characters of all classes that the candidate has members of."""
+    own = set(candidate)
+    known = "".join(c for c in _CLASSES if own.intersection(c))
+    return known + "".join(sorted(own.difference(known)))
+
+
+@lru_cache(maxsize=1 << 14)
+def random_cost(letters: str, length: int) -> float:
+    """Bytes that random strings of this alphabet and length add, on average over fixed draws: short ones their length,
+    longer ones what their entropy code and its table take."""
+    if length > _LONG:
+        return random_cost(letters, _LONG) * length / _LONG
+    draw = random.Random(length)
+    return sum(added_bytes("".join(draw.choices(letters, k=length)).encode(), b"") for _ in range(_DRAWS)) / _DRAWS
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Added bytes over the candidate's length (at most 1): so short a random string is stored as it is."""
-    own = candidate.encode()
-    return min(1.0, added_bytes(own, (before + " " + after).encode("utf-8", "replace")) / max(1, len(own)))
+    """Added bytes over those of random strings of the same alphabet and length (at most 1)."""
+    added = added_bytes(candidate.encode(), (before + " " + after).encode("utf-8", "replace"))
+    return min(1.0, added / max(1.0, random_cost(alphabet(candidate), len(candidate))))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
