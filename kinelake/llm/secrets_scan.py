@@ -2,7 +2,7 @@
 
 Candidates are strings after words that announce a secret. Each is measured by the bytes it adds when it is compressed
 with a dictionary of common identifiers and the text around it: what repeats its surroundings or is put together from
-identifiers costs little. Those whose added bytes reach ``NOVELTY`` of what random strings of the same alphabet and
+identifiers costs little; copies of the candidate itself are blanked out of the text around it. Those whose added bytes reach ``NOVELTY`` of what random strings of the same alphabet and
 length cost under the same compressor are reported as kind "novel". Spans of the three base kinds (assign, access, hex)
 always stay; a novel span that overlaps one is not reported again.
 
@@ -80,6 +80,13 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return min(1.0, added / max(1.0, random_cost(alphabet(candidate), len(candidate))))
 
 
+def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """The ``AROUND`` characters on both sides of text[a:b], with copies of it (cut ones at the edges too) blanked out."""
+    core = text[a:b].strip("+/_=-") or text[a:b]
+    blank, more = " " * len(core), AROUND + len(core) - 1
+    return text[max(0, a - more) : a].replace(core, blank)[-AROUND:], text[b : b + more].replace(core, blank)[:AROUND]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 12]
     found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
@@ -101,7 +108,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if a < end or not (any(x.isdigit() for x in own) and any(x.isalpha() for x in own)) or any(a < e and s < b for s, e in taken):
                 continue
             end = b
-            if novelty(own, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
+            if novelty(own, *surroundings(text, a, b)) >= NOVELTY:
                 found.append(("novel", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

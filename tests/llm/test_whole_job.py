@@ -28,3 +28,13 @@ def test_long_and_small_alphabet_keys(kind):
 def test_long_names_are_not_novel():
     name = "configuration-service/authorization-handler/connection-factory/v2/default-repository-builder"
     assert secrets_scan.spans(f"the key {name} of it") == []
+
+
+def test_secret_written_twice():
+    key = "Zk9qT3vXw8Lr2MbY7uHdPa4sEe6NcGj1KfQo5RtW"
+    for gap in (1, 40, 490, 500):
+        for second in (key, key + "==", "/" + key):
+            text = f"the bearer {key}{' ' * gap}bearer {second} end"
+            assert [s[0] for s in secrets_scan.spans(text)] == ["novel", "novel"], (gap, second)
+            assert key not in secrets_scan.redact(text, secrets_scan.spans(text))
+    assert secrets_scan.spans("the key " + "configuration-manager-v2-default " * 3) == []
