@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +59,24 @@ def decoded(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(T._U).reshape(-1), dtype=T._U)
 
 
+def _text_keys(text: bytes) -> tuple[str, int, int]:
+    """The same md5, xxhash64 and length as Spark's."""
+    k2 = xxhash.xxh64_intdigest(text, seed=42)
+    return hashlib.md5(text).hexdigest(), k2 - (k2 >> 63 << 64), len(text)
+
+
 def _pack(key, docs: pa.Table, copies: pa.Table) -> pa.Table:
     """One row for a range: its documents in order, without whole copies of earlier texts."""
     own = docs.select(["doc_id", "text"])
     own = own.set_column(1, "text", pc.fill_null(own["text"].cast(pa.large_string()), ""))
     if copies.num_rows:
-        copied = pc.and_(pc.is_in(own["doc_id"], value_set=copies["copy_id"].combine_chunks()), pc.greater_equal(pc.binary_length(own["text"]), LENGTH))
-        own = own.filter(pc.invert(pc.fill_null(copied, False)))
+        # an id may have other texts too: a copy is a row whose id and text both match
+        maybe = pc.and_(pc.is_in(own["doc_id"], value_set=copies["copy_id"].combine_chunks()), pc.greater_equal(pc.binary_length(own["text"]), LENGTH))
+        known = set(zip(*(copies[c].to_pylist() for c in ("copy_id", "k1", "k2", "n_bytes")), strict=True))
+        stays = np.ones(own.num_rows, bool)
+        for k in np.flatnonzero(pc.fill_null(maybe, False).to_numpy()):
+            stays[k] = (own["doc_id"][int(k)].as_py(), *_text_keys(own["text"][int(k)].as_py().encode())) not in known
+        own = own.filter(pa.array(stays))
     own = own.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -238,8 +250,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     keyed = docs.filter(F.octet_length("text") >= LENGTH).select("doc_id", F.md5("text").alias("k1"), F.xxhash64("text").alias("k2"), F.octet_length("text").cast("long").alias("n_bytes"))
     keyed = written(keyed)
     firsts = keyed.groupBy("k1", "k2", "n_bytes").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("c")).filter("c > 1")
-    copies = written(keyed.join(firsts.drop("c"), ["k1", "k2", "n_bytes"]).filter("doc_id > first_id").select(F.col("doc_id").alias("copy_id"), "n_bytes"))
-    copy_ids = copies.select("copy_id").distinct().withColumn("block", range_of("copy_id", bounds))
+    copies = written(keyed.join(firsts.drop("c"), ["k1", "k2", "n_bytes"]).filter("doc_id > first_id").select(F.col("doc_id").alias("copy_id"), "k1", "k2", "n_bytes"))
+    copy_ids = copies.distinct().withColumn("block", range_of("copy_id", bounds))
 
     name = f"suffix_ranges_{uuid.uuid4().hex}"
     packed = docs.withColumn("block", range_of("doc_id", bounds)).groupBy("block").cogroup(copy_ids.groupBy("block")).applyInArrow(_pack_if_any, "block int, payload binary")

@@ -1,10 +1,11 @@
 """Cases where the corpus operators once did less than the whole job."""
 
+import hashlib
 import random
 
 import pytest
 
-from kinelake.llm import secrets_scan
+from kinelake.llm import secrets_scan, substring_dedup
 
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 KEYS = {
@@ -38,3 +39,26 @@ def test_secret_written_twice():
             assert [s[0] for s in secrets_scan.spans(text)] == ["novel", "novel"], (gap, second)
             assert key not in secrets_scan.redact(text, secrets_scan.spans(text))
     assert secrets_scan.spans("the key " + "configuration-manager-v2-default " * 3) == []
+
+
+def cut_by_brute_force(rows):
+    """(doc_id, n_bytes, n_removed, sha256 of what stays) of rows in order of id and text."""
+    seen, want = set(), []
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        want.append((i, len(b), sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_one_id_with_a_copy_and_another_text(spark):
+    one, other = (" ".join(f"{c}{k}é" for k in range(60)) for c in "ab")
+    rows = [(1, one), (2, one), (2, one), (2, other), (3, other[:200]), (4, other), (4, one + other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1 << 22, 500):
+        got = substring_dedup.remove_repeats(d, block_bytes=block).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == cut_by_brute_force(rows)
