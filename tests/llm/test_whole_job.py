@@ -62,3 +62,13 @@ def test_one_id_with_a_copy_and_another_text(spark):
     for block in (1 << 22, 500):
         got = substring_dedup.remove_repeats(d, block_bytes=block).collect()
         assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == cut_by_brute_force(rows)
+
+
+def test_all_parts_of_a_dotted_token():
+    rng = random.Random(4)
+    parts = ["A1" + "".join(rng.choices(BASE64[:62], k=n)) for n in (34, 90, 41)]
+    text = f"Bearer {'.'.join(parts)}. Key facts"
+    assert [text[a:b] for k, a, b in secrets_scan.spans(text) if k == "novel"] == parts
+    short = f"Bearer {'v1.' * 20}{parts[2]} end"
+    assert [short[a:b] for k, a, b in secrets_scan.spans(short)] == [parts[2]]
+    assert secrets_scan.spans("the key responsibilities of it") == []
