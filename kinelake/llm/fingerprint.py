@@ -4,7 +4,8 @@ A fingerprint is a vector of sums: each paragraph (line) adds 4 words of 64 bits
 and 256 lanes modulo 2**16, to which each of its words adds +1 or -1 by the hash of the word with the two before it.
 Sums do not depend on the order of paragraphs, and a paragraph is inserted or deleted by adding or subtracting its own
 vector. The lanes are a linear sketch too: the squared length of a difference estimates how many words differ, so
-``likeness`` is 1 - |a-b|^2 / (|a|^2 + |b|^2), cut to 0..1.
+``likeness`` is 1 - |a-b|^2 / (|a|^2 + |b|^2), cut to 0..1. It takes the sums before they are reduced, so long texts that
+repeat one run of words do not wrap; only the written fingerprint has them modulo 2**16.
 
 Defined cases: null and empty texts have the zero vector, alike to each other (1.0); rows that share a doc_id are
 ordered by text; rows without doc_id come first; with one row the next document is the row itself. Other columns are ignored.
@@ -31,7 +32,7 @@ _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 
 
 class Prints:
-    """Fingerprint vectors of texts: wide (n, 4) and lanes (n, 256)."""
+    """Fingerprint vectors of texts: wide (n, 4) and lanes (n, 256), the latter as full sums."""
 
     def __init__(self, wide: np.ndarray, lanes: np.ndarray):
         self.wide, self.lanes = wide, lanes
@@ -71,7 +72,7 @@ class Prints:
         docs = np.searchsorted(words.offsets, starts, "right") - 1
         for k in range(WIDE):
             np.add.at(wide[:, k], docs, T.mix64(own + _WIDE_SEEDS[k]))
-        return cls(wide, lanes.astype(np.uint16))
+        return cls(wide, lanes.astype(np.int32))  # a text has under 2**31 words
 
     def add(self, other: Prints) -> Prints:
         return Prints(self.wide + other.wide, self.lanes + other.lanes)
@@ -80,15 +81,15 @@ class Prints:
         return Prints(self.wide - other.wide, self.lanes - other.lanes)
 
     def text(self) -> list[str]:
-        return [w.tobytes().hex() + v.tobytes().hex() for w, v in zip(self.wide, self.lanes, strict=True)]
+        return [w.tobytes().hex() + v.tobytes().hex() for w, v in zip(self.wide, self.lanes.astype(np.uint16), strict=True)]
 
     def take(self, rows) -> Prints:
         return Prints(self.wide[rows], self.lanes[rows])
 
 
 def likeness(a: Prints, b: Prints) -> np.ndarray:
-    x, y = a.lanes.view(np.int16).astype(np.float64), b.lanes.view(np.int16).astype(np.float64)
-    gap = (a.lanes - b.lanes).view(np.int16).astype(np.float64)
+    x, y = a.lanes.astype(np.float64), b.lanes.astype(np.float64)
+    gap = x - y
     norm = (x**2).sum(axis=1) + (y**2).sum(axis=1)
     out = np.clip(1 - (gap**2).sum(axis=1) / np.maximum(norm, 1e-9), 0, 1)
     return np.where((a.wide == b.wide).all(axis=1) & (gap == 0).all(axis=1), 1.0, out)

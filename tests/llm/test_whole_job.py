@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from kinelake.llm import secrets_scan, substring_dedup
+from kinelake.llm import fingerprint, secrets_scan, substring_dedup
 
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 KEYS = {
@@ -72,3 +74,14 @@ def test_all_parts_of_a_dotted_token():
     short = f"Bearer {'v1.' * 20}{parts[2]} end"
     assert [short[a:b] for k, a, b in secrets_scan.spans(short)] == [parts[2]]
     assert secrets_scan.spans("the key responsibilities of it") == []
+
+
+def test_likeness_of_long_repetitive_texts():
+    rng = random.Random(3)
+    for n in (40_000, 65_536):
+        text = "ab " * n
+        prints = fingerprint.Prints.of(pa.array([text, fingerprint.edited(text, " ".join(f"w{rng.randrange(10**9)}" for _ in range(n)))]))
+        first, second = prints.take([0]), prints.take([1])
+        assert abs(fingerprint.likeness(first, second)[0] - 0.8) < 0.01 and fingerprint.likeness(first, first)[0] == 1
+        # the written lanes stay 256 numbers of 16 bits
+        assert first.text()[0][64:] == (first.lanes[0] % (1 << 16)).astype(np.uint16).tobytes().hex() and len(first.text()[0]) == 64 + 256 * 4
