@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A fingerprint is a vector of sums: each paragraph (line) adds 4 words of 64 bits modulo 2**64, hashed from its bytes,
-and 256 lanes modulo 2**16, to which each of its words adds +1 or -1 by the hash of the word with the two before it.
+A fingerprint is a vector of sums: each paragraph (line) adds the 4 words of 64 bits of a 256-bit hash (BLAKE2b) of its
+bytes modulo 2**64, and 256 lanes modulo 2**16, to which each of its words adds +1 or -1 by the hash of the word with the two before it.
 Sums do not depend on the order of paragraphs, and a paragraph is inserted or deleted by adding or subtracting its own
 vector. The lanes are a linear sketch too: the squared length of a difference estimates how many words differ, so
 ``likeness`` is 1 - |a-b|^2 / (|a|^2 + |b|^2), cut to 0..1. It takes the sums before they are reduced, so long texts that
@@ -27,7 +27,6 @@ from .frames import id_bounds, range_count, range_of, text_bytes
 LANES, WIDE = 256, 4
 BLOCK = 4 << 20
 _LANE_SEEDS = T.mix64(np.arange(1, LANES // 64 + 1, dtype=T._U))
-_WIDE_SEEDS = T.mix64(np.arange(101, 101 + WIDE, dtype=T._U))
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -68,10 +67,9 @@ class Prints:
         starts, stops = cuts[:-1], cuts[1:]
         keep = words.buf[starts] != 10 if len(starts) else np.zeros(0, bool)
         starts, stops = starts[keep], stops[keep]
-        own = T.range_hash(T.prefix_sums(words.buf), starts, stops)
-        docs = np.searchsorted(words.offsets, starts, "right") - 1
-        for k in range(WIDE):
-            np.add.at(wide[:, k], docs, T.mix64(own + _WIDE_SEEDS[k]))
+        raw = words.buf.tobytes()
+        own = b"".join(hashlib.blake2b(raw[a:b], digest_size=8 * WIDE).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
+        np.add.at(wide, np.searchsorted(words.offsets, starts, "right") - 1, np.frombuffer(own, "<u8").reshape(-1, WIDE))
         return cls(wide, lanes.astype(np.int32))  # a text has under 2**31 words
 
     def add(self, other: Prints) -> Prints:

@@ -4,29 +4,37 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import uuid
+import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: only used where the session names no folder (tests on one machine)
+#: only used where all executors are threads of one process and the session names no folder (tests)
 DEFAULT_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this machine serves
+    a local session; a cluster would not find files there, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = DEFAULT_DIR
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-_written: list[tuple[SparkSession, str]] = []
+#: folders of the written tables that are still there, and those behind a table
+_folders: dict[str, SparkSession] = {}
+_behind: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -34,9 +42,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _folders.items():
         try:
-            _remove(spark, path)
+            remove(spark, path)
         except Exception:  # noqa: BLE001, PERF203 - the session may be gone at exit
             return
 
@@ -46,15 +54,30 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the written table behind ``df`` once nothing reads it any more."""
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/work-" in path:
-            _remove(spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[path], _behind[table] = spark, path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        path = _behind.pop(table, None)
+        if path:
+            remove(_folders.pop(path), path)
+
+
+def placed(docs: DataFrame, file: str = "file_key", at: str = "row_at") -> DataFrame:
+    """The rows with two numbers that tell them apart: the hashed name of the file that a row is read from, and its
+    place there. They are the same at every read; a table that is not read from Parquet files is written first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        found = docs.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(at))
+    except AnalysisException:
+        docs = written(docs)
+        place = docs.metadataColumn("_metadata")
+        found = docs.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(at))
+    return found
 
 
 def id_bounds(docs: DataFrame, parts: int, key: str = "doc_id") -> list[int]:

@@ -92,10 +92,9 @@ class Range:
         table = pa.ipc.open_stream(payload).read_all()
         self.ids = table["doc_id"].combine_chunks()
         self.buf, self.offsets = T.flat(table["text"])
-        self.sums = T.prefix_sums(self.buf)
 
     def prints(self, at: np.ndarray, length: int) -> np.ndarray:
-        return T.range_hash(self.sums, at, at + length)
+        return T.hash_ranges(self.buf, at, at + length)
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions whose window stays inside the document, with 48-bit rank classes."""

@@ -11,11 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -64,25 +63,6 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK) -> Ite
         at = to
 
 
-_kept: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64; kept for slices of usual size only."""
-
-    def table(base: int, size: int) -> np.ndarray:
-        steps = np.full(size, base, _U)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
-
-    usual = CHUNK + 4096
-    if n > usual:
-        return table(_BASE, n), table(_INVERSE, n)
-    if not _kept:
-        _kept.extend([table(_BASE, usual), table(_INVERSE, usual)])
-    return _kept[0][:n], _kept[1][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on 64-bit words."""
     x = x ^ (x >> _U(30))
@@ -93,17 +73,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """P with P[j]-P[i] = sum of (byte+1) * base**-k over i <= k < j, modulo 2**64."""
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * powers(len(buf) + 1)[1][:-1], out=sums[1:])
-    return sums
+#: masks of the bytes of a block that belong to a range, by their number
+_PARTS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: ranges beyond this many bytes are hashed one by one
+LONG = 256
+
 
+def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range; depends on its content and length only.
 
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; depends on its content and length only."""
-    h = (sums[ends] - sums[starts]) * powers(len(sums))[0][starts]
-    return mix64(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    Blocks of eight bytes go through a bijective mixer one after another, so ranges of one length up to eight bytes
+    never collide and no arithmetic structure of a longer one cancels out; long ranges go through xxh3.
+    """
+    size = ends - starts
+    h = mix64((size.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93) + _U(seed))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG)
+    at, left = starts[live], size[live]
+    while len(live):
+        h[live] = mix64((h[live] ^ (blocks[at] & _PARTS[np.minimum(left, 8)])) * _U(0x9E3779B97F4A7C15))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), seed)
+    return h
 
 
 class Words:
@@ -128,8 +122,7 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets, "left")
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.sums = prefix_sums(self.buf) if hashes else None
-        self.hash = range_hash(self.sums, self.starts, self.ends) if hashes else None
+        self.hash = hash_ranges(self.buf, self.starts, self.ends) if hashes else None
 
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
@@ -151,7 +144,7 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     """The same hashes as ``Words.hash`` for single words (each a non-empty byte string)."""
     joined = pa.array([t.decode("utf-8", "surrogateescape") if isinstance(t, bytes) else t for t in tokens], pa.string())
     buf, offsets = flat(joined)
-    return range_hash(prefix_sums(buf), offsets[:-1], offsets[1:])
+    return hash_ranges(buf, offsets[:-1], offsets[1:])
 
 
 def sequence_hash(tokens: list[bytes]) -> int:

@@ -103,7 +103,7 @@ def features(words: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield np.arange(len(words.starts)), words.hash
     for size in STEMS:
         at = np.flatnonzero(words.ends - words.starts > size)
-        yield at, T.range_hash(words.sums, words.starts[at], words.starts[at] + size) ^ T._U(size)
+        yield at, T.hash_ranges(words.buf, words.starts[at], words.starts[at] + size, size)
 
 
 def copy_groups(words: T.Words) -> np.ndarray:
