@@ -7,40 +7,38 @@ documents), so both totals stay exact until fewer documents than constraints + 1
 a source dealt by hash; the few undecided documents of all blocks fly again, level by level, and the last ones land
 with ``LAST`` short ones by the choice nearest to the words still due.
 
+Sources are few as a rule, and their targets are found on the driver; with more than ``MANY`` of them that is done on
+tables instead, with the same result. Repeated rows (same source, doc_id and size) are counted first and then numbered,
+so a third of the table under one id neither meets in one task nor in one block.
+
 Defined cases: a null text has size 0; a null source is a source, last in order; an empty source has target 0; repeated
-rows are documents of their own. Random choices are hashes of the row and the seed, so reruns agree. Other columns are ignored.
+rows are documents of their own. Random choices are hashes of the row, its number among equal rows and the seed, so
+reruns agree. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textkit as T
-from .frames import written
+from .frames import release, written
 
 LIMIT, LAST = 3, 12
 BLOCK = 2_000
 WEIGHTS = (1.0, 2.0, 3.0)
-_UNIT = "doc_id long, source string, size long, row long, base long, p double, moved double, aim double, done boolean"
+MANY = 100_000
+_WORD = r"[^\x20\x09-\x0D]+"
+_UNIT = "doc_id long, source string, size long, copy long, source_size long, target double, base long, p double, done boolean, blocks int, block long"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of blank-separated words of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in T.pieces(batch):
-                words = T.Words(piece.column(2), T.BLANK_WORDS, lower=False, hashes=False)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(words.counts, pa.int64())], names=["doc_id", "source", "size"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long")
+    """source, doc_id, size (blank-separated words of the text) and the number of such rows."""
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
+    return rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
 
 
 def targets(source_sizes: list[tuple[str | None, int]], weights=WEIGHTS, limit: int = LIMIT) -> dict[str | None, float]:
@@ -60,6 +58,32 @@ def targets(source_sizes: list[tuple[str | None, int]], weights=WEIGHTS, limit:
     return out
 
 
+def targets_of_many(by: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """``targets`` on tables: (source, source_size) gets its target. One number for each range of sources, and three for
+    each round of sharing the excess, reach the driver."""
+    spark = by.sparkSession
+    ranged = by.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    ranged = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()))
+    counts = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.min("k"), F.count("*")).collect())
+    starts = spark.createDataFrame([(p, first, sum(c for q, _, c in counts if q < p)) for p, first, c in counts], "part int, first long, before long")
+    place = (F.col("k") - F.col("first") + F.col("before")) % len(weights)
+    rows = ranged.join(F.broadcast(starts), "part")  # one row for each range
+    rows = written(rows.select("source", "source_size", F.get(F.array(*(F.lit(float(w)) for w in weights)), place.cast("int")).alias("w"), F.lit(None).cast("double").alias("target")))
+    total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        w = rows.filter("target is null").agg(F.sum("w")).first()[0]
+        if not w:
+            return rows.select("source", "source_size", "target")
+        due = F.col("w") * F.lit(total / w)
+        over = F.col("target").isNull() & (due > limit * F.col("source_size"))
+        taken = rows.filter(over).agg(F.sum("source_size")).first()[0]
+        if taken is None:
+            return rows.select("source", "source_size", F.coalesce("target", due).alias("target"))
+        total -= limit * float(taken)
+        before, rows = rows, written(rows.withColumn("target", F.when(over, limit * F.col("source_size").cast("double")).otherwise(F.col("target"))))
+        release(before)
+
+
 def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Moves p to 0 or 1 keeping sum(p) and sum(p * size), until at most two entries are between."""
     p = p.copy()
@@ -96,7 +120,7 @@ def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 def _fly(land: bool):
     def run(key, table):
         """One block of a source, long documents first, so that short ones are left undecided; land: decides those too."""
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("copy", "ascending")])
         size, p = table["size"].to_numpy().astype(np.float64), table["p"].to_numpy().copy()
         fly = max(0, len(p) - LAST) if land else len(p)
         p[:fly] = flight(size[:fly], p[:fly])
@@ -112,42 +136,40 @@ def _fly(land: bool):
     return run
 
 
-def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, limit: int = LIMIT, block: int = BLOCK, max_sources: int = 1_000_000) -> DataFrame:
+def _dealt(seed: int, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "copy"), F.greatest(blocks, F.lit(1)))
+
+
+def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, limit: int = LIMIT, block: int = BLOCK, many: int = MANY) -> DataFrame:
     """doc_id, source, size, source_size, target (of its source) and taken (words, repeats counted) for each row."""
     spark = docs.sparkSession
     rows = written(sizes(docs))
-    # one row for each source reaches the driver; their number is checked, as is that of documents of each
-    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    found = [tuple(r) for r in by.limit(max_sources + 1).collect()]
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    due = targets([(s, n) for s, n, _ in found], weights, limit)
-    plan = []
-    for s, n, count in found:
-        r = min(due[s] / n, float(limit)) if n else 0.0
-        base = int(r)
-        p = r - base
-        if p < 1e-12 or p > 1 - 1e-12:
-            base, p = round(r), 0.0
-        plan.append((s, n, float(due[s]), base, p, max(1, -(-count // block))))
-    table = spark.createDataFrame(plan, "source string, source_size long, target double, base long, p double, blocks int")
-    table = F.broadcast(table) if len(plan) <= 10_000 else table
-    units = rows.alias("d").join(table.alias("t"), F.expr("d.source <=> t.source")).selectExpr("d.*", "t.source_size", "t.target", "t.base", "t.p", "t.blocks")
-    # equal rows are told apart by a number within their (small) run only where there are any
-    units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")))
-    shape = "doc_id long, source string, size long, source_size long, target double, base long, p double, done boolean, row long, blocks int, block long"
-    units = units.withColumn("done", F.lit(False)).withColumn("row", F.lit(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "base", "p", "done", "row", "blocks", "block")
-    fixed = units.filter("p = 0").withColumn("done", F.lit(True))
-    flying, decided = units.filter("p > 0"), [fixed]
-    many = max((x[5] for x in plan), default=1)
+    by = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
+    # one row for each source reaches the driver, while they are few enough
+    found = [tuple(r) for r in by.limit(many + 1).collect()]
+    if len(found) <= many:
+        due = targets([(s, n) for s, n, _ in found], weights, limit)
+        table = spark.createDataFrame([(s, n, c, float(due[s])) for s, n, c in found], "source string, source_size long, n long, target double")
+    else:
+        by = written(by)
+        table = by.join(targets_of_many(by.drop("n"), weights, limit).select(F.col("source").alias("s"), "target"), F.expr("source <=> s")).drop("s")
+    r = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    r = F.when(F.abs(r - F.rint(r)) < 1e-12, F.rint(r)).otherwise(F.least(r, F.lit(float(limit))))
+    table = written(table.select("source", "source_size", "target", F.floor(r).alias("base"), (r - F.floor(r)).alias("p"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    most = table.agg(F.max("blocks")).first()[0] or 1
+    units = rows.alias("d").join((F.broadcast(table) if len(found) <= 10_000 else table).alias("t"), F.expr("d.source <=> t.source"))
+    units = units.select("d.*", "t.source_size", "t.target", "t.base", "t.p", "t.blocks").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    names = [c.split()[0] for c in _UNIT.split(", ")]
+    units = units.withColumn("done", F.col("p") == 0).withColumn("block", _dealt(seed, F.col("blocks"))).select(*names)
+    flying, decided = units.filter("not done"), [units.filter("done")]
     while True:
-        flown = written(flying.groupBy("source", "block").applyInArrow(_fly(many <= 1), shape))
+        flown = written(flying.groupBy("source", "block").applyInArrow(_fly(most <= 1), _UNIT))
         decided.append(flown.filter("done"))
-        if many <= 1:
+        if most <= 1:
             break
         # at most two of each block are left: far fewer blocks next time
-        flying = flown.filter("not done").withColumn("blocks", F.ceil(F.col("blocks") * 2 / F.lit(block)).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.greatest("blocks", F.lit(1))))
-        many = -(-many * 2 // block)
+        flying = flown.filter("not done").withColumn("blocks", F.ceil(F.col("blocks") * 2 / F.lit(block)).cast("int")).withColumn("block", _dealt(seed + 1, F.col("blocks")))
+        most = -(-most * 2 // block)
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
