@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import release, written
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -31,6 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: the smaller neighbours of each node, and itself, go to the smallest of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct())
+        before, edges = edges, written(small.filter("u <> v").distinct())
+        release(before, large)
     stars = edges.groupBy("u").agg(F.min("v").alias("v"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,19 +2,25 @@
 
 Two permutations of the 32-bit universe make all signature coordinates: sigma scatters a shingle once, pi is shifted
 circularly by k for coordinate k, so ``h_k(S) = min over s of pi(sigma(s) + k)``. Bands of coordinates select
-candidate pairs, which full shingle sets confirm. Documents with equal sets are one class from the start, so copies
-are never expanded into pairs. In each band bucket every class is compared with the bucket's two leaders. Classes of larger
+candidate pairs, which full shingle sets confirm. Rows with equal sets are one class from the start, so copies are
+never expanded into pairs. In each band bucket every class is compared with the bucket's two leaders. Classes of larger
 buckets that are then in different components go an exact way, a prefix filter on their rarest shingles, so that a
 bucket of many documents around one shared passage is not expanded into its pairs. A link between two members of one
 component could not change the result, so the components hold all links found by banding.
 
-Defined cases: a null or wordless text has an empty set, links with nothing and is its own component. A repeated
-doc_id is one document whose texts are taken as they come: the rows keep their own sets, and share the id.
-Columns other than ``doc_id`` and ``text`` are ignored.
+Sets are compared by 64-bit hashes of shingles, which are made of strong 64-bit hashes of words: two given sets that
+differ count one shingle wrong with a chance of about |A| * |B| / 2^64.
+
+Defined cases: a null or wordless text has an empty set, links with nothing and is its own component. Rows that share a
+doc_id are documents of their own: each is linked by its own text, a component takes the smallest doc_id of its rows,
+and ``kept`` (doc_id = component_id) may so hold for several rows; ``drop_near_duplicates`` tells such rows apart and
+leaves one row of each component. Rows without doc_id come last within a component, and a component of such rows alone has a
+null component_id. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +31,12 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 from .components import components
-from .frames import written
+from .frames import placed, release, written
 
 BANDS, ROWS = 30, 5
 _U32 = np.uint32
-_SIGN_SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>"
-_SET_SCHEMA = "doc_id long, shingles array<long>"
+_SIGN_SCHEMA = "doc_id long, file_key long, row_at long, n_shingles long, set_key binary, bands array<long>"
+_SET_SCHEMA = "cid long, shingles array<long>"
 
 
 def shingles(words: T.Words, width: int) -> Iterator[np.ndarray]:
@@ -95,11 +101,13 @@ def _sign(width: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
+                        piece.column(2),
+                        piece.column(3),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    names=["doc_id", "file_key", "row_at", "n_shingles", "set_key", "bands"],
                 )
 
     return run
@@ -114,23 +122,24 @@ def _sets(width: int):
                 offsets[1:] = np.cumsum([len(s) for s in sets])
                 values = np.concatenate(sets) if sets else np.zeros(0, T._U)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["doc_id", "shingles"]
+                    [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["cid", "shingles"]
                 )
 
     return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """Pairs (a, b) of classes whose full sets are similar enough: 100 * intersection >= percent * union."""
+    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select(pairs.columns)
 
 
-def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose set sizes allow the similarity."""
-    return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
+def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose set sizes allow the similarity."""
+    known = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
+    return known.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -139,50 +148,83 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     Shingles are ordered by how many sets hold them, those of one component only first. Similar sets share a shingle
     among the first ``n - ceil(n * percent / 100) + 1`` of both, and at the first shared one enough must remain in
     both to reach the similarity. So passages that very many documents share meet nowhere but where little else is.
+    Holders of a shingle meet by bands of set size as well (similar sets are in one band or in neighbouring ones), which
+    splits a shingle that many prefixes share.
     """
-    held = sets.select("doc_id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    held = sets.select("cid", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
     common = held.groupBy("s").agg(F.count("*").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("s", "f")
-    ranked = held.join(common, "s").groupBy("doc_id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "s"))).alias("t"))
+    ranked = held.join(common, "s").groupBy("cid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "s"))).alias("t"))
     ranked = ranked.withColumn("own", F.col("n") - F.size("t")).withColumn("use", F.expr(f"n - (n * {int(percent)} + 99) div 100 + 1 - own")).filter("use > 0")
-    firsts = ranked.select("doc_id", "component", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(use as int))")).alias("k", "e"))
-    firsts = written(firsts.select("doc_id", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s")))
-    one, two = (firsts.select("s", *(F.col(c).alias(c + side) for c in ("doc_id", "component", "n", "at"))) for side in ("_a", "_b"))
+    firsts = ranked.select("cid", "component", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(use as int))")).alias("k", "e"))
+    band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")
+    firsts = written(firsts.select("cid", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s"), band.alias("band")))
+    one, two = (firsts.select("s", "band", *(F.col(c).alias(c + side) for c in ("cid", "component", "n", "at"))) for side in ("_a", "_b"))
+    # the larger set of a pair is in the band of the smaller or in the next one
+    one = one.select("s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "cid_a", "component_a", "n_a", "at_a")
     fits = f"(1 + least(n_a - at_a, n_b - at_b)) * {100 + int(percent)} >= (n_a + n_b) * {int(percent)}"
-    pairs = one.join(two, "s").filter(f"doc_id_a < doc_id_b and component_a <> component_b and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {int(percent)} and {fits}")
-    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "component_a", "component_b").distinct()
+    pairs = one.join(two, ["s", "band"]).filter(f"component_a <> component_b and (n_a < n_b or (n_a = n_b and cid_a < cid_b)) and n_a * 100 >= n_b * {int(percent)} and {fits}")
+    return pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "component_a", "component_b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (smallest doc_id linked with it, directly or not)
-    and kept (doc_id = component_id)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, file_key, row_at, n_shingles, cid: null without words), and classes (cid, lead: the smallest
+    doc_id of the component, file and at: the place of the component's first row)."""
+    docs = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     signed = written(docs.mapInArrow(_sign(width, bands, rows), _SIGN_SCHEMA))
-    whole = signed.filter("set_key is not null")
-    classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes)
-    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high"), F.count("*").alias("size")).filter("size > 1")
-    members = written(members.join(shared.select("bucket", "low", "high"), "bucket"))
-
-    # every class of a bucket with both of its leaders, the smallest and the largest id
-    ends = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode(F.array("low", "high")).alias("l")).filter("a <> l.rep")
-    star = written(_near(ends.select("a", F.col("l.rep").alias("b"), "na", F.col("l.n").alias("nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb"), percent))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), _SET_SCHEMA).dropDuplicates(["doc_id"]))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "file_key", "row_at")
+    classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min(order).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
+    own = written(signed.join(classes.select("set_key", "cid"), "set_key", "left").select("doc_id", "file_key", "row_at", "n_shingles", "cid"))
+    release(signed)
+
+    members = classes.select("cid", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high")
+    members = written(members.join(shared, "bucket"))
+    # every class of a bucket with both of its leaders, the first and the last
+    ends = members.select("cid", F.explode(F.array("low", "high")).alias("l")).filter("cid <> l")
+    star = written(_near(ends.select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct(), classes, percent))
+    # sets are read of those, and of the classes of buckets with over three (smaller ones are complete by the leaders)
+    large = members.join(members.groupBy("bucket").count().filter("count > 3").select("bucket"), "bucket", "left_semi")
+    wanted = star.select(F.col("a").alias("cid")).union(star.select("b")).union(large.select("cid")).distinct()
+    leads = classes.join(wanted, "cid", "left_semi").select("cid", F.col("first.file_key").alias("f"), F.col("first.row_at").alias("r"))
+    texts = docs.join(leads, (docs["file_key"] == leads["f"]) & (docs["row_at"] == leads["r"])).select("cid", "text")
+    sets = written(texts.mapInArrow(_sets(width), _SET_SCHEMA))
     links = written(_confirmed(star, sets, percent))
+    release(star)
     parts = components(links)
+    release(links)
 
     # what is left: classes of buckets with over three classes (fewer are complete by now) in several components
-    owned = written(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
+    owned = written(members.select("bucket", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component")))
+    release(members)
     split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2 and size > 3")
-    open_ = owned.join(split.select("bucket"), "bucket", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
-    rest = written(_prefix_pairs(open_.join(sets, "doc_id"), percent))
+    open_ = owned.join(split.select("bucket"), "bucket", "left_semi").select("cid", "component").distinct()
+    rest = written(_prefix_pairs(open_.join(sets, "cid"), percent))
+    release(owned)
     more = written(_confirmed(rest, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    release(rest, sets)
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
 
-    # from classes back to documents: the class's component, which holds its smallest doc_id
-    ids = whole.select("doc_id", "set_key", "n_shingles").join(classes.select("set_key", "rep"), "set_key")
-    ids = ids.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    ids = ids.join(joined, "component", "left").select("doc_id", "n_shingles", F.coalesce("top", "component").alias("component_id"))
-    alone = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return ids.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # from classes to components: the first row of each, in the order of doc_id
+    final = classes.select("cid", "first").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    final = written(final.join(joined, "component", "left").select("cid", "first", F.coalesce("top", "component").alias("component")))
+    release(classes)
+    heads = final.groupBy("component").agg(F.min("first").alias("head"))
+    return own, final.select("cid", "component").join(heads, "component").select("cid", F.col("head.doc_id").alias("lead"), F.col("head.file_key").alias("file"), F.col("head.row_at").alias("at"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (smallest doc_id linked with it, directly or not)
+    and kept (doc_id = component_id)."""
+    own, classes = _linked(docs, width, percent, bands, rows)
+    found = own.join(classes.select("cid", "lead"), "cid", "left").withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("lead")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns, but those linked with a row before them in the order of doc_id (null last): one
+    row of each component stays, also where ids repeat or are null, and every row without words."""
+    docs = placed(docs, "_near_file", "_near_at")
+    own, classes = _linked(docs, width, percent, bands, rows)
+    gone = own.join(classes, "cid").filter("file_key <> file or row_at <> at").select("file_key", "row_at")
+    return docs.join(gone, (docs["_near_file"] == gone["file_key"]) & (docs["_near_at"] == gone["row_at"]), "left_anti").drop("_near_file", "_near_at")

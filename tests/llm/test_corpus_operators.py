@@ -61,7 +61,7 @@ def test_prefix_pairs_lose_no_link(spark):
         for k in range(6):
             kept = [x for x in passage + own if rng.random() > 0.05]
             rows.append((family * 10 + k, family * 10 + rng.choice([0, k]), sorted({*kept, 10**6 + family * 100 + k})))
-    sets = spark.createDataFrame(rows, "doc_id long, component long, shingles array<long>")
+    sets = spark.createDataFrame(rows, "cid long, component long, shingles array<long>")
     for percent in (80, 85):
         wanted = {
             (a, b)
@@ -70,8 +70,9 @@ def test_prefix_pairs_lose_no_link(spark):
             if a < b and ca != cb and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})
         }
         pairs = near_dedup._prefix_pairs(sets, percent).select("a", "b")
-        assert wanted and wanted <= {tuple(r) for r in pairs.collect()}
-        assert {tuple(r) for r in near_dedup._confirmed(pairs, sets.select("doc_id", "shingles"), percent).collect()} == wanted
+        found = [tuple(sorted(r)) for r in pairs.collect()]
+        assert wanted and wanted <= {*found} and len(found) == len({*found})
+        assert {tuple(sorted(r)) for r in near_dedup._confirmed(pairs, sets.select("cid", "shingles"), percent).collect()} == wanted
     assert near_dedup._prefix_pairs(sets.limit(0), 80).count() == 0
 
 
@@ -231,8 +232,8 @@ def test_pipeline_stages_on_hard_rows(spark):
             got = stage(spark, x, FOLDER)
             if name != "mixing":
                 assert got.columns == d.columns, name
-            # only the copy under an id of its own goes; nothing here is toxic or holds a benchmark passage
-            assert got.count() == x.count() - (name == "near_dedup" and x is d), name
+            # of the long texts and their copies, under whatever id, one row stays; nothing here is toxic or holds a benchmark passage
+            assert got.count() == x.count() - 4 * (name == "near_dedup" and x is d), name
 
 
 def test_pipeline(spark, corpus, tmp_path):
