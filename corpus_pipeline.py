@@ -6,8 +6,8 @@
 4. secrets: secret spans in texts are replaced by marks, n_chars follows; every document stays;
 5. mixing: words that the mix takes of each document, by source weights (rows refer to documents by doc_id).
 
-Null texts count as empty and pass every stage. A near-duplicate is dropped by its doc_id: rows without one stay, and
-repeated rows under the id that is kept stay together. Empty tables give empty tables.
+Null texts count as empty and pass every stage. Near-duplicates are rows, not ids: of linked rows the first in the
+order of doc_id (null last) stays, also where ids repeat or are null. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm import decontaminate, mixing, near_dedup, secrets_scan, toxicity
-from kinelake.llm.frames import shared_dir
+from kinelake.llm.frames import remove, shared_dir
 
 WIDTH, PERCENT = 5, 80
 
@@ -33,9 +33,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs, WIDTH, PERCENT)
-    copies = found.filter(~F.col("kept")).select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    return near_dedup.drop_near_duplicates(docs, WIDTH, PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        if k:  # the next stage's input is all that is read from now on
+            remove(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
 
 
