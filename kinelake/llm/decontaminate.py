@@ -1,12 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark n-grams, scanned over document windows.
 
 Texts are lower-cased (A-Z only) and cut into words of letters, digits and non-ASCII characters. A window is ``size``
-consecutive words of one item; an item with fewer words, but not none, is one window. Hits are verified word by word.
-The set is broadcast only while the benchmark has at most ``MAX_BYTES`` bytes; a larger one is scanned in blocks of
-items of at most that size, and the hits of the blocks are merged by document.
+consecutive words of one item; an item with fewer words, but not none, is one window. Hits are verified by the bytes of
+their words. The set is sorted arrays, made once on the driver and broadcast; it takes 8 bytes for each window's hash, 4
+for its place, 4 for its group and the normalised texts, which is under 13 bytes for each byte of benchmark text. A
+benchmark of over ``MAX_BYTES`` is scanned in blocks of items of at most that size, one broadcast at a time, and the hits
+of the blocks are merged by document. ``drop_contaminated`` removes documents, ``cut_contaminated`` only the spans.
 
 Defined cases: a null has no words and no windows; a null or repeated item_id is an id like others (null: empty text);
-an empty benchmark hits nothing; an empty table gives no rows; other columns are ignored.
+an empty benchmark hits nothing; an empty table gives no rows; invalid UTF-8 is bytes like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,47 +22,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .frames import written
+from .frames import release, written
 
 SIZE = 10
-MAX_BYTES = 16 << 20
+MAX_BYTES = 8 << 20
 _HITS = "doc_id long, n_words long, hits array<int>, item_ids array<string>"
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class Windows:
-    """Hash set of item windows by their number of words; each hash leads to the windows and their item ids."""
+    """Item windows by their number of words: sorted distinct hashes; for each, groups of windows of equal words; for
+    each group, its words and its items."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = SIZE):
-        self.known: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        if items:
-            words = T.Words(pa.array([t for _, t in items], pa.large_string()), T.ALNUM_WORDS)
-            for width in range(1, size + 1):
-                at, hashes = T.ngrams(words, width)
-                own = words.counts[words.doc[at]] if len(at) else at
-                for i, h in zip(at[own == width] if width < size else at, hashes[own == width] if width < size else hashes, strict=True):
-                    text = b" ".join(words.word(k) for k in range(i, i + width))
-                    self.known.setdefault(width, {}).setdefault(int(h), {}).setdefault(text, set()).add(items[words.doc[i]][0])
-        self.sorted = {w: np.array(sorted(x), T._U) for w, x in self.known.items()}
+        self.ids = [i for i, _ in items]
+        self.known: dict[int, tuple[np.ndarray, ...]] = {}
+        words = T.Words(pa.array([t for _, t in items], pa.large_string()), T.ALNUM_WORDS)
+        lengths = words.ends - words.starts
+        #: words of all items, one blank after each
+        self.at = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.buf = np.full(int(self.at[-1]), 32, np.uint8)
+        to = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)
+        self.buf[to] = words.buf[to + np.repeat(words.starts - self.at[:-1], lengths)]
+        for width in range(1, size + 1):
+            at, hashes = T.ngrams(words, width)
+            if width < size:
+                own = words.counts[words.doc[at]] == width if len(at) else np.zeros(0, bool)
+                at, hashes = at[own], hashes[own]
+            if len(at):
+                self.known[width] = self._grouped(width, at, hashes, words.doc[at])
+
+    def text(self, first: int, width: int) -> bytes:
+        return self.buf[self.at[first] : self.at[first + width] - 1].tobytes()
+
+    def _grouped(self, width: int, at: np.ndarray, hashes: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((item, hashes))
+        at, hashes, item = at[order], hashes[order], item[order]
+        new = np.ones(len(at), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        heads = np.flatnonzero(new)
+        twins = np.flatnonzero(~new)
+        odd = [k for k in twins.tolist() if self.text(int(at[k]), width) != self.text(int(at[heads[np.searchsorted(heads, k, "right") - 1]]), width)]
+        if odd:  # two runs of words share a hash: order those by their words as well
+            mixed = np.flatnonzero(np.isin(hashes, hashes[odd]))
+            sorted_ = sorted(mixed.tolist(), key=lambda k: (int(hashes[k]), self.text(int(at[k]), width), int(item[k])))
+            at[mixed], item[mixed], hashes[mixed] = at[sorted_], item[sorted_], hashes[sorted_]
+            for a, b in zip(mixed[:-1], mixed[1:], strict=True):
+                new[b] = new[b] or self.text(int(at[a]), width) != self.text(int(at[b]), width)
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        once = np.ones(len(at), bool)
+        once[1:] = new[1:] | (item[1:] != item[:-1])
+        found = hashes[starts]
+        known, first = np.unique(found, return_index=True)
+        owners = np.searchsorted(group[once], np.arange(len(starts) + 1))
+        return known, np.append(first, len(starts)), at[starts].astype(np.int32), item[once].astype(np.int32), owners
 
     def scan(self, column) -> Iterator[tuple[int, np.ndarray, set[str]]]:
         """For each text: number of words, flags of the words inside a window, ids of the items found."""
         words = T.Words(column, T.ALNUM_WORDS)
-        edge = np.zeros(len(words.starts) + 1, np.int64)
-        items: dict[int, set[str]] = {}
-        for width, hashes in self.sorted.items():
-            at, own = T.ngrams(words, width)
-            k = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            for i, h in zip(at[m := hashes[k] == own], own[m], strict=True):
-                text = b" ".join(words.word(j) for j in range(i, i + width))
-                if found := self.known[width][int(h)].get(text):
-                    edge[i] += 1
-                    edge[i + width] -= 1
-                    items.setdefault(int(words.doc[i]), set()).update(found)
-        flags = np.cumsum(edge[:-1]) > 0
+        flags, items = self.flags(words)
         for d, n in enumerate(words.counts):
             yield int(n), flags[words.first[d] : words.first[d + 1]], items.get(d, set())
 
+    def flags(self, words: T.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+        """Flags of all words, and the ids found by document."""
+        edge = np.zeros(len(words.starts) + 1, np.int64)
+        groups: dict[int, set[tuple[int, int]]] = {}
+        for width, (known, first, at, _, _) in self.known.items():
+            places, own = T.ngrams(words, width)
+            k = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[k] == own
+            for i, h in zip(places[hit].tolist(), k[hit].tolist(), strict=True):
+                text = b" ".join(words.word(j) for j in range(i, i + width))
+                for g in range(int(first[h]), int(first[h + 1])):
+                    if self.text(int(at[g]), width) == text:
+                        edge[i] += 1
+                        edge[i + width] -= 1
+                        groups.setdefault(int(words.doc[i]), set()).add((width, g))
+        items = {}
+        for d, found in groups.items():
+            items[d] = {self.ids[k] for width, g in found for k in self.known[width][3][self.known[width][4][g] : self.known[width][4][g + 1]].tolist()}
+        return np.cumsum(edge[:-1]) > 0, items
+
+
+def cut(words: T.Words, flags: np.ndarray, raw: np.ndarray, d: int) -> bytes:
+    """The bytes of text d without its runs of flagged words, from the first to the last byte of each run."""
+    a, b = int(words.first[d]), int(words.first[d + 1])
+    own = flags[a:b].astype(np.int8)
+    begins, stops = np.flatnonzero(np.diff(own, prepend=0) == 1) + a, np.flatnonzero(np.diff(own, append=0) == -1) + a
+    keep, at = [], int(words.offsets[d])
+    for i, j in zip(begins.tolist(), stops.tolist(), strict=True):
+        keep.append(raw[at : words.starts[i]].tobytes())
+        at = int(words.ends[j])
+    return b"".join([*keep, raw[at : words.offsets[d + 1]].tobytes()])
+
 
 def _summary(hits: int, items: set[str]) -> tuple:
     return hits, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hits > 0
@@ -69,18 +125,15 @@ def _summary(hits: int, items: set[str]) -> tuple:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256 (ids sorted as strings, comma-joined)
     and contaminated, for each row of docs."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark)
-    blocks = -(-_bytes(items) // max_bytes) or 1
-    if blocks == 1:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    if _bytes(items) <= max_bytes:
+        shared = _shared(items, size)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, size)
             for batch in batches:
                 for piece in T.pieces(batch):
-                    rows = [(n, *_summary(int(flags.sum()), found)) for n, flags, found in windows.scan(piece.column(1))]
+                    rows = [(n, *_summary(int(flags.sum()), found)) for n, flags, found in shared.value.scan(piece.column(1))]
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [piece.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))],
@@ -88,41 +141,92 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_b
                     )
 
         return docs.mapInArrow(run, _OUT)
+    merged = _in_blocks(written(docs.withColumn("row", F.monotonically_increasing_id())), items, size, max_bytes)
+    return merged.select("doc_id", "n_words", F.size("h").cast("long").alias("n_hit"), F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), (F.size("h") > 0).alias("contaminated"))
 
-    # a benchmark beyond the broadcast bound: one scan for each block of items, hits of a row merged afterwards
-    blocks *= 2
+
+def _in_blocks(rows: DataFrame, items: DataFrame, size: int, max_bytes: int) -> DataFrame:
+    """(row, doc_id, n_words, h: flagged words, i: item ids) of the rows (doc_id, text, row): one scan for each block of
+    items, whose set is broadcast and destroyed again; what the scans found is merged by row."""
+    blocks = 2 * -(-_bytes(items) // max_bytes)
     items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()))
-    found = None
+    found, parts = None, []
     for k in range(blocks):
-        part = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.filter(F.col("block") == k).select("item_id", "text").collect()])
-        hit = rows.mapInArrow(_scan_block(part, size), "row long, " + _HITS)
-        found = hit if found is None else found.unionByName(hit)
+        shared = _shared(items.filter(F.col("block") == k), size)
+        parts.append(written(rows.mapInArrow(_scan_block(shared), "row long, " + _HITS)))
+        shared.destroy()
+        found = parts[-1] if found is None else found.unionByName(parts[-1])
     merged = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i")
     )
-    return merged.select("doc_id", "n_words", F.size("h").cast("long").alias("n_hit"), F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), (F.size("h") > 0).alias("contaminated"))
+    merged = written(merged)
+    release(items, *parts)
+    return merged
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of docs, all columns, that no window occurs in; one scan without shuffle while the benchmark can be
-    broadcast, else an anti-join with the ids of what ``decontaminate`` finds."""
-    items = _items(benchmark)
+    broadcast."""
+    return _cleaned(docs, benchmark, size, max_bytes, whole=True)
+
+
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """All rows of docs, all columns, with the runs of words inside windows cut out of the text."""
+    return _cleaned(docs, benchmark, size, max_bytes, whole=False)
+
+
+def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int, whole: bool) -> DataFrame:
+    items, names = _items(benchmark), docs.columns
+    at = names.index("text")
     if _bytes(items) > max_bytes:
-        bad = decontaminate(docs, benchmark, size, max_bytes).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    at = docs.columns.index("text")
+        rows = written(docs.withColumn("_clean_row", F.monotonically_increasing_id()))
+        found = _in_blocks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_clean_row").alias("row")), items, size, max_bytes).filter("size(h) > 0").select(F.col("row").alias("_found_row"), F.col("h").alias("_found"))
+        if whole:
+            return rows.join(found, rows["_clean_row"] == found["_found_row"], "left_anti").drop("_clean_row")
+        joined = rows.join(found, rows["_clean_row"] == found["_found_row"], "left").drop("_clean_row", "_found_row")
+
+        def cut_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in T.pieces(batch):
+                    words = T.Words(piece.column(at), T.ALNUM_WORDS, hashes=False)
+                    flags = np.zeros(len(words.starts), bool)
+                    hits = piece.column(piece.num_columns - 1)
+                    for d in range(piece.num_rows):
+                        flags[int(words.first[d]) + np.array(hits[d].as_py() or [], np.int64)] = True
+                    yield _replaced(piece.select(names), at, words, flags)
+
+        return joined.mapInArrow(cut_known, docs.schema)
+    shared = _shared(items, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, size)
         for batch in batches:
             for piece in T.pieces(batch):
-                yield piece.filter(pa.array([not flags.any() for _, flags, _ in windows.scan(piece.column(at))], pa.bool_()))
+                words = T.Words(piece.column(at), T.ALNUM_WORDS)
+                flags, _ = shared.value.flags(words)
+                if whole:
+                    hits = np.concatenate([[0], np.cumsum(flags)])[words.first]
+                    yield piece.filter(pa.array(np.diff(hits) == 0, pa.bool_()))
+                else:
+                    yield _replaced(piece, at, words, flags)
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _replaced(piece: pa.RecordBatch, at: int, words: T.Words, flags: np.ndarray) -> pa.RecordBatch:
+    if not flags.any():
+        return piece
+    raw, own = T.flat(piece.column(at))[0], piece.column(at)
+    hits = np.diff(np.concatenate([[0], np.cumsum(flags)])[words.first])
+    kept = [cut(words, flags, raw, d) if hits[d] else own[d].cast(pa.binary()).as_py() for d in range(piece.num_rows)]
+    columns = [pa.array(kept, pa.binary()).view(pa.string()).cast(own.type) if k == at else piece.column(k) for k in range(piece.num_columns)]
+    return pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
+
+
+def _shared(items: DataFrame, size: int):
+    """The set of items whose bytes were checked, as a broadcast."""
+    return items.sparkSession.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()], size))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -131,12 +235,11 @@ def _bytes(items: DataFrame) -> int:
     return int(items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0)
 
 
-def _scan_block(part, size: int):
+def _scan_block(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(part.value, size)
         for batch in batches:
             for piece in T.pieces(batch):
-                found = list(windows.scan(piece.column(1)))
+                found = list(shared.value.scan(piece.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(2), piece.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([np.flatnonzero(x[1]).astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))],
                     names=["row", "doc_id", "n_words", "hits", "item_ids"],

@@ -7,25 +7,28 @@ vector. The lanes are a linear sketch too: the squared length of a difference es
 ``likeness`` is 1 - |a-b|^2 / (|a|^2 + |b|^2), cut to 0..1. It takes the sums before they are reduced, so long texts that
 repeat one run of words do not wrap; only the written fingerprint has them modulo 2**16.
 
-Defined cases: null and empty texts have the zero vector, alike to each other (1.0); rows that share a doc_id are
-ordered by text; rows without doc_id come first; with one row the next document is the row itself. Other columns are ignored.
+Defined cases: null and empty texts have the zero vector, alike to each other (1.0); rows that share a doc_id are ordered
+by Spark's xxhash64 of their texts; rows without doc_id come first; with one row the next document is the row itself;
+bytes that are no UTF-8 are taken as U+FFFD. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .frames import id_bounds, range_count, range_of, text_bytes
+from .frames import at_bound, range_count, range_of
 
 LANES, WIDE = 256, 4
 BLOCK = 4 << 20
+#: most ranges, and keys that the driver gets for each to cut them
+RANGES, SAMPLE = 20_000, 20
 _LANE_SEEDS = T.mix64(np.arange(1, LANES // 64 + 1, dtype=T._U))
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -99,57 +102,65 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _run(key, table):
-    at = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
-    table = table.take(at)
-    tails = table.filter(table["tail"])
-    own = table.filter(pc.invert(table["tail"]))
-    ids = own["doc_id"].combine_chunks()
-    texts = [t or "" for t in own["text"].to_pylist()] + [t or "" for t in tails["text"].slice(0, 1).to_pylist()]
-    out = []
-    n = own.num_rows
-    a = 0
-    while a < n:  # slices of bounded size
-        b, size = a, 0
-        while b < n and (b == a or size < T.CHUNK):
-            size += len(texts[b])
-            b += 1
-        changed = [edited(texts[k], texts[k + 1]) for k in range(a, b)]
-        mine, theirs = Prints.of(pa.array(texts[a : b + 1], pa.large_string())), Prints.of(pa.array(changed, pa.large_string()))
-        first, following = mine.take(slice(0, b - a)), mine.take(slice(1, b - a + 1))
-        out.append(
-            pa.table(
-                {
-                    "doc_id": ids.slice(a, b - a),
-                    "n_chars": pa.array([len(texts[k]) for k in range(a, b)], pa.int64()),
-                    "edited_sha256": pa.array([hashlib.sha256(c.encode()).hexdigest() for c in changed]),
-                    "fingerprint": pa.array(first.text()),
-                    "edited_fingerprint": pa.array(theirs.text()),
-                    "near_edited": pa.array(likeness(first, theirs)),
-                    "near_next": pa.array(likeness(first, following)),
-                }
-            )
-        )
-        a = b
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
+def _results(ids: list, texts: list[str]) -> pa.RecordBatch:
+    """Rows of the texts but the last, each with the one after it."""
+    changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    all_, theirs = Prints.of(pa.array(texts, pa.large_string())), Prints.of(pa.array(changed, pa.large_string()))
+    mine, following = all_.take(slice(0, len(changed))), all_.take(slice(1, len(texts)))
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": pa.array(ids, pa.int64()),
+            "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
+            "edited_sha256": [hashlib.sha256(c.encode()).hexdigest() for c in changed],
+            "fingerprint": mine.text(),
+            "edited_fingerprint": theirs.text(),
+            "near_edited": likeness(mine, theirs),
+            "near_next": likeness(mine, following),
+        }
+    )
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of documents, range by range, each range with the first row of the next as its tail. One
+    slice of documents and the one after them are held at a time."""
+    ids, texts, size, ended = [], [], 0, None
+    for batch in batches:
+        for k, block, tail, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), T.texts(batch.column(1)), strict=True):
+            if block == ended:  # equal rows at the border: one is enough
+                continue
+            texts.append(text)
+            size += len(text)
+            if tail or size > T.CHUNK and ids:
+                yield _results(ids, texts)
+                ids, texts, size = [], [text], len(text)
+            if tail:
+                texts, size, ended = [], 0, block
+            else:
+                ids.append(k)
 
 
 def with_next(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, text, block, tail): ranges of doc_id, each with the first row of the next range as its tail; the last
-    range's tail is the first row of all. A tail is one document, so a range stays bounded."""
-    bounds = id_bounds(docs, range_count(text_bytes(docs), block_bytes))
-    low, nulls = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    block = range_of("doc_id", bounds)
-    leads = F.when((block > 0) & (range_of("(doc_id - 1)", bounds) < block), F.struct((block - 1).cast("int").alias("block"), F.lit(True).alias("tail")))
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
-    wraps = F.when(first, F.struct(F.lit(len(bounds)).cast("int").alias("block"), F.lit(True).alias("tail")))
-    places = F.array_compact(F.array(F.struct(block.cast("int").alias("block"), F.lit(False).alias("tail")), leads, wraps))
-    return docs.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.block", "p.tail")
+    """(doc_id, text, block, tail, o): ranges of the order o (doc_id, null first, then the text's hash), each with the
+    first row of the next range as its tail; the last range's tail is the first row of all. The driver gets about
+    ``SAMPLE`` keys for each range. Equal ids are split by the hash, so a range is about as large as others."""
+    order = F.struct(F.col("doc_id").isNotNull().cast("int").alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.xxhash64("text").alias("c"))
+    docs = docs.withColumn("o", order)
+    total = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.min("o")).first()
+    ranges = min(RANGES, range_count(int(total[0] or 0), block_bytes))
+    bounds: list[tuple[int, int, int]] = []
+    if ranges > 1:
+        share = min(1.0, SAMPLE * ranges / total[1])
+        keys = sorted(tuple(r) for r in docs.filter(F.pmod(F.xxhash64("o"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))).select("o.a", "o.b", "o.c").collect())
+        bounds = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)} - {tuple(total[2])}) if keys else []
+    block = range_of("o", bounds)
+    last = F.lit(len(bounds))
+    heads = F.when(at_bound("o", bounds, block), block - 1).when(F.col("o") == F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(total[2] or (0, 0, 0), ("int", "long", "long"), "abc", strict=True))), last)
+    places = F.array_compact(F.array(F.struct(block.cast("int").alias("block"), F.lit(False).alias("tail")), F.when(heads.isNotNull(), F.struct(heads.cast("int").alias("block"), F.lit(True).alias("tail")))))
+    return docs.select("doc_id", "text", "o", F.explode(places).alias("p")).select("doc_id", "text", "p.block", "p.tail", "o")
 
 
 def fingerprints(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """Fingerprint of each row's text and of its edited text, and their likenesses."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_next(docs, block_bytes).groupBy("block").applyInArrow(_run, _OUT)
+    dealt = with_next(docs, block_bytes).repartition("block").sortWithinPartitions("block", "tail", "o")
+    return dealt.drop("o").mapInArrow(_in_order, _OUT)

@@ -80,16 +80,6 @@ def placed(docs: DataFrame, file: str = "file_key", at: str = "row_at") -> DataF
     return found
 
 
-def id_bounds(docs: DataFrame, parts: int, key: str = "doc_id") -> list[int]:
-    """At most ``parts``-1 ascending ids, each of them present, that cut the table into ranges of about equal size.
-    The driver gets one number for each range."""
-    if parts <= 1:
-        return []
-    shares = [k / parts for k in range(1, parts)]
-    row = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts)).alias("b")).first()
-    return sorted(set(row["b"] or []))
-
-
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
@@ -98,17 +88,22 @@ def range_count(total: int, size: int) -> int:
     return max(1, math.ceil(total / size))
 
 
-def range_of(key: str, bounds: list[int]):
-    """Column: how many of the ascending bounds are at or below the id (0 for a null). Two levels of search, so the
-    cost is about twice the square root of their number."""
+def _keys(values: list[tuple[int, int, int]]) -> str:
+    return f"array({','.join(f"named_struct('a',{a},'b',{b}L,'c',{c}L)" for a, b, c in values)})".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
+
+
+def range_of(key: str, bounds: list[tuple[int, int, int]]):
+    """Column: how many of the ascending bounds are at or below the key, a struct of three numbers. Two levels of search,
+    so the cost is about twice the square root of their number."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    top = f"size(filter({_keys([g[0] for g in groups])}, b -> b <= {key}))"
+    own = f"size(filter(element_at(array({','.join(map(_keys, groups))}), {top}), b -> b <= {key}))"
+    return F.expr(f"CASE WHEN {key} < element_at({_keys(bounds[:1])}, 1) THEN 0 ELSE ({top} - 1) * {step} + {own} END")
 
-    def array(values: list[int]) -> str:
-        return f"array({','.join(f'{v}L' for v in values)})"
 
-    top = f"size(filter({array([g[0] for g in groups])}, b -> b <= {key}))"
-    own = f"size(filter(element_at(array({','.join(map(array, groups))}), {top}), b -> b <= {key}))"
-    return F.expr(f"CASE WHEN {key} IS NULL OR {key} < {bounds[0]}L THEN 0 ELSE ({top} - 1) * {step} + {own} END")
+def at_bound(key: str, bounds: list[tuple[int, int, int]], block):
+    """Column: whether the key is the bound that its block begins with."""
+    return (block > 0) & (F.col(key) == F.element_at(F.expr(_keys(bounds)), F.greatest(block, F.lit(1)))) if bounds else F.lit(False)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
@@ -34,6 +34,8 @@ from .components import components
 from .frames import placed, release, written
 
 BANDS, ROWS = 30, 5
+#: size classes; a class id ends with the size class of its set
+SIZES = 64
 _U32 = np.uint32
 _SIGN_SCHEMA = "doc_id long, file_key long, row_at long, n_shingles long, set_key binary, bands array<long>"
 _SET_SCHEMA = "cid long, shingles array<long>"
@@ -136,10 +138,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select(pairs.columns)
 
 
-def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow the similarity."""
-    known = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-    return known.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets whose sizes allow the similarity are in one class or in neighbouring ones; the last class has no upper end."""
+    return F.least(F.floor(F.ln(n.cast("double")) / (math.log(100 / percent) + 1e-9)), F.lit(SIZES - 1)) if percent < 100 else F.lit(0)
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -156,8 +157,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     ranked = held.join(common, "s").groupBy("cid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "s"))).alias("t"))
     ranked = ranked.withColumn("own", F.col("n") - F.size("t")).withColumn("use", F.expr(f"n - (n * {int(percent)} + 99) div 100 + 1 - own")).filter("use > 0")
     firsts = ranked.select("cid", "component", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(use as int))")).alias("k", "e"))
-    band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")
-    firsts = written(firsts.select("cid", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s"), band.alias("band")))
+    firsts = written(firsts.select("cid", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s"), _size_class(F.col("n"), percent).cast("int").alias("band")))
     one, two = (firsts.select("s", "band", *(F.col(c).alias(c + side) for c in ("cid", "component", "n", "at"))) for side in ("_a", "_b"))
     # the larger set of a pair is in the band of the smaller or in the next one
     one = one.select("s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "cid_a", "component_a", "n_a", "at_a")
@@ -167,25 +167,22 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, file_key, row_at, n_shingles, cid: null without words), and classes (cid, lead: the smallest
+    """Rows (doc_id, file_key, row_at, n_shingles, set_key: null without words), and classes (set_key, lead: the smallest
     doc_id of the component, file and at: the place of the component's first row)."""
     docs = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     signed = written(docs.mapInArrow(_sign(width, bands, rows), _SIGN_SCHEMA))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "file_key", "row_at")
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min(order).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
-    own = written(signed.join(classes.select("set_key", "cid"), "set_key", "left").select("doc_id", "file_key", "row_at", "n_shingles", "cid"))
-    release(signed)
-
-    members = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high")
-    members = written(members.join(shared, "bucket"))
-    # every class of a bucket with both of its leaders, the first and the last
-    ends = members.select("cid", F.explode(F.array("low", "high")).alias("l")).filter("cid <> l")
-    star = written(_near(ends.select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct(), classes, percent))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id() * SIZES + _size_class(F.col("n"), percent)).drop("n"))
+
+    buckets = classes.select("cid", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("size")).filter("low < high")
+    members = written(buckets.join(shared, "bucket"))
+    # every class of a bucket with both of its leaders, the first and the last, where the sizes allow the similarity
+    ends = members.select("cid", F.explode(F.array("low", "high")).alias("l")).filter(f"cid <> l and abs(cid % {SIZES} - l % {SIZES}) <= 1")
+    star = written(ends.select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct())
     # sets are read of those, and of the classes of buckets with over three (smaller ones are complete by the leaders)
-    large = members.join(members.groupBy("bucket").count().filter("count > 3").select("bucket"), "bucket", "left_semi")
-    wanted = star.select(F.col("a").alias("cid")).union(star.select("b")).union(large.select("cid")).distinct()
+    wanted = star.select(F.col("a").alias("cid")).union(star.select("b")).union(members.filter("size > 3").select("cid")).distinct()
     leads = classes.join(wanted, "cid", "left_semi").select("cid", F.col("first.file_key").alias("f"), F.col("first.row_at").alias("r"))
     texts = docs.join(leads, (docs["file_key"] == leads["f"]) & (docs["row_at"] == leads["r"])).select("cid", "text")
     sets = written(texts.mapInArrow(_sets(width), _SET_SCHEMA))
@@ -194,10 +191,10 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
     parts = components(links)
     release(links)
 
-    # what is left: classes of buckets with over three classes (fewer are complete by now) in several components
-    owned = written(members.select("bucket", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component")))
+    # what is left: classes of buckets with over three classes in several components
+    owned = written(members.filter("size > 3").select("bucket", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component")))
     release(members)
-    split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2 and size > 3")
+    split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
     open_ = owned.join(split.select("bucket"), "bucket", "left_semi").select("cid", "component").distinct()
     rest = written(_prefix_pairs(open_.join(sets, "cid"), percent))
     release(owned)
@@ -205,19 +202,22 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
     release(rest, sets)
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
 
-    # from classes to components: the first row of each, in the order of doc_id
-    final = classes.select("cid", "first").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    final = written(final.join(joined, "component", "left").select("cid", "first", F.coalesce("top", "component").alias("component")))
-    release(classes)
-    heads = final.groupBy("component").agg(F.min("first").alias("head"))
-    return own, final.select("cid", "component").join(heads, "component").select("cid", F.col("head.doc_id").alias("lead"), F.col("head.file_key").alias("file"), F.col("head.row_at").alias("at"))
+    # linked classes and the first row of their component, in the order of doc_id; any other class is its own
+    ones = parts.select(F.col("node").alias("cid"), "component").join(joined, "component", "left").select("cid", F.coalesce("top", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("cid"), F.col("top").alias("component")).join(parts.select(F.col("node").alias("cid")), "cid", "left_anti")
+    ones = written(ones.unionByName(alone).join(classes.select("cid", "first"), "cid"))
+    heads = ones.groupBy("component").agg(F.min("first").alias("head"))
+    found = ones.join(heads, "component").select("cid", "head")
+    final = written(classes.select("set_key", "cid", "first").join(found, "cid", "left").select("set_key", F.coalesce("head", "first").alias("head")))
+    release(classes, ones)
+    return signed, final.select("set_key", F.col("head.doc_id").alias("lead"), F.col("head.file_key").alias("file"), F.col("head.row_at").alias("at"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id linked with it, directly or not)
     and kept (doc_id = component_id)."""
     own, classes = _linked(docs, width, percent, bands, rows)
-    found = own.join(classes.select("cid", "lead"), "cid", "left").withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("lead")))
+    found = own.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "lead"), "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("lead")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -226,5 +226,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ban
     row of each component stays, also where ids repeat or are null, and every row without words."""
     docs = placed(docs, "_near_file", "_near_at")
     own, classes = _linked(docs, width, percent, bands, rows)
-    gone = own.join(classes, "cid").filter("file_key <> file or row_at <> at").select("file_key", "row_at")
+    gone = own.join(classes, "set_key").filter("file_key <> file or row_at <> at").select("file_key", "row_at")
     return docs.join(gone, (docs["_near_file"] == gone["file_key"]) & (docs["_near_at"] == gone["row_at"]), "left_anti").drop("_near_file", "_near_at")

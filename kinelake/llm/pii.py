@@ -4,9 +4,11 @@ High-recall generators propose overlapping spans of eight kinds; boosted trees s
 context; calibrated thresholds (one for each kind) select what is redacted. Spans of the four base kinds that pass
 their checks (octets, Luhn, number of digits) always stay; the trees decide on the other kinds, where they do not
 overlap a base span. The trees are fitted on ``rows`` sentences made from a seed, half of which set the calibration
-(Platt) and the thresholds; no corpus row is used.
+(Platt) and the thresholds; no corpus row is used. Names and hosts in them are random syllables. The features know no
+context words of their own: the weight of a word is learned from the sentences, and one that they lack weighs nothing.
 
-Defined cases: null and empty texts have no spans; spans count code points, end exclusive; other columns are ignored.
+Defined cases: null and empty texts have no spans; spans count code points, end exclusive; bytes that are no UTF-8 are
+taken as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +28,31 @@ from .boosting import Boosting
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("spoken_email", "local_phone", "national_id", "iban")
 KINDS = BASE + EXTRA
-ROWS, SEED, PRECISION = 4000, 7, 0.98
+ROWS, SEED, PRECISION = 8000, 7, 0.98
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _OTHER = {
-    "spoken_email": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}(?![A-Za-z])"),
+    "spoken_email": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\((?i:at)\)|\[(?i:at)\]| (?i:at) ) ?(?:[A-Za-z0-9-]{1,63} ?(?:\((?i:dot)\)|\[(?i:dot)\]| (?i:dot) ) ?){1,4}[A-Za-z]{2,10}(?![A-Za-z])"),
     "local_phone": re.compile(r"(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
-#: fixed values: words before a span that speak for or against it
-_FOR = re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|mail|contact|reach|ssn|social|iban|account|bank|card|pay|ip|host|address|number|write)\b")
-_AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|build|ticket|ref|part|item|isbn|page|total|sum|score|code|serial|model|step)\b")
+#: fixed values: common endings of host names, and common words that stand before or after "at" and "dot" in prose
+ENDINGS = frozenset("com org net edu gov mil int info biz io dev app ai co uk de fr it es nl be ch at eu us ca au jp cn in br ru se no dk fi pl pt cz gr ie nz za mx".split())
+COMMON = frozenset(
+    "i me you he she it we us they them this that these those who what all any some most least once last first next time day night home work school house end top bottom back front side place point line look looked looking "
+    "stay stayed meet met be was is are were been arrive arrived good bad better best not the a an to of on in by for with from or and but so as if then than there here now again one two three small big red blue product".split()
+)
+_SPLIT = re.compile(r"(?i)\W+(?:at|dot)\W+")
+_WORDS = re.compile(r"[a-z]+")
+
+
+def context(text: str, start: int) -> list[str]:
+    """Stems of the words before a span, the nearest last."""
+    return [w[:5] for w in _WORDS.findall(text[max(0, start - 32) : start].lower())][-3:]
 
 
 def luhn(digits: str) -> bool:
@@ -87,47 +99,91 @@ def base_candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     found = list(base_candidates(text))
     for kind, pattern in _OTHER.items():
-        if kind != "spoken_email" or "dot" in text:
+        if kind != "spoken_email" or "dot" in text.lower():
             found += [(kind, m.start(), m.end(), False) for m in pattern.finditer(text)]
     return found
 
 
-def features(text: str, kind: str, start: int, end: int, passed: bool) -> list[float]:
-    own, before, after = text[start:end], text[max(0, start - 32) : start], text[end : end + 12]
-    digits = [c for c in own if c.isdigit()]
+def features(text: str, kind: str, start: int, end: int, passed: bool, weights: dict[str, float] | None = None) -> list[float]:
+    own, before, after = text[start:end], text[max(0, start - 1) : start], text[end : end + 1]
+    digits = "".join(c for c in own if c in "0123456789")
     n = max(1, len(own))
-    iban = 0.0
+    iban = area = ending = common = 0.0
     if kind == "iban":
-        turned = re.sub(" ", "", own)
-        turned = turned[4:] + turned[:4]
-        iban = float(int("".join(str(int(c, 36)) for c in turned)) % 97 == 1)
+        turned = own.replace(" ", "")
+        iban = float(int("".join(str(int(c, 36)) for c in turned[4:] + turned[:4])) % 97 == 1)
+    elif kind == "national_id":
+        area = float(digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000")
+    elif kind == "local_phone":
+        area = float(digits[0] not in "01" and digits[3] not in "01")
+    elif kind == "spoken_email":
+        parts = [w.lower() for w in _SPLIT.split(own)]
+        ending, common = float(parts[-1] in ENDINGS), sum(w in COMMON for w in parts[:-1]) / max(1, len(parts) - 1)
+    separators = {c for c in own if not c.isalnum()}
     return [
-        float(KINDS.index(kind)), float(len(own)), len(digits) / n, sum(c.isupper() for c in own) / n, float(sum(not c.isalnum() for c in own)), float(len(set(digits))), float(passed),
-        float(luhn("".join(c for c in digits if c in "0123456789"))), float(bool(_FOR.search(before))), float(bool(_AGAINST.search(before))), float(before[-1:].isspace() or not before), float(not after or after[0] in " .,;\n"),
-        float(own.startswith(("+", "("))), iban, float("000" in own or "123456" in own), float(digits[0]) if digits and digits[0] in "0123456789" else -1.0,
+        float(KINDS.index(kind)), float(len(own)), len(digits) / n, sum(c.isupper() for c in own) / n, float(sum(not c.isalnum() for c in own)), float(len(set(digits))), float(passed), float(luhn(digits)),
+        sum((weights or {}).get(w, 0.0) for w in context(text, start)), float(before.isspace() or not before), float(not after or after in " .,;:!?)\n"), float(own.startswith(("+", "("))),
+        iban, area, ending, common, float("[" in own or ("(" in own and kind == "spoken_email")), float(len(separators)), float("000" in own or "123456" in own), float(digits[0]) if digits else -1.0,
     ]
 
 
+#: words of the made sentences: before personal data, before other numbers, before both
+_LEADS = (
+    "call|phone|contact|my number is|write to|account|card|ssn|iban|reach me at|host|mobile|fax|mail|bank account|social security|tel|text me on|address".split("|"),
+    "order|invoice|version|ticket|part|serial|isbn|total|ref|build|item|model|score|step|page|article|sku|batch|revision|lot".split("|"),
+    "|the|see|and|here is|it is|with|then|for|we saw|as in|that is|note|from|about".split("|"),
+)
+
+
+def _name(r: random.Random) -> str:
+    own = "".join(r.choice("bcdfghjklmnprstvwz") + r.choice("aeiou") for _ in range(r.randrange(2, 5)))
+    return own + r.choice(("", "", "", str(r.randrange(100))))
+
+
+def _made(r: random.Random, kind: str, good: bool) -> str:
+    """A string of the kind; one that is not good breaks a rule of its format."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        return f"{_name(r)}{r.choice('._-')}{_name(r)}@{_name(r)}.{r.choice(sorted(ENDINGS))}"
+    if kind == "ip":
+        return ".".join(str(r.randrange(256 if good else 900)) for _ in range(4))
+    if kind == "card":
+        body = digits(15)
+        return next(body + c for c in "0123456789" if luhn(body + c) == good)
+    if kind == "phone":
+        return f"+{r.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4 if good else 1)}"
+    if kind == "national_id":
+        return f"{r.randrange(1, 666):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}" if good else r.choice((f"000-{digits(2)}-{digits(4)}", f"9{digits(2)}-{digits(2)}-{digits(4)}", f"{digits(3)}-00-{digits(4)}", f"{digits(3)}-{digits(2)}-0000"))
+    if kind == "local_phone":
+        one, two = (f"{r.choice('23456789')}{digits(2)}" for _ in range(2))
+        if not good:
+            one, two = r.choice(((f"{r.choice('01')}{digits(2)}", two), (one, f"{r.choice('01')}{digits(2)}")))
+        c = r.choice("-. ")
+        return f"({one}) {two}-{digits(4)}" if r.random() < 0.2 else f"{one}{c}{two}{c}{digits(4)}"
+    if kind == "iban":
+        country, body = r.choice(("DE", "GB", "FR", "NL", "ES", "IT")), digits(r.choice((14, 18, 20)))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        own = f"{country}{check if good else (check + r.randrange(1, 90)) % 97:02d}{body}"
+        return " ".join(own[k : k + 4] for k in range(0, len(own), 4)) if r.random() < 0.3 else own
+    at, dot = r.choice(((" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) ")))
+    if good:
+        return f"{_name(r)}{r.choice(('', '.' + _name(r)))}{at}{_name(r)}{dot}{r.choice(sorted(ENDINGS))}"
+    # prose: common words around "at" and "dot", or no ending of a host name
+    words = sorted(COMMON)
+    return r.choice((f"{r.choice(words)} at {r.choice(words)} dot {r.choice(('it', 'in', 'at', 'product', 'one', _name(r)))}", f"{_name(r)} at {r.choice(words)} dot {_name(r)}", f"{_name(r)} at {_name(r)} dot {_name(r)}xq"))
+
+
 def training_rows(rows: int = ROWS, seed: int = SEED) -> Iterator[tuple[str, str, int, int, bool, int]]:
-    """Made sentences with one candidate each: (text, kind, start, end, passed, label)."""
+    """Made sentences with one candidate each: (text, kind, start, end, passed, label). A good string is personal data
+    but after a word that says that it is another number; a bad one never is."""
     r = random.Random(seed)
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    good = ("call ", "phone: ", "contact ", "my number is ", "write to ", "account ", "card ", "ssn ", "iban ", "reach me at ", "host ", "")
-    bad = ("order ", "invoice ", "version ", "ticket ", "part ", "serial ", "isbn ", "total ", "ref ", "build ", "")
     made = 0
     while made < rows:
-        label = r.randrange(2)
-        kind = r.choice(KINDS)
-        name, host = r.choice(("ann", "jo.b", "k-lee", "max_9")), r.choice(("mail", "acme", "uni-x"))
-        own = {
-            "email": f"{name}@{host}.com", "ip": ".".join(str(r.randrange(1, 255 if label else 900)) for _ in range(4)), "card": digits(16), "phone": f"+{digits(2)} ({digits(3)}) {digits(3)}-{digits(4)}",
-            "spoken_email": f"{name} at {host} dot {'com' if label else 'product'}", "local_phone": f"{r.choice('23456789') if label else '0'}{digits(2)}{r.choice('-. ')}{digits(3)}-{digits(4)}", "national_id": f"{digits(3)}-{digits(2)}-{digits(4)}",
-        }.get(kind)
-        if kind == "iban":
-            body = digits(18)
-            check = 98 - int(body + "131400") % 97  # D and E are 13 and 14
-            own = f"DE{check if label else (check + 7) % 97:02d}{body}"
-        text = f"the {r.choice(good if label else bad)}{own}{r.choice((' now', '.', ', and', ''))}"
+        kind, good, lead = r.choice(KINDS), r.random() < 0.6, r.choice((0, 1, 2, 2))
+        label = int(good and lead != 1)
+        own = _made(r, kind, good)
+        before = r.choice(_LEADS[lead])
+        text = f"{r.choice(('the ', '', 'well, '))}{before}{r.choice((' ', ': ')) if before else ''}{own}{r.choice((' now', '.', ', and', '', ' or so'))}"
         start = text.index(own)
         passed = next((c[3] for c in candidates(text) if c[:3] == (kind, start, start + len(own))), None)
         if passed is not None:
@@ -140,8 +196,14 @@ class Model:
 
     def __init__(self, rows: int = ROWS, seed: int = SEED, precision: float = PRECISION):
         made = list(training_rows(rows, seed))
-        x, y = np.array([features(*m[:5]) for m in made]), np.array([m[5] for m in made], float)
-        half = len(y) // 2
+        y, half = np.array([m[5] for m in made], float), len(made) // 2
+        #: weight of a context word: its log-odds in the first half of the sentences
+        seen: dict[str, list[int]] = {}
+        for text, _, start, _, _, label in made[:half]:
+            for w in set(context(text, start)):
+                seen.setdefault(w, [0, 0])[label] += 1
+        self.weights = {w: float(np.log((a + 1) / (b + 1))) for w, (b, a) in seen.items() if a + b >= 5}
+        x = np.array([features(*m[:5], self.weights) for m in made])
         self.trees = Boosting().fit(x[:half], y[:half])
         raw, truth = self.trees.raw(x[half:]), y[half:]
         self.a, self.b = 1.0, 0.0
@@ -164,7 +226,7 @@ class Model:
         found = candidates(text)
         if not found:
             return []
-        raw = self.trees.raw(np.array([features(text, *c) for c in found]))
+        raw = self.trees.raw(np.array([features(text, *c, self.weights) for c in found]))
         chance = 1 / (1 + np.exp(-(self.a * raw + self.b)))
         kept = [c[:3] for c in found if c[3]]
         taken = sorted((a, b) for _, a, b in kept)
@@ -194,7 +256,7 @@ def find_pii(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> DataFrame:
                 for d in range(piece.num_rows):
                     own = buf[offsets[d] : offsets[d + 1]].tobytes()
                     # a span of any kind has a digit or an @, but for spoken addresses, which say "dot"
-                    out.append(model.spans(own.decode()) if hits[d] < hits[d + 1] or b"dot" in own else [])
+                    out.append(model.spans(own.decode("utf-8", "replace")) if hits[d] < hits[d + 1] or b"dot" in own.lower() else [])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in out], kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

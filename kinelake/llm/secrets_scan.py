@@ -7,7 +7,11 @@ reach ``NOVELTY`` of what random strings of the same alphabet and length cost un
 kind "novel". Spans of the three base kinds (assign, access, hex) always stay; a novel span that overlaps one is not
 reported again. Strings without a digit are no candidates: a plain word of 16 letters costs as much as a random string.
 
-Defined cases: null and empty texts have no spans; spans count code points, end exclusive; other columns are ignored.
+What the novelty measure sees is set by two parameters of ``spans``: ``around`` characters on both sides are the
+surroundings, and a string is in sensitive context if it starts within ``reach`` characters after a context word.
+
+Defined cases: null and empty texts have no spans; spans count code points, end exclusive; bytes that are no UTF-8 are
+taken, and written by the redaction, as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,11 +85,11 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return min(1.0, added / max(1.0, random_cost(alphabet(candidate), len(candidate))))
 
 
-def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
-    """The ``AROUND`` characters on both sides of text[a:b], with copies of it (cut ones at the edges too) blanked out."""
+def surroundings(text: str, a: int, b: int, around: int = AROUND) -> tuple[str, str]:
+    """The ``around`` characters on both sides of text[a:b], with copies of it (cut ones at the edges too) blanked out."""
     core = text[a:b].strip("+/_=-") or text[a:b]
-    blank, more = " " * len(core), AROUND + len(core) - 1
-    return text[max(0, a - more) : a].replace(core, blank)[-AROUND:], text[b : b + more].replace(core, blank)[:AROUND]
+    blank, more = " " * len(core), around + len(core) - 1
+    return text[max(0, a - more) : a].replace(core, blank)[-around:], text[b : b + more].replace(core, blank)[:around]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -94,7 +98,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
+def spans(text: str, reach: int = REACH, around: int = AROUND) -> list[tuple[str, int, int]]:
     """All spans, by start, then kind as listed."""
     found = base_spans(text)
     taken = [(a, b) for _, a, b in found]
@@ -102,7 +106,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     end = walked = -1
     for c in _CONTEXT.finditer(folded):
         for m in _RUN.finditer(text, c.end()):
-            if m.start() > c.end() + REACH:
+            if m.start() > c.end() + reach:
                 break
             # parts joined by dots are one token: what announces the first announces all
             while m:
@@ -110,7 +114,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 own = m[0]
                 if b - a >= SHORTEST and a >= end and any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and not any(a < e and s < b for s, e in taken):
                     end = b
-                    if novelty(own, *surroundings(text, a, b)) >= NOVELTY:
+                    if novelty(own, *surroundings(text, a, b, around)) >= NOVELTY:
                         found.append(("novel", a, b))
                 m = _RUN.match(text, b + 1) if b >= walked and text[b : b + 1] == "." else None
                 walked = max(walked, b)
@@ -148,7 +152,7 @@ def find_secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
         for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             raw, folded = buf[a:b].tobytes(), low[a:b].tobytes()
             long_hex = b - a >= 16 and full[b - 15] > full[a]
-            out.append(spans(raw.decode()) if long_hex or b"AKIA" in raw or any(w in folded for w in words) else [])
+            out.append(spans(raw.decode("utf-8", "replace")) if long_hex or b"AKIA" in raw or any(w in folded for w in words) else [])
         return out
 
     if redacted:
@@ -158,7 +162,7 @@ def find_secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
         def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in T.pieces(batch):
-                    texts = piece.column(at).to_pylist()
+                    texts = [t if v else None for t, v in zip(T.texts(piece.column(at)), piece.column(at).is_valid().to_pylist(), strict=True)]
                     new = [redact(t, s) if s else t for t, s in zip(texts, found_in(piece.column(at)), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(new, piece.column(at).type) if k == at else piece.column(k) for k in range(len(names))], names=names)
 

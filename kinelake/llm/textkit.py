@@ -52,6 +52,13 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def texts(column) -> Iterator[str]:
+    """The texts one by one; a null is empty, and bytes that are no UTF-8 become U+FFFD."""
+    buf, offsets = flat(column)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield buf[a:b].tobytes().decode("utf-8", "replace")
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with at most ``limit`` bytes of text each, or one row."""
     _, offsets = flat(batch.column(batch.schema.get_field_index(text)))
@@ -124,6 +131,10 @@ class Words:
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.hash = hash_ranges(self.buf, self.starts, self.ends) if hashes else None
 
+    def points(self) -> np.ndarray:
+        """Code points before each byte (one entry more than there are bytes)."""
+        return np.concatenate([[0], np.cumsum((self.buf & 0xC0) != 0x80)])
+
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 

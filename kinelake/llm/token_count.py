@@ -8,7 +8,8 @@ a text is that of its marked words one after another, and equal words are solved
 
 The vocabulary is read from a public SentencePiece model file (parameter), pieces and scores as they stand; nothing
 is trained. Blanks become the word mark, and a text that is not empty gets one in front.
-Defined cases: null and empty texts have 0 tokens; other columns are ignored.
+Scores and counts are kept for the reach of the longest piece only, so a text of one long word takes no more memory.
+Defined cases: null and empty texts have 0 tokens; bytes that are no UTF-8 count as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as T
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO = 200_000
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def read_pieces(model_file: str) -> list[tuple[str, float, int]]:
@@ -43,26 +47,40 @@ class Viterbi:
         for p, s in normal.items():
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
-        self.single = {p for p in normal if len(p) == 1}
+        self.ring = 1 + max(map(len, normal))
         self.apart = not any(MARK in p.lstrip(MARK) for p in normal)
         self.memo: dict[str, int] = {}
 
     def solve(self, text: str) -> int:
-        """Pieces on the best path."""
-        n = len(text)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+        """Pieces on the best path. The automaton reports the pieces that end at a character from the longest to the
+        shortest, that is by ascending start; scores and counts are kept for the longest piece's reach only."""
+        ring = self.ring
+        score, count = [0.0] * ring, [0] * ring
+        at = 0  # characters done
+        best, number, covered = None, 0, False
         for end, (size, s) in self.automaton.iter(text):
-            ends[end].append((end + 1 - size, s, 1))
-        for e, c in enumerate(text):
-            if c not in self.single:
-                ends[e].append((e, self.unknown, len(c.encode("utf-8", "replace"))))
-            best = None
-            for start, s, k in sorted(ends[e]):
-                if best is None or score[start] + s > best:
-                    best, number = score[start] + s, count[start] + k
-            score[e + 1], count[e + 1] = best, number
-        return count[n]
+            while at < end:
+                self._close(text, at, best, number, covered, score, count)
+                at += 1
+                best, covered = None, False
+            start = (end + 1 - size) % ring
+            total = score[start] + s
+            if best is None or total > best:
+                best, number = total, count[start] + 1
+            covered = covered or size == 1
+        for at in range(at, len(text)):
+            self._close(text, at, best, number, covered, score, count)
+            best, covered = None, False
+        return count[len(text) % ring]
+
+    def _close(self, text, at, best, number, covered, score, count) -> None:
+        """Ends the character at ``at``: an unknown piece competes where no piece is this one character."""
+        ring = self.ring
+        if not covered:
+            other = score[at % ring] + self.unknown
+            if best is None or other > best:
+                best, number = other, count[at % ring] + len(text[at].encode("utf-8", "replace"))
+        score[(at + 1) % ring], count[(at + 1) % ring] = best, number
 
     def tokens(self, text: str) -> int:
         if not text:
@@ -71,7 +89,8 @@ class Viterbi:
         if not self.apart:
             return self.solve(text)
         total, memo = 0, self.memo
-        for word in re.findall(f"{MARK}+[^{MARK}]*", text):
+        for m in _WORD.finditer(text):
+            word = m[0]
             k = memo.get(word)
             if k is None:
                 k = self.solve(word)
@@ -90,7 +109,7 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Viterbi(shared.value)
         for batch in batches:
-            counts = [model.tokens(t.as_py() or "") for t in batch.column(1)]
+            counts = [model.tokens(t) for t in T.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -8,8 +8,9 @@ feature with high log-odds are tagged. The field is fitted by gradient ascent on
 (forward-backward) of segments; the marginals of the words that say something, exact in the whole text, are aggregated
 to a document score by a logistic model, and words with a marginal of at least one half are the offending spans.
 
-The fit uses at most ``bound`` documents labelled toxic and three times as many others, taken by the order of a hash of
-doc_id, and none whose crc32(doc_id as text) mod 5 is 0; of the segments where no word says anything, one in eight.
+Emissions and tags so rest on the same log-odds: the field smooths a learned word list along the text, it does not see
+more than that. The fit uses at most ``bound`` documents labelled toxic and three times as many others (at most ``BYTES`` of
+text), taken by the order of a hash of doc_id, and none whose crc32(doc_id as text) mod 5 is 0; of the segments where no word says anything, one in eight.
 Scores never use labels, lang, source or doc_id.
 
 Defined cases: a null text is empty and gets the score of no marginals; a doc_id labelled more than once is toxic if
@@ -23,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as T
 
 BOUND, SEGMENT, STEPS = 500, 64, 60
+#: most bytes of text that the fit reads
+BYTES = 16 << 20
 #: lower edges of the bins of log-odds; bin 0, below the first, says nothing
 EDGES = (1.5, 2.5, 3.5, 5.0)
 TAG_ODDS, SIGNIFICANT = 2.5, 25.0
@@ -224,18 +227,24 @@ def _gradient(x, y, inside, start, move, emit, width):
     return grad, varied
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> tuple[list[str], list[int]]:
-    """At most ``bound`` toxic texts and three times as many others, by the order of a hash of doc_id, outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND, bytes_: int = BYTES) -> tuple[list[str], list[int]]:
+    """At most ``bound`` toxic texts and three times as many others, by the order of a hash of doc_id, outside the
+    held-out fold; of both classes those whose texts take ``bytes_`` / 2 together, in that order (at least one each)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out("doc_id")).withColumn("h", F.xxhash64("doc_id"))
     ids = known.filter("toxic = 1").orderBy("h", "doc_id").limit(bound).unionByName(known.filter("toxic <> 1").orderBy("h", "doc_id").limit(3 * bound))
-    # the ids are at most four times the bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic", "h")), "doc_id").orderBy("h", "doc_id", "text").select("text", "toxic").collect()
-    return [r["text"] or "" for r in rows], [int(r["toxic"] == 1) for r in rows]
+    # the ids are at most four times the bound; a repeated id may bring several rows, of which the limit below takes as many
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic", "h")), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    sized = rows.select("doc_id", "toxic", "h", "size", F.xxhash64("text").alias("t")).orderBy("h", "doc_id", "t").limit(8 * bound)
+    before = Window.partitionBy("toxic").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    fits = sized.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") + F.col("size") <= bytes_ // 2)).select("doc_id", "t").distinct()
+    taken = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(fits), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).orderBy("h", "doc_id", "t").select("text", "toxic").collect()
+    return [r["text"] or "" for r in taken], [int(r["toxic"] == 1) for r in taken]
 
 
 def held_out(key: str):
-    return F.crc32(F.col(key).cast("string")) % 5 == 0
+    """Whether a row is held out; a row without doc_id is not (nor is it ever learned from)."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -251,13 +260,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Da
             for piece in T.pieces(batch):
                 words = T.Words(piece.column(1), T.ALNUM_WORDS)
                 scores, spans = [], []
+                points = words.points()
                 for d, (at, chance) in enumerate(field.documents(words)):
                     scores.append(field.score(chance))
                     own = []
                     for i, p in zip(at[chance >= 0.5], chance[chance >= 0.5], strict=True):
-                        a, b, first = int(words.starts[i]), int(words.ends[i]), int(words.offsets[d])
-                        start = len(words.buf[first:a].tobytes().decode())
-                        own.append({"start": start, "end": start + len(words.buf[a:b].tobytes().decode()), "marginal": float(p)})
+                        start, end, first = (int(points[x]) for x in (words.starts[i], words.ends[i], words.offsets[d]))
+                        own.append({"start": start - first, "end": end - first, "marginal": float(p)})
                     spans.append(own)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 

@@ -34,7 +34,7 @@ def test_edge_cases(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
     bench = spark.createDataFrame([(1, None), (None, ""), (2, "a b"), (2, "a b")], "item_id long, text string")
     runs = {
-        "near": near_dedup.near_duplicates, "cut": substring_dedup.remove_repeats, "leak": lambda x: decontaminate.decontaminate(x, bench), "pii": lambda x: pii.find_pii(x, rows=400),
+        "near": near_dedup.near_duplicates, "tokens": lambda x: token_count.token_counts(x, Q.MODEL_FILE), "cut": substring_dedup.remove_repeats, "leak": lambda x: decontaminate.decontaminate(x, bench), "pii": lambda x: pii.find_pii(x, rows=400),
         "secret": secrets_scan.find_secrets, "mix": mixing.mix, "print": fingerprint.fingerprints, "license": licenses.scan_licenses, "toxic": lambda x: toxicity.score_toxicity(x, labels),
     }
     for name, run in runs.items():
@@ -97,8 +97,9 @@ def test_substrings_equal_brute_force(spark, corpus):
             seen.add(b[p : p + 100])
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want[i] = (len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
-    got = substring_dedup.remove_repeats(spark.read.parquet(f"{FOLDER}/documents.parquet"), block_bytes=100_000)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == want
+    for rows in (substring_dedup.remove_repeats(spark.read.parquet(f"{FOLDER}/documents.parquet"), block_bytes=100_000).collect(),):
+        assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in rows} == want
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op3_substring_dedup(spark, FOLDER).collect()} == want
 
 
 def test_cover_has_every_difference():
@@ -157,35 +158,143 @@ def test_flight_keeps_totals():
     assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2
 
 
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = ((x ^ (x >> shift)) * factor) & (1 << 64) - 1
+    return x
+
+
+def word_hash(word):
+    """The hash of one word, block by block."""
+    h = mixed((len(word) + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    for k in range(0, len(word), 8):
+        h = mixed((h ^ int.from_bytes(word[k : k + 8], "little")) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    return h
+
+
+def print_by_loops(text):
+    """Wide words and lanes of one text, number by number."""
+    wide, lanes = [0] * 4, [0] * 256
+    seeds = [mixed(k) for k in range(1, 5)]
+    for line in text.encode().split(b"\n"):
+        if not line:
+            continue
+        digest = hashlib.blake2b(line, digest_size=32).digest()
+        wide = [(w + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % 2**64 for k, w in enumerate(wide)]
+        own = [word_hash(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", line)]
+        for i, h in enumerate(own):
+            if i:
+                h += own[i - 1] * 0xC2B2AE3D27D4EB4F
+            if i > 1:
+                h += own[i - 2] * 0x165667B19E3779F9
+            for s, seed in enumerate(seeds):
+                raw = mixed((h + seed) % 2**64).to_bytes(8, "little")
+                for b in range(64):
+                    lanes[64 * s + b] += 1 if raw[b // 8] >> 7 - b % 8 & 1 else -1
+    return wide, lanes
+
+
 def test_fingerprints(spark, corpus):
+    """All columns of the query against single texts, and single texts against plain loops."""
     got = {r.doc_id: r for r in fingerprint.fingerprints(spark.read.parquet(f"{FOLDER}/documents.parquet"), block_bytes=60_000).collect()}
+    P = lambda t: fingerprint.Prints.of(pa.array([t]))  # noqa: E731, N806
     for k, (i, t) in enumerate(corpus):
-        e = fingerprint.edited(t, corpus[(k + 1) % len(corpus)][1])
+        following = corpus[(k + 1) % len(corpus)][1]
+        e = fingerprint.edited(t, following)
         assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[i].n_chars == len(t)
-    P = lambda t: fingerprint.Prints.of(pa.array([t]))  # noqa: E731, N806
+        assert got[i].fingerprint == P(t).text()[0] and got[i].edited_fingerprint == P(e).text()[0]
+        assert (got[i].near_edited, got[i].near_next) == (fingerprint.likeness(P(t), P(e))[0], fingerprint.likeness(P(t), P(following))[0])
+    for text in ["", "one two three\n\nfour", "é " * 3 + "a_long_word_of_twenty_bytes\tx\n", corpus[3][1][:400]]:
+        wide, lanes = print_by_loops(text)
+        assert P(text).wide[0].tolist() == wide and P(text).lanes[0].tolist() == lanes
+    a, b = print_by_loops("one two three")[1], print_by_loops("one two four")[1]
+    gap, norm = sum((x - y) ** 2 for x, y in zip(a, b, strict=True)), sum(x * x for x in a) + sum(y * y for y in b)
+    assert abs(fingerprint.likeness(P("one two three"), P("one two four"))[0] - max(0, 1 - gap / norm)) < 1e-12
     assert P("one two\nthree four").text() == P("three four\none two").text()
     assert P("a b\nc d").subtract(P("c d")).text() == P("a b").text() and P("a b").add(P("c d")).text() == P("c d\na b").text()
 
 
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 def test_licenses():
     s = licenses.Scanner()
-    text = "Under the MIT License. Apache License, Version 2! cc-by-nc cc by nc " + licenses.TEMPLATES[4][0]
+    text = "Under the MIT License. Apache License, Version 2! cc-by-nc cc by nc " + next(t for t, label in licenses.TEMPLATES if label == "isc")
     n, places, covers, spans = next(s.scan(pa.array([text])))
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    words = plain_words(text)
     want = sorted((k, i) for k, (p, _) in enumerate(licenses.PHRASES) for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
     assert n == len(words) and sorted(places) == want and covers["isc"] == 1.0 and any(x[0] == "isc" for x in spans)
 
 
-def test_token_counts_equal_library():
+def test_licenses_on_corpus(spark, corpus):
+    phrases = [(p.split(), label) for p, label in licenses.PHRASES]
+    for r in Q.op9_licenses(spark, FOLDER).collect():
+        words = plain_words(dict(corpus)[r.doc_id])
+        found = [(i, label) for p, label in phrases for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts = [i for i, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(found), min(starts, default=None), max(starts, default=None))
+        base = sorted({label for _, label in found})
+        assert r.base_labels == ",".join(base) and set(base) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1 and (r.score == 1 or not base)
+
+
+def test_every_template_that_a_text_holds():
+    """A template inside another one, and runs that several templates share, against a search by brute force."""
+    inner = "one two three four five six seven eight"
+    outer = f"zero {inner} nine ten eleven twelve thirteen"
+    other = "two three four five six x y z two three four five"
+    s = licenses.Scanner((), ((inner, "inner"), (outer, "outer"), (other, "other")))
+    covers = lambda text: next(s.scan(pa.array([text])))[2]
+    assert covers(f"a {inner} b")["inner"] == 1.0
+    assert covers(outer) == {"inner": 1.0, "outer": 1.0, "other": 5 / 12}
+    assert covers(f"q {other} q")["other"] == 1.0
+    for text in (outer, other, "seven two three four five six x", inner):
+        words = text.split()
+        steps = list(s.automaton.statistics([s.vocabulary.get(w.encode(), -1) for w in words]))
+        for i, (v, n) in enumerate(steps):
+            runs = s.automaton.runs(v, n)
+            for t, template in enumerate((inner, outer, other)):
+                own = template.split()
+                longest = max((k for k in range(len(words) + 1) if k <= i + 1 and any(own[j : j + k] == words[i + 1 - k : i + 1] for j in range(len(own)))), default=0)
+                assert runs.get(t, (0, 0))[1] == (longest if longest >= licenses.LEAST else 0), (text, i, t)
+
+
+def test_token_counts_equal_library(corpus):
+    """Every word of the corpus, whole texts and ties, against a tokenizer library with the same pieces and scores."""
     from tokenizers import Tokenizer, models
 
     pieces = token_count.read_pieces(Q.MODEL_FILE)
     normal = [(p, s) for p, s, kind in pieces if kind == 1]
     library = Tokenizer(models.Unigram([("<unk>", -1e6), *normal], unk_id=0))
     ours = token_count.Viterbi(pieces)
-    for text in ["the cat sat on the mat", "Éçoi enè  double  space", "aaaaaaaaaaaa", "unbelievable tokenisation, really?"]:
+    single = {p for p, _ in normal if len(p) == 1}
+    words = {w for _, t in corpus for w in t.split(" ") if w and not set(w) - single}
+    assert len(words) > 1000
+    for text in ["the cat sat on the mat", "aaaaaaaaaaaa", "unbelievable tokenisation, really?", *words]:
         marked = token_count.MARK + text.replace(" ", token_count.MARK)
-        assert ours.tokens(text) == len(library.encode(marked).ids) == ours.solve(marked)
+        assert ours.tokens(text) == len(library.encode(marked).ids) == ours.solve(marked), text
+    for _, text in corpus[:40]:
+        assert ours.tokens(text) == (ours.solve(token_count.MARK + text.replace(" ", token_count.MARK)) if text else 0)
+
+
+def test_token_counts_by_enumeration():
+    """All ways to cut a short word: best score, then the way whose last piece starts first, and so on back."""
+    from itertools import product
+
+    scores = {"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.0, "aba": -2.5, "bab": -3.0, token_count.MARK: -1.0}
+    ours = token_count.Viterbi([(p, s, 1) for p, s in scores.items()])
+
+    def cut(text):
+        best = {0: (0.0, 0)}
+        for end in range(1, len(text) + 1):
+            ways = [(best[a][0] + (scores[text[a:end]] if text[a:end] in scores else ours.unknown), -a, best[a][1] + (1 if text[a:end] in scores else len(text[a:end].encode()))) for a in range(end) if text[a:end] in scores or end - a == 1]
+            score, _, count = max(ways)
+            best[end] = (score, count)
+        return best[len(text)][1]
+
+    for n in range(1, 8):
+        for word in map("".join, product("abé", repeat=n)):
+            assert ours.solve(token_count.MARK + word) == cut(token_count.MARK + word), word
 
 
 def test_toxicity_held_out(spark):
