@@ -29,6 +29,66 @@ def resize_bilinear(pixels: Column, height: int, width: int, to_height: int, to_
     return F.when(pixels.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), value))
 
 
+def resize_nearest(pixels: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
+    """Resize that takes the pixel at the scaled place, rounded down; NULL stays NULL."""
+    place = lambda k, size, to: F.floor(k * size / to)
+    value = lambda k: F.get(pixels, (place(F.floor(k / to_width), height, to_height) * width + place(k % to_width, width, to_width)).cast("int")).cast("double")
+    return F.when(pixels.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), value))
+
+
+def crop(pixels: Column, width: int, top: Column, left: Column, to_height: int, to_width: int) -> Column:
+    """A rectangle of the image."""
+    row = lambda y: F.slice(pixels, ((top + y) * width + left + 1).cast("int"), to_width)
+    return F.when(pixels.isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(to_height - 1)), row)))
+
+
+def cropped_size(size: int, ratio: float) -> int:
+    return max(1, int(size * ratio))
+
+
+def crop_and_resize(pixels: Column, height: int, width: int, ratio: float, top: Column, left: Column, depth: bool = False) -> Column:
+    """A rectangle of ``ratio`` of both sides, resized back: bilinear, or by the nearest pixel for depth, whose steps must
+    not blend. All frames of a view, colour and depth, share one origin; a rectangle as large as the image changes nothing."""
+    h, w = cropped_size(height, ratio), cropped_size(width, ratio)
+    if (h, w) == (height, width):
+        return pixels
+    own = crop(pixels, width, top, left, h, w)
+    return (resize_nearest if depth else resize_bilinear)(own, h, w, height, width)
+
+
+def three_channels(pixels: Column, channels: Column) -> Column:
+    """Interleaved pixels of three channels: one channel is repeated, of more than three the first three stay; any other
+    number is an error."""
+    starts = F.sequence(F.lit(0), F.floor(F.size(pixels) / channels).cast("int") - 1)
+    taken = F.flatten(F.transform(starts, lambda k: F.slice(pixels, (k * channels + 1).cast("int"), 3)))
+    repeated = F.flatten(F.transform(pixels, lambda v: F.array_repeat(v, 3)))
+    return F.when(channels == 1, repeated).when(channels >= 3, taken).otherwise(F.raise_error(F.format_string("%d channels", channels)).cast("array<float>"))
+
+
+def patches(pixels: Column, height: int, width: int, size: int) -> Column:
+    """Pixels patch by patch, each by rows."""
+    across = width // size
+    at = lambda k: (F.floor(k / (size * size * across)) * size + F.floor(k % (size * size) / size)) * width + F.floor(k / (size * size)) % across * size + k % size
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: F.get(pixels, at(k).cast("int")))
+
+
+def unpatched(tokens: Column, height: int, width: int, size: int) -> Column:
+    """The image whose patches these are."""
+    across = width // size
+
+    def at(k: Column) -> Column:
+        y, x = F.floor(k / width), k % width
+        return (F.floor(y / size) * across + F.floor(x / size)) * (size * size) + y % size * size + x % size
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: F.get(tokens, at(k).cast("int")))
+
+
+def side_by_side(views: list[Column], height: int, width: int) -> Column:
+    """Views of one size as one image, row by row."""
+    row = lambda y: F.concat(*(F.slice(v, (y * width + 1).cast("int"), width) for v in views))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), row))
+
+
 def rgb(red: Column, green: Column, blue: Column) -> Column:
     """Three planes as one array of (r, g, b) pixels."""
     return F.arrays_zip(red.alias("r"), green.alias("g"), blue.alias("b"))

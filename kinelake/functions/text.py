@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql.types import StringType
 #: every character that counts as blank: Unicode White_Space and U+001C to U+001F
 BLANK = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: fixed values: words for true and false
 TRUE_WORDS, FALSE_WORDS = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "n", "0")
 
 
@@ -38,11 +41,39 @@ def canonicalize(text: Column, keep: str | None = None) -> Column:
     return whitespace_clean(F.lower(F.translate(text, "_" + others, " ")))
 
 
+#: characters that bytes 0x80 to 0xBF became when UTF-8 was read as Windows-1252 (Latin-1 where that has none)
+_TAIL = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xC0))
+_BROKEN = re.compile("(?:[ÂÃ][{0}]|â[{0}]{{2}}|ð[{0}]{{3}})+".format(re.escape(_TAIL)))
+_BYTES = {c: 0x80 + k for k, c in enumerate(_TAIL)} | {c: ord(c) for c in "ÂÃâð"}
+_PLAIN = str.maketrans({**dict.fromkeys("‘’‚‛", "'"), **dict.fromkeys("“”„‟", '"'), "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "\u2028": "\n", "\u2029": "\n", "\x85": "\n"})
+_CONTROLS = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f\ufeff\ufff9-\ufffb]")
+
+
+def repair(text: str) -> str:
+    """Mojibake read back (UTF-8 once read as Windows-1252 or Latin-1: characters of U+0080 to U+00FF, general
+    punctuation and four-byte ones, up to three times over), curly quotes and ligatures made plain, full-width forms made
+    half-width, line ends and controls cleaned, then composed (NFC). Clean text stays as it is."""
+
+    def back(m: re.Match) -> str:
+        try:
+            return bytes(_BYTES[c] for c in m[0]).decode()
+        except UnicodeDecodeError:
+            return m[0]
+
+    for _ in range(3):
+        fixed = _BROKEN.sub(back, text)
+        if fixed == text:
+            break
+        text = fixed
+    wide = "".join(unicodedata.normalize("NFKC", c) if "\uff01" <= c <= "\uffee" else " " if c == "\u3000" else c for c in text) if re.search("[\u3000\uff01-\uffee]", text) else text
+    return unicodedata.normalize("NFC", _CONTROLS.sub("", wide.translate(_PLAIN).replace("\r\n", "\n").replace("\r", "\n")))
+
+
 @F.pandas_udf(StringType())
 def basic_clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """HTML entities resolved twice, stripped. There is no built-in for entities, hence Arrow batches."""
+    """Encoding repaired, HTML entities resolved twice, stripped. There are no built-ins for these, hence Arrow batches."""
     for s in texts:
-        yield s.map(lambda t: None if t is None else html.unescape(html.unescape(t)).strip())
+        yield s.map(lambda t: None if t is None else html.unescape(html.unescape(repair(t))).strip())
 
 
 def clean(text: Column, mode: str) -> Column:
@@ -101,6 +132,12 @@ def to_bool(text: Column) -> Column:
     return F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), text)).cast("boolean"))
 
 
+def random_name(*key, length: int = 8, suffix: str = "") -> Column:
+    """A file name of ``length`` bytes in hexadecimal, by a hash of the key, with a suffix."""
+    end = suffix if not suffix or suffix.startswith(".") else f".{suffix}"
+    return F.concat(F.substring(F.md5(F.concat_ws("_", *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key))), 1, 2 * length), F.lit(end))
+
+
 def rollout_name(rank: Column, number: Column, success: Column) -> Column:
     return F.concat_ws("_", rank.cast("string"), number.cast("string"), F.when(success, "success").otherwise("failure"))
 

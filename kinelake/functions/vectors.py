@@ -1,8 +1,8 @@
-"""Fixed-width vectors: layouts, normalisation, masks, arrays as small tensors."""
+"""Fixed-width vectors: normalisation, masks, arrays as small tensors."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,33 +10,6 @@ from pyspark.sql import functions as F
 FLOOR = 1e-6
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Names and widths of the parts of a vector; offsets are running sums."""
-
-    parts: tuple[tuple[str, int], ...]
-
-    @property
-    def offsets(self) -> dict[str, int]:
-        out, at = {}, 0
-        for name, width in self.parts:
-            out[name] = at
-            at += width
-        return out
-
-    @property
-    def width(self) -> int:
-        return sum(w for _, w in self.parts)
-
-    def take(self, array: Column, name: str) -> Column:
-        return F.slice(array, self.offsets[name] + 1, dict(self.parts)[name])
-
-
-#: 16-wide state and 14-wide action of two arms
-STATE = Layout(tuple((f"{arm}_{part}", w) for arm in ("left", "right") for part, w in (("ee_pos", 3), ("ee_quat", 4), ("gripper_pos", 1))))
-ACTION = Layout(tuple((f"{arm}_{part}", w) for arm in ("left", "right") for part, w in (("ee_pos", 3), ("ee_rotvec", 3), ("gripper", 1))))
-
-
 def normalise(x: Column, low: Column, high: Column) -> Column:
     """2 (x - q01) / max(q99 - q01, 1e-6) - 1, not clipped."""
     return 2 * (x - low) / F.greatest(high - low, F.lit(FLOOR)) - 1
@@ -160,18 +133,19 @@ def reparameterise(mean: Column, log_variance: Column, noise: Column) -> Column:
     return mean + F.exp(0.5 * F.greatest(F.least(log_variance, F.lit(20.0)), F.lit(-30.0))) * noise
 
 
-def relative_bucket(distance: Column, buckets: int = 32, furthest: int = 128, both_ways: bool = True) -> Column:
-    """Bucket of a relative position: exact near 0, log-spaced beyond, the last one for all further ones."""
-    if both_ways:
-        buckets //= 2
-        base, size = F.when(distance > 0, buckets).otherwise(0), F.abs(distance)
-    else:
-        base, size = F.lit(0), F.greatest(-distance, F.lit(0))
-    exact = buckets // 2
-    import math
+#: fixed values: number of buckets of relative positions, and the distance from which all share the last one
+BUCKETS, FURTHEST = 32, 128
+
 
-    far = exact + F.floor(F.ln(F.greatest(size, F.lit(1)).cast("double") / exact) / math.log(furthest / exact) * (buckets - exact))
-    return (base + F.when(size < exact, size).otherwise(F.least(far, F.lit(buckets - 1)))).cast("long")
+def relative_bucket(distance: Column, buckets: int = BUCKETS, furthest: int = FURTHEST, both_ways: bool = True) -> Column:
+    """Bucket of a relative position. Of the buckets of one sign the first half hold one distance each; the others
+    divide the distances up to ``furthest`` evenly on a log scale. Forward positions take the upper half of all buckets."""
+    own = buckets // 2 if both_ways else buckets
+    alone = own // 2
+    size = F.abs(distance) if both_ways else F.greatest(-distance, F.lit(0))
+    octaves = F.ln(F.greatest(size, F.lit(alone)) / F.lit(float(alone))) / math.log(furthest / alone)
+    bucket = F.least(size, F.lit(alone) + F.floor(octaves * (own - alone)), F.lit(own - 1))
+    return (bucket + (F.when(distance > 0, own).otherwise(0) if both_ways else 0)).cast("long")
 
 
 def latent_block(frame: Column) -> Column:
@@ -180,16 +154,24 @@ def latent_block(frame: Column) -> Column:
 
 
 def best_size(width: Column, height: Column, step_w: int, step_h: int, area: int) -> Column:
-    """Output size of at most ``area`` pixels in steps, nearest to the aspect ratio: width first or height first."""
-    ratio = width / height
-    w, h = F.sqrt(area * ratio), area / F.sqrt(area * ratio)
-    w1 = F.floor(w / step_w) * step_w
-    h1 = F.floor(F.lit(area) / w1 / step_h) * step_h
-    h2 = F.floor(h / step_h) * step_h
-    w2 = F.floor(F.lit(area) / h2 / step_w) * step_w
-    off = lambda a, b: F.greatest(ratio / (a / b), (a / b) / ratio)
-    first = off(w1, h1) < off(w2, h2)
-    return F.struct(F.when(first, w1).otherwise(w2).cast("long").alias("w"), F.when(first, h1).otherwise(h2).cast("long").alias("h"))
+    """Output size (w, h) of at most ``area`` pixels, both in steps, whose aspect ratio deviates least.
+
+    The candidates come from one side rounded down in steps from its ideal length and the other one filling up the area;
+    of those with equal deviation the one whose height was rounded counts."""
+
+    def steps(x: Column, step: int) -> Column:
+        return F.floor(x / step) * step
+
+    ideal = F.sqrt(F.lit(float(area)) * width / height)
+    sides = ((step_w, step_h, ideal, lambda a, b: (a, b)), (step_h, step_w, area / ideal, lambda a, b: (b, a)))
+    found = []
+    for rank, (own, other, length, as_size) in enumerate(sides):
+        rounded = steps(length, own)
+        w, h = as_size(rounded, steps(area / rounded, other))
+        off = F.abs(F.ln(w.cast("double") / h) - F.ln(width / height))
+        found.append(F.struct(F.round(off, 12).alias("off"), F.lit(-rank).alias("tie"), w.cast("long").alias("w"), h.cast("long").alias("h")))
+    best = F.array_min(F.array(*found))
+    return F.struct(best["w"].alias("w"), best["h"].alias("h"))
 
 
 def repeat_each(array: Column, times: int) -> Column:
@@ -202,3 +184,42 @@ def average_groups(array: Column, size: int) -> Column:
     full = F.concat(F.array_repeat(F.lit(0.0), F.pmod(-n, F.lit(size)).cast("int")), F.transform(array, lambda x: x.cast("double")))
     starts = F.sequence(F.lit(0), (F.size(full) / size).cast("int") - 1)
     return F.transform(starts, lambda k: total(F.slice(full, k * size + 1, size)) / size)
+
+
+def latent_scaled(array: Column, mean: list[float], std: list[float]) -> Column:
+    """(x - mean) / std by channel."""
+    return F.zip_with(array, F.arrays_zip(F.array(*map(F.lit, mean)).alias("m"), F.array(*map(F.lit, std)).alias("s")), lambda x, c: (x.cast("double") - c["m"]) / c["s"])
+
+
+def latent_unscaled(array: Column, mean: list[float], std: list[float]) -> Column:
+    """x std + mean by channel."""
+    return F.zip_with(array, F.arrays_zip(F.array(*map(F.lit, mean)).alias("m"), F.array(*map(F.lit, std)).alias("s")), lambda x, c: x * c["s"] + c["m"])
+
+
+#: fixed values: first number that half precision rounds to infinity, and the bound that values are cut to then
+HALF_OVERFLOW, HALF_BOUND = 65520.0, 65504.0 - 1000.0
+
+
+def half_clamped(array: Column) -> Column:
+    """Values as half precision could hold them: if one of them overflows, all are cut to a bound below the largest."""
+    cut = F.transform(array, lambda x: F.greatest(F.least(x, F.lit(HALF_BOUND)), F.lit(-HALF_BOUND)))
+    return F.when(F.exists(array, lambda x: F.abs(x) >= HALF_OVERFLOW), cut).otherwise(array)
+
+
+def repeat_over_time(first: Column, frames: int) -> Column:
+    """The first frame or state at every step."""
+    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda _: first)
+
+
+def zeros(steps: int, width: int) -> Column:
+    return F.array_repeat(F.array_repeat(F.lit(0.0), width), steps)
+
+
+def like_masks(array: Column, chance: Column | None = None, level: Column | None = None) -> tuple[Column, Column]:
+    """Two masks of ones whose first place is 0; with a ``chance`` condition, only where it holds, and then the first
+    mask has ``level`` there."""
+    ones = F.transform(array, lambda x: F.lit(1.0))
+    head = lambda v: F.transform(ones, lambda x, k: F.when(k == 0, v).otherwise(x))
+    if chance is None:
+        return head(F.lit(0.0)), head(F.lit(0.0))
+    return F.when(chance, head(level)).otherwise(ones), F.when(chance, head(F.lit(0.0))).otherwise(ones)

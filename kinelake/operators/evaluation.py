@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OVERALL = "__overall__"
+#: fixed values: tasks, in the order in which ranks take them, and the most steps of a rollout of each
+STEP_LIMITS = {
+    "PnPCounterToCab": 500, "PnPCabToCounter": 500, "PnPCounterToSink": 700, "PnPSinkToCounter": 500, "PnPCounterToMicrowave": 600, "PnPMicrowaveToCounter": 500, "PnPCounterToStove": 500, "PnPStoveToCounter": 500,
+    "OpenSingleDoor": 500, "CloseSingleDoor": 500, "OpenDoubleDoor": 1000, "CloseDoubleDoor": 700, "OpenDrawer": 500, "CloseDrawer": 500, "TurnOnStove": 500, "TurnOffStove": 500,
+    "TurnOnSinkFaucet": 500, "TurnOffSinkFaucet": 500, "TurnSinkSpout": 500, "CoffeeSetupMug": 600, "CoffeeServeMug": 600, "CoffeePressButton": 300, "TurnOnMicrowave": 500, "TurnOffMicrowave": 500,
+}
 
 
 def success_rollup(rows: DataFrame, task: str, successes: Column, rollouts: Column) -> DataFrame:
@@ -38,7 +44,7 @@ def speed(log: DataFrame, run: str, step: str, seconds: str, max_steps: int, win
     return rows.withColumn("eta", F.when(F.col("speed") > 0, (max_steps - F.col(step)) / F.col("speed")))
 
 
-def dispatch(requests: DataFrame, ready: DataFrame, shards: int = 1) -> DataFrame:
+def dispatch(requests: DataFrame, ready: DataFrame) -> DataFrame:
     """The k-th request goes to the k-th ready worker of its queue (column ``queue``): equal ranks are joined. Requests
     without a worker stay, with NULL."""
     rank = F.row_number().over(Window.partitionBy("queue").orderBy("ts", "id"))
@@ -55,3 +61,26 @@ def queue_depth(events: DataFrame, change: Column) -> DataFrame:
 def valid_seeds(candidates: DataFrame, start: int, stable: Column, n: int) -> DataFrame:
     """The first n stable seeds from ``start`` on."""
     return candidates.filter((F.col("seed") >= start) & stable).orderBy("seed").limit(n)
+
+
+def task_of(rank: Column, tasks: dict[str, int] | None = None) -> Column:
+    """Tasks go round over the ranks."""
+    names = list(tasks or STEP_LIMITS)
+    return F.get(F.array(*map(F.lit, names)), F.pmod(rank, F.lit(len(names))).cast("int"))
+
+
+def with_limit(rows: DataFrame, tasks: dict[str, int] | None = None) -> DataFrame:
+    """Adds ``step_limit`` by task (a table of a few rows); a task without one is an error."""
+    table = rows.sparkSession.createDataFrame(list((tasks or STEP_LIMITS).items()), "task string, step_limit int")
+    found = rows.join(F.broadcast(table), "task", "left")
+    return found.withColumn("step_limit", F.coalesce("step_limit", F.raise_error(F.concat(F.lit("no step limit for "), F.col("task"))).cast("int")))
+
+
+def first_batches(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of the first n batches (column ``batch``) of a validation run."""
+    return rows.filter(F.col("batch") < n)
+
+
+def waiting(dispatched: DataFrame) -> DataFrame:
+    """Adds how long a worker stood idle before its request, and a request before its worker."""
+    return dispatched.withColumns({"idle": F.col("dispatch_ts") - F.col("ready_ts"), "waited": F.col("dispatch_ts") - F.col("request_ts")})

@@ -31,10 +31,13 @@ def fully_valid(masks: DataFrame, sample: list[str], time: str, m: Column) -> Da
     return each.groupBy(*sample).agg(F.bool_and("some").alias("valid"))
 
 
-def frequency_loss(rows: DataFrame, series: list[str], time: str, p: Column, t: Column, length: int) -> DataFrame:
-    """Mean absolute difference of the real discrete Fourier transforms along time. The table of cosines and sines is
-    small (length times length/2+1 rows), so the transform is one broadcast join and one aggregation."""
+def frequency_loss(rows: DataFrame, series: list[str], time: str, p: Column, t: Column, length: int, valid: DataFrame | None = None, sample: list[str] | None = None) -> DataFrame:
+    """Mean absolute difference of the real discrete Fourier transforms along time; with ``valid`` (columns ``sample`` and
+    valid, from ``fully_valid``) over its valid samples only. The table of cosines and sines is small (length times
+    length/2+1 rows), so the transform is one broadcast join and one aggregation."""
     spark = rows.sparkSession
+    if valid is not None:
+        rows = rows.join(valid.filter("valid").select(*sample), sample, "left_semi")
     wave = spark.createDataFrame([(j, k, math.cos(2 * math.pi * j * k / length), -math.sin(2 * math.pi * j * k / length)) for j in range(length) for k in range(length // 2 + 1)], "_t long, _f int, _c double, _s double")
     joined = rows.join(F.broadcast(wave), rows[time].cast("long") == wave["_t"])
     gap = p - t
@@ -42,6 +45,11 @@ def frequency_loss(rows: DataFrame, series: list[str], time: str, p: Column, t:
     return parts.agg(F.avg(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("freq_loss"))
 
 
+def mean_over_ranks(rows: DataFrame, *names: str) -> DataFrame:
+    """Means of metrics that each rank (row) has reported; a rank without one does not count."""
+    return rows.agg(*(F.avg(n).alias(n) for n in names))
+
+
 def total_loss(parts: dict[str, tuple[Column, float]]) -> Column:
     out = F.lit(0.0)
     for column, weight in parts.values():

@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOP = float(np.float32(0.999))  # largest level as the stored single precision number
@@ -34,6 +34,39 @@ def noise_schedule(spark: SparkSession, steps: int, shift: float) -> DataFrame:
     return rows.withColumn("timestep", (F.col("sigma") * TRAIN_STEPS).cast("long"))
 
 
+def alpha_sigma(level: Column) -> tuple[Column, Column]:
+    """Weights of the sample and of the noise at a level."""
+    return 1 - level, level
+
+
+def timestep(level: Column) -> Column:
+    return level * TRAIN_STEPS
+
+
+def selected_steps(shift: float, count: int | None = None, timesteps: list[int] | None = None, sigmas: list[float] | None = None) -> list[tuple[float, int]]:
+    """(sigma, timestep) of a run: by count, or by custom timesteps or sigmas, of which only one may be given."""
+    if timesteps is not None and sigmas is not None:
+        raise ValueError("give timesteps or sigmas, not both")
+    if timesteps is not None:
+        return [(t / TRAIN_STEPS, int(t)) for t in timesteps]
+    if sigmas is None:
+        sigmas = levels(count or 0, shift)[:-1]
+    return [(s, int(s * TRAIN_STEPS)) for s in sigmas]
+
+
+def noisy_at(samples: DataFrame, schedule: DataFrame, x: Column, noise: Column) -> DataFrame:
+    """Samples with the noise of their ``timestep``: level by the schedule (step, sigma, timestep), of several steps with
+    one timestep the second. The schedule is a few dozen rows; a timestep that it lacks is an error."""
+    w = Window.partitionBy("timestep").orderBy("step")
+    ranked = schedule.withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("timestep"))})
+    taken = ranked.filter("_k = least(2, _n)").select("timestep", F.col("sigma").alias("_sigma"))
+    found = samples.join(F.broadcast(taken), "timestep", "left")
+    level = F.coalesce("_sigma", F.raise_error(F.concat(F.lit("no step has timestep "), F.col("timestep").cast("string"))).cast("double"))
+    found = found.withColumn("_sigma", level)
+    a, s = alpha_sigma(F.col("_sigma"))
+    return found.withColumn("noisy", a * x + s * noise).withColumnRenamed("_sigma", "sigma")
+
+
 def _log_ratio(level: float) -> float:
     """ln((1 - level) / level), infinite at level 0."""
     return math.log(1 - level) - math.log(level) if level > 0 else math.inf

@@ -8,16 +8,39 @@ from pyspark.sql import functions as F
 LOW, HIGH, FLOOR = 0.01, 0.99, 1e-6
 
 
-def quantiles(pool: DataFrame, by: list[str], salt: int = 0) -> DataFrame:
-    """q01 and q99 by linear interpolation for each group. With few groups and many rows, equal values are counted
-    first (``salt`` > 0): that shuffles on the value too, and the exact percentile merges weighted values."""
-    if salt:
-        pool = pool.groupBy(*by, "value").agg(F.count("*").alias("weight"))
-        q = F.percentile(F.col("value"), F.array(F.lit(LOW), F.lit(HIGH)), F.col("weight"))
-    else:
-        q = F.percentile(F.col("value"), F.array(F.lit(LOW), F.lit(HIGH)))
-    found = pool.filter("value is not null").groupBy(*by).agg(q.alias("q"))
-    return found.select(*by, F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"))
+#: values of a group that are ranked one by one, and relative error of the bounds around a quantile beyond that
+ACCURACY = 100_000
+
+
+def quantiles(pool: DataFrame, by: list[str], few: bool = True, accuracy: int = ACCURACY) -> DataFrame:
+    """(by, n, q01, q99): exact quantiles by linear interpolation for each group.
+
+    No task holds a group. A first pass takes approximate bounds around both quantiles (mergeable sketches). A second one
+    counts what lies below them, which partial aggregation folds into one number, and the values between them, a share
+    of about 6 / ``accuracy`` of a group (all of a group of up to ``accuracy`` values); ranks follow from running counts.
+    ``few`` says that the groups are a fixed set, such as components by axis, so that their bounds can be broadcast.
+    """
+    shares, gap = (LOW, HIGH), 3 / accuracy
+    kept = pool.filter(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value"))
+    edges = [max(0.0, min(1.0, p + side * gap)) for p in shares for side in (-1, 1)]
+    rough = kept.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.percentile_approx("value", edges, accuracy).alias("b"))
+
+    def around(k: int, p: float) -> Column:
+        place = (F.col("n") - 1) * p
+        small = F.col("n") <= accuracy
+        low, high = F.when(small, F.col("low")).otherwise(F.col("b")[2 * k]), F.when(small, F.col("high")).otherwise(F.col("b")[2 * k + 1])
+        return F.struct(F.lit(k).alias("k"), low.alias("a"), high.alias("z"), F.floor(place).alias("at"), (place - F.floor(place)).alias("part"))
+
+    rough = rough.select(*by, "n", F.array(*(around(k, p) for k, p in enumerate(shares))).alias("ends"))
+    rough = F.broadcast(rough) if few else rough
+    joined = kept.join(rough, by) if by else kept.crossJoin(rough)
+    marked = joined.select(*by, "n", "value", F.explode("ends").alias("p")).filter("value <= p.z")
+    counted = marked.groupBy(*by, "n", "p.k", "p.at", "p.part", F.when(F.col("value") >= F.col("p.a"), F.col("value")).alias("v")).agg(F.count("*").alias("c"))
+    running = Window.partitionBy(*by, "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("upto", F.sum("c").over(running))
+    ends = placed.groupBy(*by, "n", "k", "part").agg(F.min(F.when(F.col("upto") > F.col("at"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.col("at") + 1, F.col("v"))).alias("y"))
+    value = F.col("x") + F.when(F.col("part") > 0, F.col("part") * (F.col("y") - F.col("x"))).otherwise(0.0)
+    return ends.groupBy(*by, "n").agg(*(F.max(F.when(F.col("k") == k, value)).alias(q) for k, q in enumerate(("q01", "q99"))))
 
 
 def symmetric(stats: DataFrame, when: Column) -> DataFrame:
@@ -39,18 +62,19 @@ def moving(delta: Column, low: Column, high: Column, threshold: float) -> Column
 def gripper_two_pass(frames: DataFrame, skip: int, threshold: float) -> DataFrame:
     """(key, q01, q99, n) of gripper positions and of their deltas. Pass 1 takes quantiles of the positions; pass 2
     those of the raw deltas that move, as symmetric bounds. Pass 1's single row is broadcast."""
-    first = frames.agg(F.percentile("value", F.array(F.lit(LOW), F.lit(HIGH))).alias("q"), F.count("value").alias("n"))
-    first = first.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
+    first = quantiles(frames, [])
     deltas = frames.withColumn("delta", ahead("value", skip) - F.col("value")).filter("delta is not null")
-    kept = deltas.crossJoin(F.broadcast(first)).filter(moving(F.col("delta"), F.col("low"), F.col("high"), threshold))
-    second = kept.agg(F.percentile("delta", F.array(F.lit(LOW), F.lit(HIGH))).alias("q"), F.count("delta").alias("n"))
-    second = symmetric(second.select(F.lit("gripper_action").alias("key"), F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"), "n"), F.lit(True))
-    return first.select(F.lit("gripper_pos").alias("key"), F.col("low").alias("q01"), F.col("high").alias("q99"), "n").unionByName(second)
+    kept = deltas.crossJoin(F.broadcast(first.select("q01", "q99"))).filter(moving(F.col("delta"), F.col("q01"), F.col("q99"), threshold))
+    second = quantiles(kept.select(F.col("delta").alias("value")), [])
+    second = symmetric(second.withColumn("key", F.lit("gripper_action")), F.lit(True))
+    return first.select(F.lit("gripper_pos").alias("key"), "q01", "q99", "n").unionByName(second.select("key", "q01", "q99", "n"))
 
 
 def raw_action_pool(rows: DataFrame, array: str, arm_width: int = 7) -> DataFrame:
-    """Positions (columns 0-2) and rotations (3-5) of each arm's block of a raw action; the gripper is not pooled."""
-    long = rows.select("*", F.posexplode(F.col(array)).alias("column", "v"))
+    """Positions (columns 0-2) and rotations (3-5) of each arm's block of a raw action; the gripper is not pooled. A width
+    that is no multiple of an arm's is an error."""
+    whole = F.when(F.size(array) % arm_width == 0, F.col(array)).otherwise(F.raise_error(F.format_string(f"raw actions of width %d, not a multiple of {arm_width}", F.size(array))).cast(rows.schema[array].dataType))
+    long = rows.select("*", F.posexplode(whole).alias("column", "v"))
     place = F.col("column") % arm_width
     key = F.when(place < 3, "action_ee_pos").when(place < 6, "action_ee_rotm")
     return long.withColumns({"key": key, "axis": (place % 3).cast("int"), "value": F.col("v").cast("double")}).filter("key is not null")

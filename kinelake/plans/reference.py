@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import images as I
@@ -14,32 +13,9 @@ from ..functions import rotation as Q
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import clips, evaluation, metrics, sampling, schedule, statistics
+from .registry import query
 from .standins import FRAMES, VECTORS, e, frames, r6, r6s, table, vectors
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under the function's name."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # --- clips ---------------------------------------------------------------------------------------------------------
 SEQ, SKIP = 9, 8
 _META = "meta AS (SELECT user_id AS episode, count(*) AS num_frames FROM events GROUP BY 1)"
@@ -75,11 +51,14 @@ def clip_expand(spark, d):
 
 
 @query(f"""WITH {_COUNTS}, sums AS (SELECT episode, sum(clips) OVER (ORDER BY episode) - clips AS prev, sum(clips) OVER (ORDER BY episode) AS cum FROM counts),
-ids AS (SELECT unnest(range(-20, 100000, 7)) AS id), n AS (SELECT max(cum) AS n FROM sums),
+n AS (SELECT CAST(max(cum) AS BIGINT) AS n FROM sums), ids AS (SELECT unnest(range(-n, n)) AS id FROM n),
 flat AS (SELECT id, CASE WHEN id < 0 THEN id + n ELSE id END AS flat FROM ids, n)
 SELECT id, episode, CAST(flat - prev AS BIGINT) AS start FROM flat JOIN sums ON flat >= prev AND flat < cum""")
 def clip_lookup_flat_id(spark, d):
-    return clips.lookup(spark.range(-20, 100000, 7), clips.prefix_sums(_counts(spark, d)))
+    """Every flat id of the table, counted from the front and from the back."""
+    sums = clips.prefix_sums(_counts(spark, d))
+    ids = _counts(spark, d).select(F.sum("clips").alias("n")).select(F.explode(F.sequence(-F.col("n"), F.col("n") - 1)).alias("id"))
+    return clips.lookup(ids.repartition("id"), sums)
 
 
 def _join(c):
@@ -108,7 +87,7 @@ def clip_gather_state(spark, d):
 @query(f"SELECT CASE WHEN event_type IN ('click', 'view') THEN 'gripper_pos' ELSE event_type END AS key, {r6s('quantile_cont(value, 0.01)')} AS q01, {r6s('quantile_cont(value, 0.99)')} AS q99 FROM events GROUP BY 1")
 def stats_quantiles(spark, d):
     keyed = table(spark, d, "events").withColumn("key", F.when(F.col("event_type").isin("click", "view"), "gripper_pos").otherwise(F.col("event_type")))
-    return statistics.quantiles(keyed, ["key"], salt=1).select("key", r6(F.col("q01")).alias("q01"), r6(F.col("q99")).alias("q99"))
+    return statistics.quantiles(keyed, ["key"]).select("key", r6(F.col("q01")).alias("q01"), r6(F.col("q99")).alias("q99"))
 
 
 @query(f"WITH {VECTORS}, long AS (SELECT unnest(range(64)) AS axis, unnest(e) AS value FROM vectors) SELECT CAST(axis AS INTEGER) AS axis, {r6s('quantile_cont(value, 0.01)')} AS q01, {r6s('quantile_cont(value, 0.99)')} AS q99 FROM long GROUP BY 1")
@@ -174,8 +153,7 @@ p AS (SELECT CASE WHEN c % 7 < 3 THEN 'action_ee_pos' ELSE 'action_ee_rotm' END
 SELECT key, axis, count(*) AS n, {r6s('quantile_cont(v, 0.01)')} AS q01, {r6s('quantile_cont(v, 0.99)')} AS q99 FROM p GROUP BY 1, 2""")
 def stats_raw_action_pool(spark, d):
     pool = statistics.raw_action_pool(vectors(spark, d).withColumn("raw", F.slice("e", 8, 14)), "raw")
-    n = pool.groupBy("key", "axis").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return n.select("key", "axis", "n", r6(F.col("q")[0]).alias("q01"), r6(F.col("q")[1]).alias("q99"))
+    return statistics.quantiles(pool, ["key", "axis"]).select("key", "axis", "n", r6(F.col("q01")).alias("q01"), r6(F.col("q99")).alias("q99"))
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------
@@ -199,20 +177,6 @@ def action_vector_delta(spark, d):
     return rows.select("vec_id", "axis", r6(F.col("v")).alias("rotation"))
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, {r6s('e[8]')} AS x, {r6s('e[11]')} AS rx, {r6s('-e[14]')} AS gripper FROM vectors")
-def action_vector_raw(spark, d):
-    return vectors(spark, d).select("vec_id", r6(e(7)).alias("x"), r6(e(10)).alias("rx"), r6(-e(13)).alias("gripper"))
-
-
-@query(f"""WITH {VECTORS}, q AS (SELECT quantile_cont(e[1], 0.01) AS a, quantile_cont(e[1], 0.99) AS b FROM vectors)
-SELECT vec_id, {r6s('2 * (e[1] - a) / (b - a) - 1')} AS normal, {r6s('e[1]')} AS back, CAST(NULL AS DOUBLE) AS flat FROM vectors, q""")
-def server_roundtrip(spark, d):
-    rows = vectors(spark, d).select("vec_id", e(0).alias("value"))
-    both = rows.crossJoin(F.broadcast(statistics.quantiles(rows, [])))  # one row
-    y = V.normalise_unguarded(F.col("value"), F.col("q01"), F.col("q99"))
-    return both.select("vec_id", r6(y).alias("normal"), r6(V.denormalise(y, F.col("q01"), F.col("q99"))).alias("back"), V.normalise_unguarded(F.col("value"), F.col("q01"), F.col("q01")).alias("flat"))
-
-
 @query(f"WITH {VECTORS}, q AS (SELECT vec_id, {_q('e', 4)} AS q FROM vectors), c AS (SELECT vec_id, CASE WHEN q[1] < 0 THEN list_transform(q, lambda x: -x) ELSE q END AS q FROM q) SELECT vec_id, {r6s('q[1]')} AS w, {r6s('q[2]')} AS x, {r6s('q[3]')} AS y, {r6s('q[4]')} AS z FROM c")
 def quaternion_canonical(spark, d):
     rows, q = Q.staged(vectors(spark, d).select("vec_id", "e"), "_q", Q.from_rotvec(Q.vector(F.col("e"), 3)))
@@ -224,15 +188,6 @@ def quaternion_canonical(spark, d):
 BASE, TOOL = [[0.0, 1.0, 0.0], [-1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [[0.0, 0.0, 1.0], [0.0, -1.0, 0.0], [1.0, 0.0, 0.0]]
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT vec_id, e, {_q('e', 4)} AS q FROM vectors),
-m AS (SELECT vec_id, e, 1-2*(q[3]*q[3]+q[4]*q[4]) AS a, 2*(q[2]*q[3]-q[1]*q[4]) AS b, 2*(q[2]*q[4]+q[1]*q[3]) AS c, 2*(q[2]*q[3]+q[1]*q[4]) AS d, 1-2*(q[2]*q[2]+q[4]*q[4]) AS f, 2*(q[3]*q[4]-q[1]*q[2]) AS g FROM q)
-SELECT vec_id, {r6s('e[2]')} AS px, {r6s('-e[1]')} AS py, {r6s('e[3]')} AS pz, {r6s('g')} AS r00, {r6s('-f')} AS r01, {r6s('d')} AS r02, {r6s('-c')} AS r10, {r6s('b')} AS r11, {r6s('-a')} AS r12 FROM m""")
-def pose_base_change(spark, d):
-    p = Q.apply_constant(BASE, Q.vector(F.col("e"), 0))
-    m = Q.change_basis(BASE, Q.to_matrix(Q.from_rotvec(Q.vector(F.col("e"), 3))), TOOL)
-    return vectors(spark, d).select("vec_id", *(r6(c).alias(n) for c, n in zip(p, ("px", "py", "pz"), strict=True)), *(r6(m[i][j]).alias(f"r{i}{j}") for i in range(2) for j in range(3)))
-
-
 @query(f"WITH {VECTORS} SELECT vec_id, {r6s('1.5 + sum(e[8]) OVER w')} AS x, {r6s('sum(e[14]) OVER w')} AS gripper FROM vectors WINDOW w AS (PARTITION BY episode ORDER BY frame ROWS UNBOUNDED PRECEDING)")
 def pose_accumulate_xyz(spark, d):
     w = Window.partitionBy("episode").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
@@ -296,18 +251,6 @@ def image_bilinear_resize(spark, d):
     return rows.select("vec_id", "i", r6(F.col("x")).alias("v"))
 
 
-@query()
-def color_jitter(spark, d):
-    """Brightness, contrast, saturation and hue in a hashed order; elements 0-15, 16-31 and 32-47 are the planes of a
-    4x4 image. The order changes from row to row: tested against plain loops."""
-    k = F.col("vec_id")
-    planes = [F.transform(F.slice("e", 1 + 16 * c, 16), lambda v: F.least(F.greatest((v.cast("double") + 1) / 2, F.lit(0.0)), F.lit(1.0))) for c in range(3)]
-    factors = {n: sampling.jitter(0.8, 1.2, k, n) for n in ("brightness", "contrast", "saturation")} | {"hue": sampling.jitter(-0.1, 0.1, k, "hue")}
-    order = sampling.permute(F.array(*(F.lit(n) for n in range(4))), k)
-    rows = vectors(spark, d).select("vec_id", F.posexplode_outer(I.jitter(I.rgb(*planes), order, factors)).alias("i", "p"))
-    return rows.select("vec_id", "i", *(r6(F.col(f"p.{c}") * 2 - 1).alias(c) for c in "rgb"))
-
-
 @query(f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(64)) AS i, unnest(e) AS v FROM vectors) SELECT vec_id, CAST((i // 16) * 4 + (i % 8) // 2 AS INTEGER) AS patch, CAST((i // 8 % 2) * 2 + i % 2 AS INTEGER) AS place, {r6s('v')} AS v FROM l")
 def patchify(spark, d):
     i = F.col("i")
@@ -339,12 +282,6 @@ def text_canonicalize(spark, d):
     return table(spark, d, "documents").select("doc_id", X.canonicalize(F.col("text")).alias("clean"))
 
 
-@query()
-def text_basic_clean(spark, d):
-    """HTML entities have no function in SQL."""
-    return table(spark, d, "pages").select("page_id", X.basic_clean(F.col("html")).alias("clean"))
-
-
 @query(f"WITH g AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1) SELECT conv_id, trim(regexp_replace(t[CAST(CAST(concat('0x', substr(md5(concat_ws('_', 'pick', conv_id)), 25, 8)) AS BIGINT) % len(t) AS INTEGER) + 1], '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS instruction FROM g")
 def instruction_pick(spark, d):
     users = table(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -385,37 +322,6 @@ def noise_schedule(spark, d):
     return schedule.noise_schedule(spark, 50, 5.0).select("step", r6(F.col("sigma")).alias("sigma"), "timestep")
 
 
-@query()
-def solver_trajectory(spark, d):
-    """Multistep solver with corrector, folded over its coefficient table; a recurrence, tested against numpy."""
-    c = schedule.solver_coefficients(10, 5.0)
-    return vectors(spark, d).select("vec_id", r6(schedule.solve(e(0), lambda x, s: x - 0.25, c)).alias("x"))
-
-
-@query()
-def solver_high_order(spark, d):
-    """Order 3 of the solver with corrector; tested against numpy."""
-    c = schedule.solver_coefficients(12, 5.0, order=3)
-    return vectors(spark, d).select("vec_id", r6(schedule.solve(e(0), lambda x, s: x - 0.25, c)).alias("x"))
-
-
-@query()
-def solver_multistep(spark, d):
-    """Predictor-only solver: order 3, and order 2 with added noise (hashed); tested against numpy."""
-    third = schedule.multistep_coefficients(20, 5.0, order=3)
-    noisy = schedule.multistep_coefficients(20, 5.0, "sde-dpmsolver++", middle="heun")
-    flow = lambda x, s: x - 0.25
-    return vectors(spark, d).select(
-        "vec_id", r6(schedule.solve_multistep(e(0), flow, third)).alias("x"), r6(schedule.solve_multistep(e(0), flow, noisy, noise=lambda k: R.normal(F.col("vec_id"), k))).alias("noisy")
-    )
-
-
-@query()
-def solver_coefficients(spark, d):
-    rows = schedule.solver_coefficients(10, 5.0)
-    return spark.createDataFrame([tuple(float(v) for v in r.values()) for r in rows], ", ".join(f"{k} double" for k in rows[0])).select(*(r6(F.col(k)).alias(k) for k in rows[0]))
-
-
 def _sh(t: str) -> str:
     return f"(3.0 * {t} / (1 + 2.0 * {t}))"
 
@@ -475,12 +381,6 @@ def psnr(spark, d):
     return metrics.psnr(_long(spark, d), ["vec_id"], F.col("p"), F.col("t")).select(r6(F.col("psnr")).alias("psnr"))
 
 
-@query()
-def ssim(spark, d):
-    """Sliding Gaussian windows (7x7 on 8x8 images); tested against a direct computation."""
-    return metrics.ssim(_images(spark, d), "p", "t", 8, 8, window=7).select("vec_id", r6(F.col("ssim")).alias("ssim"))
-
-
 @query(f"WITH {_PAIR}, f AS (SELECT vec_id, i % 8 AS c, k, sum((p - t) * cos(2 * pi() * (i // 8) * k / 8)) AS a, sum(-(p - t) * sin(2 * pi() * (i // 8) * k / 8)) AS b FROM lg, range(5) r(k) GROUP BY 1, 2, 3) SELECT {r6s('avg(sqrt(a * a + b * b))')} AS freq_loss FROM f")
 def freq_loss(spark, d):
     rows = _long(spark, d).select("vec_id", (F.col("i") % 8).alias("c"), F.floor(F.col("i") / 8).alias("time"), "p", "t")
@@ -576,12 +476,6 @@ def sinusoid(spark, d):
     return spark.range(100).select(F.col("id").alias("p"), F.posexplode(V.sinusoid(F.col("id").cast("double"), 16)).alias("k", "x")).select("p", "k", r6(F.col("x")).alias("v"))
 
 
-@query(f"WITH {VECTORS}, s AS (SELECT vec_id, list_sum(list_transform(e, lambda x: x * x)) / 64 AS m, list_sum(list_transform(e, lambda x: exp(x - list_max(e)))) AS z, list_max(e) AS t, e FROM vectors) SELECT vec_id, {r6s('e[1] / sqrt(m + 1e-6)')} AS rms, {r6s('exp(e[1] - t) / z')} AS soft, {r6s('e[1] / (1 + exp(-e[1]))')} AS silu FROM s")
-def norms(spark, d):
-    x = F.col("e").cast("array<double>")
-    return vectors(spark, d).select("vec_id", r6(V.rms_norm(x)[0]).alias("rms"), r6(V.softmax(x)[0]).alias("soft"), r6(V.silu(e(0))).alias("silu"))
-
-
 @query(f"SELECT CAST(i AS BIGINT) AS step, CASE WHEN i = 0 THEN 0 ELSE 1 + (i - 1) // 4 END AS block, {r6s('CASE WHEN i < 20 THEN i / 20.0 ELSE 0.5 * (1 + cos(pi() * (i - 20) / 180)) END')} AS rate FROM range(200) t(i)")
 def latent_blocks(spark, d):
     return spark.range(200).select(F.col("id").alias("step"), V.latent_block(F.col("id")).alias("block"), r6(schedule.learning_rate(F.col("id").cast("double"), 1.0, 20, 200)).alias("rate"))
@@ -599,25 +493,7 @@ def valid_seeds(spark, d):
     return evaluation.valid_seeds(rows, 500, F.col("event_type") != "view", 20).select("seed")
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, {r6s('(e[1] + e[2] + e[3]) / 4')} AS first_mean, {r6s('(e[4] + e[5] + e[6] + e[7]) / 4')} AS second_mean, {r6s('e[2]')} AS repeated FROM vectors")
-def group_means(spark, d):
-    own = F.slice("e", 1, 7).cast("array<double>")
-    g = V.average_groups(own, 4)
-    return vectors(spark, d).select("vec_id", r6(g[0]).alias("first_mean"), r6(g[1]).alias("second_mean"), r6(V.repeat_each(own, 3)[4]).alias("repeated"))
-
-
 @query("SELECT p_partkey, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM (SELECT p_partkey, 16 * (p_size + 20) AS a FROM part), LATERAL (SELECT sqrt(65536.0 * a / 480) AS w0, 65536.0 / sqrt(65536.0 * a / 480) AS h0), LATERAL (SELECT floor(w0 / 32) * 32 AS w1, floor(65536.0 / (floor(w0 / 32) * 32) / 32) * 32 AS h1, floor(h0 / 32) * 32 AS h2, floor(65536.0 / (floor(h0 / 32) * 32) / 32) * 32 AS w2), LATERAL (SELECT greatest(a / 480 / (w1 / h1), w1 / h1 / (a / 480)) < greatest(a / 480 / (w2 / h2), w2 / h2 / (a / 480)) AS f), LATERAL (SELECT CASE WHEN f THEN w1 ELSE w2 END AS w, CASE WHEN f THEN h1 ELSE h2 END AS h)")
 def output_size(spark, d):
     best = V.best_size((16 * (F.col("p_size") + 20)).cast("double"), F.lit(480.0), 32, 32, 65536)
     return table(spark, d, "part").select("p_partkey", best.alias("b")).select("p_partkey", "b.w", "b.h")
-
-
-@query()
-def broker_stream(spark, d):
-    """The same pairs by the stateful stream, from files, into a table in memory; must equal broker_dispatch."""
-    import uuid
-
-    from ..streaming import broker
-    from .streams import replay
-
-    return replay(spark, _messages(spark, d), broker.dispatch_stream, f"pairs_{uuid.uuid4().hex}")

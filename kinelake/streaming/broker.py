@@ -1,38 +1,63 @@
-"""Request dispatch and completion as Structured Streaming."""
+"""Request dispatch, workers, speed and completion as Structured Streaming."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 OUT = "queue string, request_id long, worker_id long, request_ts double, ready_ts double, dispatch_ts double"
+SPEED_OUT = "run string, step long, ts double, speed double"
+
+
+class Line:
+    """A first-in-first-out line in keyed state: entries by number, and the numbers of the first and of the next one. A
+    batch touches new and served entries only, however long the line is."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.entries = handle.getMapState(f"{name}_entries", "k long", "id long, ts double")
+        self.ends = handle.getValueState(f"{name}_ends", "head long, tail long")
+
+    def load(self) -> None:
+        self.head, self.tail = self.ends.get() if self.ends.exists() else (0, 0)
+
+    def push(self, number: int, ts: float) -> None:
+        self.entries.updateValue((self.tail,), (number, ts))
+        self.tail += 1
+
+    def pop(self) -> tuple[int, float]:
+        found = self.entries.getValue((self.head,))
+        self.entries.removeKey((self.head,))
+        self.head += 1
+        return found[0], found[1]
+
+    def store(self) -> None:
+        self.ends.update((self.head, self.tail))
 
 
 class Fifo(StatefulProcessor):
-    """Two first-in-first-out lists of a queue: waiting requests and idle workers; heads are paired as they meet."""
+    """Two lines of a queue, waiting requests and idle workers; heads are paired as they meet."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.requests = handle.getListState("requests", "id long, ts double")
-        self.workers = handle.getListState("workers", "id long, ts double")
+        self.requests, self.workers = Line(handle, "requests"), Line(handle, "workers")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frames = [r for r in rows if len(r)]
         arrived = pd.concat(frames).sort_values(["ts", "id"]) if frames else pd.DataFrame(columns=["kind", "id", "ts"])
-        waiting = [(int(i), float(t)) for i, t in self.requests.get()] if self.requests.exists() else []
-        idle = [(int(i), float(t)) for i, t in self.workers.get()] if self.workers.exists() else []
+        self.requests.load()
+        self.workers.load()
+        pairs = []
         for kind, i, t in zip(arrived["kind"], arrived["id"], arrived["ts"], strict=True):
-            (waiting if kind == "request" else idle).append((int(i), float(t)))
-        n = min(len(waiting), len(idle))
-        pairs = list(zip(waiting[:n], idle[:n], strict=True))
-        for state, left in ((self.requests, waiting[n:]), (self.workers, idle[n:])):
-            state.clear()
-            if left:
-                state.put(left)
-        yield pd.DataFrame([(key[0], r, w, rt, wt, max(rt, wt)) for (r, rt), (w, wt) in pairs], columns=[c.split()[0] for c in OUT.split(", ")])
+            (self.requests if kind == "request" else self.workers).push(int(i), float(t))
+            if self.requests.head < self.requests.tail and self.workers.head < self.workers.tail:
+                (r, rt), (w, wt) = self.requests.pop(), self.workers.pop()
+                pairs.append((key[0], r, w, rt, wt, max(rt, wt)))
+        self.requests.store()
+        self.workers.store()
+        yield pd.DataFrame(pairs, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -43,6 +68,41 @@ def dispatch_stream(messages: DataFrame) -> DataFrame:
     return messages.withColumn("queue", F.col("queue").cast("string")).groupBy("queue").transformWithStateInPandas(Fifo(), OUT, "Append", "None")
 
 
+class Speeds(StatefulProcessor):
+    """The last entries of a run, and the speed over them at each new one."""
+
+    WINDOW = 10
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getListState("last", "step long, ts double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [r for r in rows if len(r)]
+        held = [(int(s), float(t)) for s, t in self.last.get()] if self.last.exists() else []
+        out = []
+        if frames:
+            arrived = pd.concat(frames).sort_values("step")
+            for s, t in zip(arrived["step"], arrived["ts"], strict=True):
+                held = [*held, (int(s), float(t))][-self.WINDOW :]
+                steps, time = held[-1][0] - held[0][0], held[-1][1] - held[0][1]
+                out.append((str(key[0]), int(s), float(t), steps / time if len(held) > 1 and time > 0 else 0.0))
+            self.last.put(held)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SPEED_OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def speed_stream(log: DataFrame) -> DataFrame:
+    """Stream of (run, step, ts) in order of steps to stream of speeds."""
+    return log.withColumn("run", F.col("run").cast("string")).groupBy("run").transformWithStateInPandas(Speeds(), SPEED_OUT, "Append", "None")
+
+
+def numbered(rows: DataFrame, client: str, order: list[str]) -> DataFrame:
+    """Adds the ``ordinal`` of each row of a client."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(client).orderBy(*order)))
+
+
 def replies(results: DataFrame, requests: DataFrame) -> DataFrame:
     """Each client's k-th result answers its k-th request."""
     return requests.join(results, ["client_id", "ordinal"], "left")
@@ -61,3 +121,36 @@ def run_worker(messages: DataFrame, predict, schema: str) -> DataFrame:
             yield predict(batch)
 
     return messages.mapInPandas(work, schema)
+
+
+_PREDICTORS: dict[str, tuple[Callable[[pd.DataFrame], pd.DataFrame], str]] = {}
+
+
+def register(name: str, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> None:
+    """A predictor that runs are configured with by name."""
+    _PREDICTORS[name] = predict, schema
+
+
+def run_named(messages: DataFrame, name: str) -> DataFrame:
+    if name not in _PREDICTORS:
+        raise ValueError(f"no predictor is registered as {name!r}")
+    return run_worker(messages, *_PREDICTORS[name])
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with (batch, rows) after each batch of any stream of the session, as a training logger would."""
+
+    def __init__(self, call: Callable[[int, int], None]):
+        self.call = call
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.call(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

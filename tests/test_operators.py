@@ -12,9 +12,10 @@ from kinelake.functions import images as I
 from kinelake.functions import rotation as Q
 from kinelake.functions import text as X
 from kinelake.functions import vectors as V
-from kinelake.operators import clips, evaluation, metrics, schedule
-from kinelake.sources import sinks
-from kinelake.sources.episodes import EpisodeSource, rank_results, result_layout, statistics_rows, text_results, video_names
+from kinelake.operators import clips, components, evaluation, metrics, schedule, statistics
+from kinelake.sources import config, sinks
+from kinelake.sources.episodes import EpisodeSource, StatisticsSource, check_folders, check_parameters, rank_results, result_layout, statistics_rows, text_results, video_names
+from kinelake.streaming import broker
 
 
 def one(spark, *columns):
@@ -237,7 +238,6 @@ def test_text(spark):
 def test_vectors(spark):
     flat = one(spark, V.normalise(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("a"), V.normalise_unguarded(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("b"), V.scale_depth(F.lit(2.0), F.lit(2.0), F.lit(2.0)).alias("c"))
     assert (flat.a, flat.b, flat.c) == (-1.0, None, 0.0)
-    assert V.STATE.width == 16 and V.ACTION.width == 14
 
 
 def test_rollup_rounds_half_even(spark):
@@ -280,3 +280,107 @@ def test_statistics_block(spark):
     df = spark.createDataFrame([({"k": [1.0, 2.0]}, {"k": [3.0, 4.0]})], "q01 map<string,array<double>>, q99 map<string,array<double>>")
     assert sorted((r.key, r.axis, r.q01, r.q99) for r in statistics_rows(df).collect()) == [("k", 0, 1.0, 3.0), ("k", 1, 2.0, 4.0)]
     assert json.loads(sinks.statistics_json(statistics_rows(df)).first().value) == {"q01": {"k": [1.0, 2.0]}, "q99": {"k": [3.0, 4.0]}}
+
+
+@pytest.mark.parametrize("accuracy", [20, 200, 100_000])
+def test_quantiles_equal_numpy(spark, accuracy):
+    """Groups above and below the number of values that are ranked one by one, ties, nulls, one value, no value."""
+    rng = np.random.default_rng(5)
+    groups = {"wide": rng.normal(size=7000), "ties": rng.integers(0, 3, 3000).astype(float), "same": np.full(900, 2.5), "few": rng.normal(size=7), "one": np.array([4.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("few", None), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, value double").repartition(4)
+    for few in (True, False):
+        got = {r.g: r for r in statistics.quantiles(d, ["g"], few, accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, values in groups.items():
+            assert got[g].n == len(values) and np.allclose((got[g].q01, got[g].q99), np.quantile(values, [0.01, 0.99]), atol=1e-12), g
+    whole = statistics.quantiles(d, [], accuracy=accuracy).first()
+    assert np.allclose((whole.q01, whole.q99), np.quantile(np.concatenate(list(groups.values())), [0.01, 0.99]), atol=1e-12)
+    assert statistics.quantiles(d.limit(0), ["g"]).count() == 0 and statistics.quantiles(d.limit(0), []).count() == 0
+
+
+def test_components_that_statistics_lack(spark):
+    stats = components.Statistics.parse({"q01": {"action_left_ee_xyz": [0, 0, 0]}, "q99": {"action_left_ee_xyz": [1, 1, 1]}})
+    pos, none = F.array(*(F.lit(0.5),) * 3), F.lit(None).cast("array<double>")
+    parts = {f"{arm}_{k}": none for arm in components.ARMS for k in ("pos", "turn", "grip")}
+    row = one(spark, *(c.alias(n) for n, c in zip("vm", components.delta_action_vector(parts | {"left_pos": pos}, stats), strict=True)))
+    assert row.v == [0.0] * 14 and row.m == [1.0] * 3 + [0.0] * 11
+    with pytest.raises(Exception, match="no statistics of action_right_ee_xyz"):
+        one(spark, components.delta_action_vector(parts | {"right_pos": pos}, stats)[0])
+    for block in ({"q01": {"a": [1]}, "q99": {}}, {"q01": {"a": [1]}, "q99": {"a": [1, 2]}}, {"q01": {}}):
+        with pytest.raises(ValueError):
+            components.Statistics.parse(block)
+    with pytest.raises(Exception, match="not a multiple of 7"):
+        statistics.raw_action_pool(spark.sql("SELECT array(1.0D, 2.0D) AS raw"), "raw").collect()
+
+
+def test_missing_documents_and_folders(spark, tmp_path):
+    folder = tmp_path / "data" / "chunk-000"
+    folder.mkdir(parents=True)
+    (folder / "episode_1.json").write_text(json.dumps({"num_frames": 3, "proprios": {}, "actions": {}}))
+    source = EpisodeSource(spark, str(tmp_path))
+    keys = spark.createDataFrame([("chunk-000/episode_1",)], "episode string")
+    assert [r.num_frames for r in source.payloads(keys).collect()] == [3]
+    wanted = keys.union(spark.createDataFrame([("chunk-000/episode_2",)], "episode string"))
+    with pytest.raises(Exception, match="no document of episode chunk-000/episode_2"):
+        source.payloads(wanted).collect()
+    assert EpisodeSource(spark, str(tmp_path), strict=False).payloads(wanted).count() == 1
+    path = str(tmp_path / "metadata.json")
+    assert [tuple(r) for r in source.metadata(path).collect()] == [("chunk-000/episode_1", 3)]
+    (folder / "episode_1.json").unlink()
+    assert [tuple(r) for r in EpisodeSource(spark, str(tmp_path)).metadata(path).collect()] == [("chunk-000/episode_1", 3)]
+    assert StatisticsSource(spark, str(tmp_path)).nested is False and StatisticsSource(spark, str(tmp_path / "data")).nested is True
+    with pytest.raises(FileNotFoundError):
+        check_folders(spark, str(tmp_path))
+    check_parameters(9, 4, 2, (8, 8))
+    for bad in ((1, 4), (9, 0), (9, 4, 3), (9, 4, 1, (0, 8))):
+        with pytest.raises(ValueError):
+            check_parameters(*bad)
+
+
+def test_configurations():
+    text = "a: 1\nb:\n  c: [1, 2.5, 'x, y']  # list\n  d:\n  - one\n  - true\n  e:\n    f: null\ng: \"quoted: text\"\n"
+    parsed = config.parse(text)
+    assert parsed == {"a": 1, "b": {"c": [1, 2.5, "x, y"], "d": ["one", True], "e": {"f": None}}, "g": "quoted: text"}
+    assert config.merged(parsed, config.dotted(["b.e.f=3e-4", "b.d=[2]", "h.i=off"]))["b"] == {"c": [1, 2.5, "x, y"], "d": [2], "e": {"f": 3e-4}}
+    assert config.both_arms(["x"]) == ("x", "x", None) and config.both_arms(["x", "y", "0.5"]) == ("x", "y", 0.5)
+    for call in (lambda: config.both_arms(["x", "y"]), lambda: config.dotted(["a"]), lambda: schedule.selected_steps(5.0, timesteps=[1], sigmas=[0.5])):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_repair_of_broken_text():
+    for clean in ("naïve café – “ok”", "été Ärger groß", "日本語 😀", "plain"):
+        broken = clean
+        for _ in range(2):
+            broken = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in broken.encode())
+        plain = clean.replace("“", '"').replace("”", '"')
+        assert X.repair(clean) == plain
+        if not any(c in clean for c in "日Ä"):
+            assert X.repair(broken) == plain, broken
+    assert X.repair("ｆｕｌｌ\r\nﬁne\x00") == "full\nfine"
+
+
+def test_best_size_and_buckets_against_loops(spark):
+    def bucket(d, both):
+        n = 16 if both else 32
+        base, size = (16 if d > 0 else 0, abs(d)) if both else (0, max(-d, 0))
+        edge = n // 2
+        return base + (size if size < edge else min(n - 1, edge + int(math.log(size / edge) / math.log(128 / edge) * (n - edge))))
+
+    rows = spark.range(-400, 401).select("id", V.relative_bucket(F.col("id")).alias("a"), V.relative_bucket(F.col("id"), both_ways=False).alias("b")).collect()
+    assert all((r.a, r.b) == (bucket(r.id, True), bucket(r.id, False)) for r in rows)
+    sizes = [(w, h) for w in range(200, 1400, 37) for h in (240, 480, 777)]
+    for (w, h), r in zip(sizes, [one(spark, V.best_size(F.lit(float(w)), F.lit(float(h)), 32, 16, 65536).alias("b")).b for w, h in sizes[:6]], strict=False):
+        deviation = lambda a, b, w=w, h=h: abs(math.log(a / b) - math.log(w / h))
+        every = [deviation(a, b) for a in range(32, 4000, 32) for b in [65536 // a // 16 * 16] if b]
+        assert r.w % 32 == 0 and r.h % 16 == 0 and r.w * r.h <= 65536 and deviation(r.w, r.h) <= 0.3 and min(every) <= deviation(r.w, r.h) + 1e-9
+
+
+def test_stream_listener_and_predictors(spark):
+    seen = []
+    listener = broker.Progress(lambda batch, rows: seen.append((batch, rows)))
+    listener.onQueryProgress(type("E", (), {"progress": type("P", (), {"batchId": 3, "numInputRows": 7})}))
+    assert seen == [(3, 7)]
+    with pytest.raises(ValueError, match="no predictor"):
+        broker.run_named(spark.range(1), "missing")
