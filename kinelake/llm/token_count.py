@@ -48,13 +48,23 @@ class Viterbi:
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
         self.ring = 1 + max(map(len, normal))
+        self.single = {p for p in normal if len(p) == 1}
         self.apart = not any(MARK in p.lstrip(MARK) for p in normal)
         self.memo: dict[str, int] = {}
 
     def solve(self, text: str) -> int:
         """Pieces on the best path. The automaton reports the pieces that end at a character from the longest to the
         shortest, that is by ascending start; scores and counts are kept for the longest piece's reach only."""
-        ring = self.ring
+        n, ring = len(text), self.ring
+        if n < ring and self.single.issuperset(text):  # a word of known characters, which is nearly every one
+            score, count = [0.0] * (n + 1), [0] * (n + 1)
+            last = -1
+            for end, (size, s) in self.automaton.iter(text):
+                start = end + 1 - size
+                total = score[start] + s
+                if end != last or total > score[end + 1]:
+                    score[end + 1], count[end + 1], last = total, count[start] + 1, end
+            return count[n]
         score, count = [0.0] * ring, [0] * ring
         at = 0  # characters done
         best, number, covered = None, 0, False
