@@ -134,7 +134,7 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, redacted: bool = False, reach: int = REACH, around: int = AROUND) -> DataFrame:
     """doc_id and spans (array of kind, start, end) for each row, or the columns of docs with the secrets in text
     replaced by marks (redacted)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -152,7 +152,7 @@ def find_secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
         for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             raw, folded = buf[a:b].tobytes(), low[a:b].tobytes()
             long_hex = b - a >= 16 and full[b - 15] > full[a]
-            out.append(spans(raw.decode("utf-8", "replace")) if long_hex or b"AKIA" in raw or any(w in folded for w in words) else [])
+            out.append(spans(raw.decode("utf-8", "replace"), reach, around) if long_hex or b"AKIA" in raw or any(w in folded for w in words) else [])
         return out
 
     if redacted:
