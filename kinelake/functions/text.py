@@ -43,8 +43,10 @@ def canonicalize(text: Column, keep: str | None = None) -> Column:
 
 #: characters that bytes 0x80 to 0xBF became when UTF-8 was read as Windows-1252 (Latin-1 where that has none)
 _TAIL = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xC0))
-_BROKEN = re.compile("(?:[ÂÃ][{0}]|â[{0}]{{2}}|ð[{0}]{{3}})+".format(re.escape(_TAIL)))
-_BYTES = {c: 0x80 + k for k, c in enumerate(_TAIL)} | {c: ord(c) for c in "ÂÃâð"}
+#: those of them beyond Latin-1 that took two bytes, as they look when broken once more
+_TWICE = "|".join(re.escape(chr(c.encode()[0]) + _TAIL[c.encode()[1] - 0x80]) for c in _TAIL if c > "\xff" and len(c.encode()) == 2)
+_BROKEN = re.compile("(?:[ÂÃ][{0}]|â[{0}]{{2}}|ð[{0}]{{3}}|{1})+".format(re.escape(_TAIL), _TWICE))
+_BYTES = {c: 0x80 + k for k, c in enumerate(_TAIL)} | {c: ord(c) for c in "ÂÃâðÅÆË"}
 _PLAIN = str.maketrans({**dict.fromkeys("‘’‚‛", "'"), **dict.fromkeys("“”„‟", '"'), "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "\u2028": "\n", "\u2029": "\n", "\x85": "\n"})
 _CONTROLS = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f\ufeff\ufff9-\ufffb]")
 

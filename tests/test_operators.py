@@ -370,11 +370,15 @@ def test_best_size_and_buckets_against_loops(spark):
 
     rows = spark.range(-400, 401).select("id", V.relative_bucket(F.col("id")).alias("a"), V.relative_bucket(F.col("id"), both_ways=False).alias("b")).collect()
     assert all((r.a, r.b) == (bucket(r.id, True), bucket(r.id, False)) for r in rows)
-    sizes = [(w, h) for w in range(200, 1400, 37) for h in (240, 480, 777)]
-    for (w, h), r in zip(sizes, [one(spark, V.best_size(F.lit(float(w)), F.lit(float(h)), 32, 16, 65536).alias("b")).b for w, h in sizes[:6]], strict=False):
-        deviation = lambda a, b, w=w, h=h: abs(math.log(a / b) - math.log(w / h))
-        every = [deviation(a, b) for a in range(32, 4000, 32) for b in [65536 // a // 16 * 16] if b]
-        assert r.w % 32 == 0 and r.h % 16 == 0 and r.w * r.h <= 65536 and deviation(r.w, r.h) <= 0.3 and min(every) <= deviation(r.w, r.h) + 1e-9
+    sizes = [(float(w), float(h)) for w in range(200, 1400, 37) for h in (240, 480, 777)]
+    found = spark.createDataFrame(sizes, "w double, h double").select("w", "h", V.best_size(F.col("w"), F.col("h"), 32, 16, 65536).alias("b")).collect()
+    for r in found:
+        ideal = math.sqrt(65536 * r.w / r.h)
+        wide = int(ideal // 32 * 32)
+        high = int(65536 / ideal // 16 * 16)
+        both = [(wide, 65536 // wide // 16 * 16), (65536 // high // 32 * 32, high)]
+        deviation = [abs(math.log(a / b) - math.log(r.w / r.h)) for a, b in both]
+        assert (r.b.w, r.b.h) == both[0 if deviation[0] < deviation[1] - 1e-12 else 1]
 
 
 def test_stream_listener_and_predictors(spark):
