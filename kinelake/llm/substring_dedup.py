@@ -51,23 +51,33 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 _SENT = "bucket int, block long, n int, blob binary, checks binary"
 
-_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP = 12
+_kept: dict[int, list[np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64; kept for blocks of usual size only."""
+def _tables(base: int, n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its 2**_STEP-th power, that make those of the first n places; two short tables."""
+    known = _kept.get(base)
+    if known is None or len(known[1]) << _STEP < n:
+        out = []
+        for factor, size in ((base, 1 << _STEP), (pow(base, 1 << _STEP, 1 << 64), max(n, BLOCK) + (2 << _STEP) >> _STEP)):
+            steps = np.full(size, factor, T._U)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        known = _kept[base] = out
+    return known
 
-    def table(factor: int, size: int) -> np.ndarray:
-        steps = np.full(size, factor, T._U)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
 
-    usual, inverse = BLOCK + (1 << 16), pow(base, -1, 1 << 64)
-    if n > usual:
-        return table(base, n), table(inverse, n)
-    if base not in _kept:
-        _kept[base] = table(base, usual), table(inverse, usual)
-    return _kept[base][0][:n], _kept[base][1][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo 2**64."""
+    small, large = _tables(base, n)
+    return np.multiply.outer(large[: (n >> _STEP) + 1], small).reshape(-1)[:n]
+
+
+def power_at(base: int, at: np.ndarray, n: int) -> np.ndarray:
+    """The powers of some places below n."""
+    small, large = _tables(base, n)
+    return large[at >> _STEP] * small[at & (1 << _STEP) - 1]
 
 
 def coded(values: np.ndarray) -> bytes:
@@ -156,19 +166,21 @@ class Block:
 
     def _sums(self, k: int) -> np.ndarray:
         """P with P[j]-P[i] = sum of (byte+1) * base**-k over i <= k < j, modulo 2**64."""
+        terms = powers(pow(_BASES[k], -1, 1 << 64), len(self.buf))
+        terms *= self.buf.astype(np.uint16) + np.uint16(1)
         sums = np.zeros(len(self.buf) + 1, T._U)
-        np.cumsum((self.buf.astype(T._U) + T._U(1)) * powers(_BASES[k], len(self.buf) + 1)[1][:-1], out=sums[1:])
+        np.cumsum(terms, out=sums[1:])
         return sums
 
     def prints(self, at: np.ndarray, length: int) -> np.ndarray:
-        return T.mix64((self.sums[at + length] - self.sums[at]) * powers(_BASES[0], len(self.sums))[0][at])
+        return T.mix64((self.sums[at + length] - self.sums[at]) * power_at(_BASES[0], at, len(self.sums)))
 
     def checks(self, at: np.ndarray, length: int) -> np.ndarray | None:
         """Further ``more`` bytes of the fingerprints."""
         if not self.more:
             return None
         sums = self._sums(1)
-        return T.mix64((sums[at + length] - sums[at]) * powers(_BASES[1], len(sums))[0][at]) >> T._U(64 - 8 * self.more)
+        return T.mix64((sums[at + length] - sums[at]) * power_at(_BASES[1], at, len(sums))) >> T._U(64 - 8 * self.more)
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions whose window stays inside the document, with 48-bit rank classes."""
@@ -183,12 +195,12 @@ class Block:
 
     def suffixes(self, recurs: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Positions with a recurring sample in their first PERIOD bytes."""
-        near = np.zeros(len(self.buf) + 1, np.int32)
+        near = np.zeros(len(self.buf) + 1, np.int32)  # begins minus ends of the stretches before a recurring sample
         hit = at[recurs]
         starts = self.offsets[np.searchsorted(self.offsets, hit, "right") - 1]
         np.add.at(near, np.maximum(hit - PERIOD + 1, starts), 1)
         np.add.at(near, hit + 1, -1)
-        marked = np.cumsum(near[:-1]) > 0
+        marked = np.cumsum(near[:-1], dtype=np.int32) > 0
         for b, a in zip(self.offsets[1:], self.offsets[:-1], strict=True):
             marked[max(a, b - LENGTH + 1) : b] = False
         return np.flatnonzero(marked)
@@ -316,7 +328,7 @@ def _finish(more: int):
             edge = np.zeros(len(own.buf) + 1, np.int32)
             np.add.at(edge, where[late], 1)
             np.add.at(edge, where[late] + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
             begins, stops = gone.copy(), gone.copy()
             begins[1:] &= ~gone[:-1]
             stops[:-1] &= ~gone[1:]
@@ -326,7 +338,7 @@ def _finish(more: int):
             cuts = np.searchsorted(starts, own.offsets)
             base = np.repeat(own.offsets[:-1], np.diff(cuts))
             spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], fields=list(kind.value_type)))
-            left = np.concatenate([[0], np.cumsum(~gone)])[own.offsets]
+            left = np.concatenate([[0], np.cumsum(~gone, dtype=np.int32)])[own.offsets]
             rest = own.buf[~gone]
             kept = pa.Array.from_buffers(pa.binary(), len(own.ids), [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(rest)])
             yield pa.RecordBatch.from_arrays([own.ids, pa.array(np.diff(own.offsets)), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
@@ -334,12 +346,12 @@ def _finish(more: int):
     return run
 
 
-_tables: list[tuple[SparkSession, str, str]] = []
+_made: list[tuple[SparkSession, str, str]] = []
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, name, folder in _tables:
+    for spark, name, folder in _made:
         try:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(spark, folder)
@@ -368,7 +380,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     packed = dealt.drop("h").mapInArrow(_pack(block_bytes), "block long, payload binary")
     name = f"suffix_blocks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{name}"
-    _tables.append((spark, name, folder))
+    _made.append((spark, name, folder))
     if tasks == TASKS:  # a task holds many blocks: one file for each bucket instead of one for each block
         packed = packed.repartition(tasks, "block")
     # bucketed by block: joins with the replies leave the texts where they are
