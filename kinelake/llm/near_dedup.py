@@ -36,6 +36,8 @@ from .frames import placed, release, written
 BANDS, ROWS = 30, 5
 #: size classes; a class id ends with the size class of its set
 SIZES = 64
+#: tasks that the classes of one bucket are dealt to
+SALTS = 16
 _U32 = np.uint32
 _SIGN_SCHEMA = "doc_id long, file_key long, row_at long, n_shingles long, set_key binary, bands array<long>"
 _SET_SCHEMA = "cid long, shingles array<long>"
@@ -195,7 +197,9 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
     owned = written(members.filter("size > 3").select("bucket", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component")))
     release(members)
     split = owned.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
-    open_ = owned.join(split.select("bucket"), "bucket", "left_semi").select("cid", "component").distinct()
+    split = split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = owned.withColumn("salt", F.pmod(F.floor(F.col("cid") / SIZES), F.lit(SALTS)))  # a large bucket goes to several tasks
+    open_ = salted.join(split, ["bucket", "salt"], "left_semi").select("cid", "component").distinct()
     rest = written(_prefix_pairs(open_.join(sets, "cid"), percent))
     release(owned)
     more = written(_confirmed(rest, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
