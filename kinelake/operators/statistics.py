@@ -38,9 +38,13 @@ def quantiles(pool: DataFrame, by: list[str], few: bool = True, accuracy: int =
     counted = marked.groupBy(*by, "n", "p.k", "p.at", "p.part", F.when(F.col("value") >= F.col("p.a"), F.col("value")).alias("v")).agg(F.count("*").alias("c"))
     running = Window.partitionBy(*by, "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("upto", F.sum("c").over(running))
-    ends = placed.groupBy(*by, "n", "k", "part").agg(F.min(F.when(F.col("upto") > F.col("at"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.col("at") + 1, F.col("v"))).alias("y"))
-    value = F.col("x") + F.when(F.col("part") > 0, F.col("part") * (F.col("y") - F.col("x"))).otherwise(0.0)
-    return ends.groupBy(*by, "n").agg(*(F.max(F.when(F.col("k") == k, value)).alias(q) for k, q in enumerate(("q01", "q99"))))
+    of = lambda k, value, when=True: F.when((F.col("k") == k) & when, value)
+    found = []
+    for k in range(len(shares)):
+        low, high = (F.min(of(k, F.col("v"), F.col("upto") > F.col("at") + step)) for step in (0, 1))
+        part = F.max(of(k, F.col("part")))
+        found.append(low + F.when(part > 0, part * (high - low)).otherwise(0.0))
+    return placed.groupBy(*by, "n").agg(*(q.alias(name) for q, name in zip(found, ("q01", "q99"), strict=True)))
 
 
 def symmetric(stats: DataFrame, when: Column) -> DataFrame:
