@@ -36,6 +36,8 @@ BYTES = 16 << 20
 EDGES = (1.5, 2.5, 3.5, 5.0)
 TAG_ODDS, SIGNIFICANT = 2.5, 25.0
 STEMS = (4, 5, 6)
+#: segments that the fit takes at a time
+SLICE = 2048
 _OUT = "doc_id long, score double, spans array<struct<start:long,end:long,marginal:double>>"
 
 
@@ -175,7 +177,10 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     memory = np.zeros_like(theta)
     for _ in range(steps):
         start, move, emit = theta[:2], theta[2:6].reshape(2, 2), theta[6:]
-        grad, curve = _gradient(x, y, inside, start, move, emit, width)
+        # in slices of segments, so that the driver holds the tables of one slice
+        parts = [_counts(x[a : a + SLICE], y[a : a + SLICE], inside[a : a + SLICE], start, move, emit, width) for a in range(0, max(1, len(x)), SLICE)]
+        grad, pair, spread = (sum(p[k] for p in parts) for k in range(3))
+        curve = np.concatenate([[len(x), len(x)], np.maximum(pair, 1) * 0.25, spread])
         memory = 0.5 * memory + grad / (curve + 1e-3 * len(rows))
         theta = np.clip(theta + np.clip(0.5 * memory, -1, 1), -12, 12)
     field.start, field.move, field.emit = theta[:2], theta[2:6].reshape(2, 2), theta[6:]
@@ -190,8 +195,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     return field
 
 
-def _gradient(x, y, inside, start, move, emit, width):
-    """Observed minus expected counts of every feature, and the expected ones' variance bound, over all segments."""
+def _counts(x, y, inside, start, move, emit, width):
+    """Observed minus expected counts of every feature, expected counts of the transitions, and variances of the emissions."""
     s, t = x.shape
     e = np.stack([np.zeros(x.shape), emit[x]], axis=2)
     ahead, scale = np.empty((t, s, 2)), np.empty((t, s))
@@ -223,8 +228,7 @@ def _gradient(x, y, inside, start, move, emit, width):
     spread = np.bincount(x.reshape(-1), (toxic * (1 - toxic)).reshape(-1), width)
     first = np.array([(1 - y[:, 0]).sum() - (1 - toxic[:, 0]).sum(), y[:, 0].sum() - toxic[:, 0].sum()])
     grad = np.concatenate([first, (seen - pair).reshape(-1), want - have])
-    varied = np.concatenate([[s, s], np.maximum(pair.reshape(-1), 1) * 0.25, spread])
-    return grad, varied
+    return grad, pair.reshape(-1), spread
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND, bytes_: int = BYTES) -> tuple[list[str], list[int]]:
