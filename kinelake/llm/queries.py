@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, licenses, mixing, near_dedup, pii, secrets_scan, substring_dedup, token_count, toxicity
+from . import collocations, decontaminate, fill_middle, fingerprint, language, licenses, mixing, near_dedup, pii, secrets_scan, substring_dedup, token_count, toxicity
 
 #: the public vocabulary of op5; a parameter of the operator, never part of the repository
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,8 +76,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("toxic_spans"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_near_dedup, op3_substring_dedup, op4_decontaminate, op5_token_counts, op6_secrets, op7_mix, op8_fingerprints, op9_licenses, op10_toxicity)
+    f.__name__: f for f in (op1_pii, op2_near_dedup, op3_substring_dedup, op4_decontaminate, op5_token_counts, op6_secrets, op7_mix, op8_fingerprints, op9_licenses, op10_toxicity, op11_language, op12_fill_middle, op13_collocations)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,7 +127,57 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(word.n_hit,
 FROM d LEFT JOIN word ON word.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id
 """
 
+#: crc32 of a decimal number, bit by bit: a byte is taken in, then eight steps shift
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))), lambda h, o: CASE WHEN o >= 0 THEN xor(h, o) ELSE xor(h >> 1, (h & 1) * 3988292384) END), 4294967295)"
+
+LANGUAGE_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce({_CRC} % {language.FOLDS} = {language.HELD}, false) AS held_out, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}]+') AS ws FROM documents),
+w AS (SELECT doc_id, lang, held_out, unnest(ws) AS w FROM d), c AS (SELECT doc_id, lang, held_out, w, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT doc_id, lang, held_out, n, unnest(list_concat(list_transform(range(1, length(w) + 1), lambda i: w[i : i]), list_transform(range(1, length(w) + 2), lambda i: (' ' || w || ' ')[i : i + 1]), list_transform(range(1, length(w) + 1), lambda i: (' ' || w || ' ')[i : i + 2]))) AS g FROM c),
+f AS (SELECT doc_id, g, sum(n) AS n FROM g GROUP BY ALL),
+own AS (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS place FROM f) WHERE place < {language.TOP}),
+known AS (SELECT lang, g, sum(n) AS n FROM g WHERE lang IS NOT NULL AND doc_id IS NOT NULL AND NOT held_out GROUP BY ALL),
+profile AS (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS place FROM known) WHERE place < {language.TOP}),
+sizes AS (SELECT doc_id, count(*) AS m FROM own GROUP BY doc_id), langs AS (SELECT DISTINCT lang FROM profile),
+near AS (SELECT o.doc_id, p.lang, sum({language.TOP} - abs(o.place - p.place)) AS saved FROM own o JOIN profile p ON p.g = o.g GROUP BY ALL),
+far AS (SELECT s.doc_id, l.lang, s.m, s.m * {language.TOP} - coalesce(n.saved, 0) AS far FROM sizes s CROSS JOIN langs l LEFT JOIN near n ON n.doc_id = s.doc_id AND n.lang = l.lang),
+best AS (SELECT doc_id, m, far, lang FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT d.doc_id, d.held_out, CASE WHEN len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) > 0 THEN coalesce(best.lang, 'und') ELSE 'und' END AS lang_pred,
+  CASE WHEN len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) > 0 AND best.lang IS NOT NULL THEN 1 - best.far::DOUBLE / (best.m * {language.TOP}) ELSE 0.0 END AS score
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id
+"""
+
+MIDDLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts, sha256('42:' || doc_id::VARCHAR) AS h FROM documents),
+d AS (SELECT *, CAST(len(ts) AS BIGINT) AS n, list_transform(range(4), lambda k: ('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT) AS hs FROM t),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+  CASE WHEN doc_id IS NULL OR text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(ts[1 : a], '') AS p, array_to_string(ts[a + 1 : b], '') AS m, array_to_string(ts[b + 1 :], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+PHRASE_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100),
+cut AS (SELECT lang, words, phrase, a, ws, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT c.lang, c.words, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score FROM cut c JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1 :], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, words, a, ws, unnest(range(2, words)) AS k FROM c),
+sub AS (SELECT lang, phrase, max(a) AS f FROM (SELECT lang, a, unnest(list_transform(range(1, words - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM inside) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN sub ON sub.lang = low.lang AND sub.phrase = low.phrase WHERE sub.f IS NULL OR 100 * sub.f < 100 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": NEAR_SQL.format(lower=_LOWER, table="documents", width=3, percent=85),
     "op4_decontaminate": LEAK_SQL,
+    "op11_language": LANGUAGE_SQL,
+    "op12_fill_middle": MIDDLE_SQL,
+    "op13_collocations": PHRASE_SQL,
 }
