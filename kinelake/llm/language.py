@@ -182,9 +182,9 @@ def distances(grams: Grams, n_texts: int, table: np.ndarray, places: np.ndarray,
     first = np.searchsorted(doc, np.arange(n_texts + 1))
     rank = np.arange(len(doc)) - first[doc]
     doc, gram, rank = doc[rank < top], gram[rank < top], rank[rank < top]
-    at = np.minimum(np.searchsorted(table, gram), max(len(table) - 1, 0))
-    hit = table[at] == gram if len(table) else np.zeros(len(gram), bool)
-    step = max(1, CELLS // max(places.shape[1], 1))
+    at = np.minimum(np.searchsorted(table, gram), len(table) - 1)
+    hit = table[at] == gram
+    step = max(1, CELLS // places.shape[1])
     for a in range(0, len(doc), step):
         near = np.where(hit[a : a + step, None], np.abs(places[at[a : a + step]] - rank[a : a + step, None]), top)
         near = np.where(places[at[a : a + step]] == top, top, near)
@@ -203,11 +203,14 @@ def _compared(rows: DataFrame, block: list, top: int, keep: list[str]) -> DataFr
         langs, table, places = shared.value
         for batch in batches:
             for piece, grams in slices(batch):
-                far, n = distances(grams, piece.num_rows, table, places, top)
-                best = far.argmin(axis=1) if langs else np.zeros(piece.num_rows, np.int64)
+                if langs:
+                    far, n = distances(grams, piece.num_rows, table, places, top)
+                else:
+                    far, n = np.zeros((piece.num_rows, 1), np.int64), np.zeros(piece.num_rows, np.int64)
+                best = far.argmin(axis=1)
                 known = grams.lettered & bool(langs)
                 names = pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], pa.string())
-                least = far[np.arange(piece.num_rows), best] if langs else np.zeros(piece.num_rows, np.int64)
+                least = far[np.arange(piece.num_rows), best]
                 columns = [piece.column(piece.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*columns, names, pa.array(least, pa.int64()), pa.array(np.where(known, n, 0), pa.int64())], names=[*keep, "lang_pred", "distance", "n_grams"])
 
@@ -227,7 +230,7 @@ def identify(docs: DataFrame, learned: DataFrame, top: int = TOP, block: int = B
     if blocks == 1:
         found = _compared(named, rows(0), top, ["doc_id"])
     else:
-        at = placed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "file_key", "row_at")
+        at = placed(named)
         each = [_compared(at, rows(k), top, ["doc_id", "file_key", "row_at"]) for k in range(blocks)]
         every = functools.reduce(DataFrame.unionByName, each)
         found = every.groupBy("file_key", "row_at").agg(F.first("doc_id").alias("doc_id"), F.first("n_grams").alias("n_grams"), F.min(F.struct("distance", "lang_pred")).alias("near")).select("doc_id", "near.lang_pred", "near.distance", "n_grams")
