@@ -9,8 +9,10 @@ feature with high log-odds are tagged. The field is fitted by gradient ascent on
 to a document score by a logistic model, and words with a marginal of at least one half are the offending spans.
 
 Emissions and tags so rest on the same log-odds: the field smooths a learned word list along the text, it does not see
-more than that. The fit uses at most ``bound`` documents labelled toxic and three times as many others (at most ``BYTES`` of
-text), taken by the order of a hash of doc_id, and none whose crc32(doc_id as text) mod 5 is 0; of the segments where no word says anything, one in eight.
+more than that. The fit uses at most ``bound`` documents labelled toxic and three times as many others, one text of each
+doc_id (of several the first in the order of a hash), taken by the order of a hash of doc_id within at most ``bytes_`` of
+text, half of them for each class, and none whose crc32(doc_id as text) mod 5 is 0. Every segment of these texts counts;
+segments in which no word says anything differ in length only, so one stands for all of its length, with their number.
 Scores never use labels, lang, source or doc_id.
 
 Defined cases: a null text is empty and gets the score of no marginals; a doc_id labelled more than once is toxic if
@@ -19,6 +21,7 @@ any of its labels is; without labels of both classes every score is 0; other col
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,11 +168,21 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     tags = (kinds >= np.searchsorted(EDGES, TAG_ODDS, "right")) & truth[words.doc]
 
     # segments of equal length; the last of a text is filled up with quiet words outside the likelihood
-    rows = [(int(a), int(min(a + SEGMENT, b))) for a, b in zip(words.first[:-1], words.first[1:], strict=True) for a in range(a, b, SEGMENT)]
     loud = np.concatenate([[0], np.cumsum(kinds > 0)])
-    rows = [r for k, r in enumerate(rows) if k % 8 == 0 or loud[r[1]] > loud[r[0]]]
-    at = np.array([a for a, _ in rows])[:, None] + np.arange(SEGMENT)
-    inside = at < np.array([b for _, b in rows])[:, None]
+    rows, weight, quiet = [], [], {}
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        for c in range(a, b, SEGMENT):
+            d = min(c + SEGMENT, b)
+            if loud[d] == loud[c] and d - c in quiet:
+                weight[quiet[d - c]] += 1.0
+                continue
+            if loud[d] == loud[c]:
+                quiet[d - c] = len(rows)
+            rows.append((c, d))
+            weight.append(1.0)
+    weight = np.array(weight)
+    at = np.array([a for a, _ in rows], np.int64)[:, None] + np.arange(SEGMENT)
+    inside = at < np.array([b for _, b in rows], np.int64)[:, None]
     at = np.minimum(at, len(kinds) - 1)
     x, y = kinds[at], (tags[at] & inside).astype(int)
     width = len(EDGES) + 1
@@ -178,10 +191,10 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     for _ in range(steps):
         start, move, emit = theta[:2], theta[2:6].reshape(2, 2), theta[6:]
         # in slices of segments, so that the driver holds the tables of one slice
-        parts = [_counts(x[a : a + SLICE], y[a : a + SLICE], inside[a : a + SLICE], start, move, emit, width) for a in range(0, max(1, len(x)), SLICE)]
+        parts = [_counts(*(v[a : a + SLICE] for v in (x, y, inside, weight)), start, move, emit, width) for a in range(0, max(1, len(x)), SLICE)]
         grad, pair, spread = (sum(p[k] for p in parts) for k in range(3))
-        curve = np.concatenate([[len(x), len(x)], np.maximum(pair, 1) * 0.25, spread])
-        memory = 0.5 * memory + grad / (curve + 1e-3 * len(rows))
+        curve = np.concatenate([[weight.sum()] * 2, np.maximum(pair, 1) * 0.25, spread])
+        memory = 0.5 * memory + grad / (curve + 1e-3 * weight.sum() + 1e-9)
         theta = np.clip(theta + np.clip(0.5 * memory, -1, 1), -12, 12)
     field.start, field.move, field.emit = theta[:2], theta[2:6].reshape(2, 2), theta[6:]
 
@@ -195,8 +208,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     return field
 
 
-def _counts(x, y, inside, start, move, emit, width):
-    """Observed minus expected counts of every feature, expected counts of the transitions, and variances of the emissions."""
+def _counts(x, y, inside, weight, start, move, emit, width):
+    """Observed minus expected counts of every feature, expected counts of the transitions, and variances of the
+    emissions; a segment counts ``weight`` times."""
     s, t = x.shape
     e = np.stack([np.zeros(x.shape), emit[x]], axis=2)
     ahead, scale = np.empty((t, s, 2)), np.empty((t, s))
@@ -219,30 +233,32 @@ def _counts(x, y, inside, start, move, emit, width):
             own = np.exp(e[:, j]) * back
             joint = ahead[j - 1][:, :, None] * m[None] * own[:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pair += (joint * inside[:, j, None, None]).sum(axis=0)
-            np.add.at(seen, (y[:, j - 1][inside[:, j]], y[:, j][inside[:, j]]), 1)
+            pair += (joint * (weight * inside[:, j])[:, None, None]).sum(axis=0)
+            np.add.at(seen, (y[:, j - 1][inside[:, j]], y[:, j][inside[:, j]]), weight[inside[:, j]])
             back = np.where(inside[:, j, None], own @ m.T, back)
             back /= back.sum(axis=1, keepdims=True)
-    want = np.bincount(x.reshape(-1), (y * inside).reshape(-1), width)
-    have = np.bincount(x.reshape(-1), toxic.reshape(-1), width)
-    spread = np.bincount(x.reshape(-1), (toxic * (1 - toxic)).reshape(-1), width)
-    first = np.array([(1 - y[:, 0]).sum() - (1 - toxic[:, 0]).sum(), y[:, 0].sum() - toxic[:, 0].sum()])
+    many = weight[:, None]
+    want = np.bincount(x.reshape(-1), (y * inside * many).reshape(-1), width)
+    have = np.bincount(x.reshape(-1), (toxic * many).reshape(-1), width)
+    spread = np.bincount(x.reshape(-1), (toxic * (1 - toxic) * many).reshape(-1), width)
+    first = np.array([(weight * (toxic[:, 0] - y[:, 0])).sum(), (weight * (y[:, 0] - toxic[:, 0])).sum()])
     grad = np.concatenate([first, (seen - pair).reshape(-1), want - have])
     return grad, pair.reshape(-1), spread
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND, bytes_: int = BYTES) -> tuple[list[str], list[int]]:
-    """At most ``bound`` toxic texts and three times as many others, by the order of a hash of doc_id, outside the
-    held-out fold; of both classes those whose texts take ``bytes_`` / 2 together, in that order (at least one each)."""
+    """At most ``bound`` toxic texts and three times as many others, one of each doc_id, by the order of a hash of doc_id,
+    outside the held-out fold; of both classes those whose texts take ``bytes_`` / 2 together, in that order (at least one each)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out("doc_id")).withColumn("h", F.xxhash64("doc_id"))
-    ids = known.filter("toxic = 1").orderBy("h", "doc_id").limit(bound).unionByName(known.filter("toxic <> 1").orderBy("h", "doc_id").limit(3 * bound))
-    # the ids are at most four times the bound; a repeated id may bring several rows, of which the limit below takes as many
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic", "h")), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    sized = rows.select("doc_id", "toxic", "h", "size", F.xxhash64("text").alias("t")).orderBy("h", "doc_id", "t").limit(8 * bound)
-    before = Window.partitionBy("toxic").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
-    fits = sized.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") + F.col("size") <= bytes_ // 2)).select("doc_id", "t").distinct()
-    taken = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(fits), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).orderBy("h", "doc_id", "t").select("text", "toxic").collect()
+    texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    # labels may name documents that are not there, so ids are taken of those that are; copies of an id are folded before the shuffle
+    there = texts.groupBy("doc_id").agg(F.min(F.struct("t", "size")).alias("one")).join(known, "doc_id").select("doc_id", "toxic", "h", "one.t", "one.size")
+    ids = functools.reduce(DataFrame.unionByName, (there.filter(of).orderBy("h", "doc_id").limit(n) for of, n in (("toxic = 1", bound), ("toxic <> 1", 3 * bound))))
+    before = Window.partitionBy("toxic").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # at most four times the bound
+    fits = ids.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") + F.col("size") <= bytes_ // 2))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(fits.select("doc_id", "t", "toxic", "h")), ["doc_id", "t"])
+    taken = rows.groupBy("doc_id", "t", "toxic", "h").agg(F.first("text").alias("text")).orderBy("h", "doc_id").select("text", "toxic").collect()
     return [r["text"] or "" for r in taken], [int(r["toxic"] == 1) for r in taken]
 
 
@@ -251,11 +267,11 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, bytes_: int = BYTES) -> DataFrame:
     """doc_id, score (0 to 1) and spans (code points of words with marginals of one half or more) for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, bound)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, bound, bytes_)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +293,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Da
     return docs.mapInArrow(run, _OUT)
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = BOUND) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = BOUND, bytes_: int = BYTES) -> DataFrame:
     """The rows of docs, all columns, whose score is under the threshold; one scan, no shuffle of texts."""
     named = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    shared = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(named, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), bound)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(named, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), bound, bytes_)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
