@@ -5,26 +5,28 @@ those taken once more are a balanced sample with inclusion probability r - floor
 probabilities of a few documents at a time along the null-space of the balancing constraints (words and number of
 documents), so both totals stay exact until fewer documents than constraints + 1 are undecided. It runs in blocks of
 a source dealt by hash; the few undecided documents of all blocks fly again, level by level, and the last ones land
-with ``LAST`` short ones by the choice nearest to the words still due.
+with ``LAST`` short ones: of all their choices, one of those that miss the words still due by no more than half the
+shortest of them beyond the nearest one, drawn by its probability.
 
 Sources are few as a rule, and their targets are found on the driver; with more than ``MANY`` of them that is done on
 tables instead, with the same result. Repeated rows (same source, doc_id and size) are counted first and then numbered,
 so a third of the table under one id neither meets in one task nor in one block.
 
 Defined cases: a null text has size 0; a null source is a source, last in order; an empty source has target 0; repeated
-rows are documents of their own. Random choices are hashes of the row, its number among equal rows and the seed, so
-reruns agree. Other columns are ignored.
+rows are documents of their own. Random choices are hashes of the row (source, doc_id, size), its number among equal rows
+and the seed, so reruns agree, and other seeds give other samples; in a block, documents of one size fly in the order of
+these hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as T
 from .frames import release, written
 
 LIMIT, LAST = 3, 12
@@ -84,8 +86,15 @@ def targets_of_many(by: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataF
         release(before)
 
 
-def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Moves p to 0 or 1 keeping sum(p) and sum(p * size), until at most two entries are between."""
+def _coin(*keys) -> float:
+    """A number in [0, 1) of the keys, in any order."""
+    with np.errstate(over="ignore"):
+        return int(T.mix64(np.array([sum(int(k) for k in keys) % (1 << 64)], np.uint64))[0]) / 2**64
+
+
+def flight(size: np.ndarray, p: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Moves p to 0 or 1 keeping sum(p) and sum(p * size), until at most two entries are between; ``key`` are the hashes
+    that the coins are made of."""
     p = p.copy()
     open_: list[int] = []
     for nxt in range(len(p)):
@@ -101,9 +110,8 @@ def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
             steps = [((1 - p[k]) / v if v > 0 else p[k] / -v, k) for k, v in zip((a, b, c), u, strict=True) if v]
             back = [(p[k] / v if v > 0 else (1 - p[k]) / -v, k) for k, v in zip((a, b, c), u, strict=True) if v]
             up, down = min(steps)[0], min(back)[0]
-            # the seeded coin of the cube method: go either way with chances that keep the expectation
-            coin = int.from_bytes(hashlib.blake2b(f"{a},{b},{c},{p[a]:.12f},{size[a]}".encode(), digest_size=8).digest(), "big") / 2**64
-            t = up if coin < down / (up + down) else -down
+            # the seeded coin of the cube method: go either way with chances that keep the expectation; no three rows meet twice
+            t = up if _coin(key[a], key[b], key[c]) < down / (up + down) else -down
             for k, v in zip((a, b, c), u, strict=True):
                 p[k] = min(1.0, max(0.0, p[k] + t * v))
             kept = [k for k in open_[-3:] if 1e-9 < p[k] < 1 - 1e-9]
@@ -117,19 +125,40 @@ def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(land: bool):
+def landing(size: np.ndarray, p: np.ndarray, coin: float) -> np.ndarray:
+    """Zeros and ones: of all choices those nearest to sum(p * size), one by the coin. Choices that miss by no more than
+    half the shortest document beyond the nearest are equal; they weigh what independent draws would give them."""
+    choices = (np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1).astype(np.float64)
+    miss = np.abs(choices @ size - (p * size).sum())
+    near = choices[miss <= miss.min() + size.min() / 2 + 1e-9]
+    chance = np.exp((near * np.log(p) + (1 - near) * np.log1p(-p)).sum(axis=1))
+    return near[min(int(np.searchsorted(np.cumsum(chance), coin * chance.sum(), "right")), len(near) - 1)]
+
+
+def row_keys(source: str | None, doc_id: list, size: np.ndarray, copy: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each row of a source, for one seed."""
+    own = xxhash.xxh3_64_intdigest(repr(source).encode("utf-8", "surrogatepass"), seed & (1 << 64) - 1)
+    ids = np.array([0 if i is None else i for i in doc_id], np.int64).view(np.uint64)
+    absent = np.array([i is None for i in doc_id], np.uint64)
+    h = np.full(len(ids), own, np.uint64)
+    for part in (ids, absent, size.astype(np.int64).view(np.uint64), copy.astype(np.int64).view(np.uint64)):
+        h = T.mix64(h * np.uint64(0x9E3779B97F4A7C15) + part)
+    return h
+
+
+def _fly(land: bool, seed: int):
     def run(key, table):
         """One block of a source, long documents first, so that short ones are left undecided; land: decides those too."""
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("copy", "ascending")])
+        with np.errstate(over="ignore"):
+            h = row_keys(key[0].as_py(), table["doc_id"].to_pylist(), table["size"].to_numpy(), table["copy"].to_numpy(), seed)
+        order = np.lexsort((h, -table["size"].to_numpy()))
+        table, h = table.take(pa.array(order)), h[order]
         size, p = table["size"].to_numpy().astype(np.float64), table["p"].to_numpy().copy()
         fly = max(0, len(p) - LAST) if land else len(p)
-        p[:fly] = flight(size[:fly], p[:fly])
+        p[:fly] = flight(size[:fly], p[:fly], h[:fly])
         open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
         if land and len(open_):
-            # all choices of at most LAST + 2 documents: nearest in words, then in number
-            choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(np.float64)
-            miss = np.abs(choices @ size[open_] - (p[open_] * size[open_]).sum())
-            p[open_] = choices[np.lexsort((np.abs(choices.sum(axis=1) - p[open_].sum()), miss))[0]]
+            p[open_] = landing(size[open_], p[open_], _coin(*h[open_]))
         done = (p <= 1e-9) | (p >= 1 - 1e-9)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(np.where(done, np.round(p), p))).set_column(table.schema.get_field_index("done"), "done", pa.array(done))
 
@@ -161,15 +190,15 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, limit: int = LIMIT, blo
     units = units.select("d.*", "t.source_size", "t.target", "t.base", "t.p", "t.blocks").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     names = [c.split()[0] for c in _UNIT.split(", ")]
     units = units.withColumn("done", F.col("p") == 0).withColumn("block", _dealt(seed, F.col("blocks"))).select(*names)
-    flying, decided = units.filter("not done"), [units.filter("done")]
+    flying, decided, level = units.filter("not done"), [units.filter("done")], 0
     while True:
-        flown = written(flying.groupBy("source", "block").applyInArrow(_fly(most <= 1), _UNIT))
+        flown = written(flying.groupBy("source", "block").applyInArrow(_fly(most <= 1, seed + level), _UNIT))
         decided.append(flown.filter("done"))
         if most <= 1:
             break
         # at most two of each block are left: far fewer blocks next time
-        flying = flown.filter("not done").withColumn("blocks", F.ceil(F.col("blocks") * 2 / F.lit(block)).cast("int")).withColumn("block", _dealt(seed + 1, F.col("blocks")))
-        most = -(-most * 2 // block)
+        flying = flown.filter("not done").withColumn("blocks", F.ceil(F.col("blocks") * 2 / F.lit(block)).cast("int")).withColumn("block", _dealt(seed + 1 + level, F.col("blocks")))
+        most, level = -(-most * 2 // block), level + 1
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)

@@ -153,7 +153,7 @@ def test_mix_totals(spark):
 def test_flight_keeps_totals():
     rng = np.random.default_rng(3)
     size, p = rng.integers(1, 500, 300).astype(float), np.full(300, 0.37)
-    q = mixing.flight(size, p)
+    q = mixing.flight(size, p, np.arange(len(p)).astype(np.uint64) * np.uint64(977))
     assert abs((q * size).sum() - (p * size).sum()) < 1e-3 and abs(q.sum() - p.sum()) < 1e-5
     assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2
 

@@ -177,16 +177,60 @@ def test_mix_is_the_same_at_any_number_of_sources(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and sum(r.taken for r in mixing.mix(spark.createDataFrame([(1, "", "a"), (1, None, "a")], d.schema)).collect()) == 0
 
 
+def flown(seed, size, p, ids=None):
+    n = len(size)
+    table = pa.table({"doc_id": pa.array(range(n) if ids is None else ids, pa.int64()), "size": pa.array(size, pa.int64()), "copy": pa.array([1] * n, pa.int64()), "p": pa.array(p, pa.float64()), "done": pa.array([False] * n)})
+    out = mixing._fly(True, seed)((pa.scalar("s"), pa.scalar(0)), table)
+    assert out["doc_id"].null_count == 0 and all(out["done"].to_pylist())
+    taken = dict(zip(out["doc_id"].to_pylist(), out["p"].to_pylist(), strict=True))
+    return np.array([taken[i] for i in sorted(taken)])
+
+
 def test_balanced_sample_keeps_chances():
-    """Over many orders the share of draws of each document is near its inclusion probability."""
+    """Over many seeds the share of draws of each document is near its inclusion probability, and words stay near their target."""
     rng = np.random.default_rng(9)
-    size = rng.integers(1, 50, 12).astype(float)
-    p, hits = np.full(12, 0.4), np.zeros(12)
-    for _ in range(800):
-        order = rng.permutation(12)
-        q = mixing.flight(size[order], p[order])
-        hits[order] += q
-    assert np.abs(hits / 800 - 0.4).max() < 0.08
+    size, p = rng.integers(5, 50, 40), rng.choice([0.2, 0.4, 0.7], 40)
+    draws = np.array([flown(seed, size, p) for seed in range(600)])
+    assert np.abs(draws.mean(axis=0) - p).max() < 0.1
+    assert np.abs(draws @ size - p @ size).max() <= 5
+    assert len({tuple(d) for d in draws}) > 500
+    equal = np.array([flown(seed, np.full(30, 10), np.full(30, 0.3)) for seed in range(600)])  # ranks by size say nothing here
+    assert np.abs(equal.mean(axis=0) - 0.3).max() < 0.08 and set(equal.sum(axis=1)) == {9.0}
+
+
+def test_other_seeds_give_other_samples(spark):
+    rows = [(k, " ".join(["w"] * (1 + k % 9)), "abc"[k % 3]) for k in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [{r.doc_id: r.taken for r in mixing.mix(d, seed=seed).collect()} for seed in (0, 0, 1, 99)]
+    assert taken[0] == taken[1] and taken[0] != taken[2] and taken[2] != taken[3]
+    total = sum(1 + k % 9 for k in range(600))
+    size = {s: sum(1 + k % 9 for k in range(600) if "abc"[k % 3] == s) for s in "abc"}
+    due = {"a": total / 6, "b": total / 3, "c": total / 2}  # none above three times its size
+    assert all(due[s] <= 3 * size[s] for s in "abc")
+    for t in taken:
+        assert all(abs(sum(t[k] for k in range(600) if "abc"[k % 3] == s) - due[s]) <= 2 for s in "abc")
+
+
+def test_toxic_rows_of_one_id_leave_room(spark):
+    """One labelled id with very many texts takes one place of the fit; both classes and the other ids stay."""
+    ids = [k for k in range(1, 400) if __import__("zlib").crc32(str(k).encode()) % 5][:150]
+    hot, rng, neutral = ids[0], random.Random(6), [f"n{k}" for k in range(300)]
+    rows = [(hot, f"vile horrid {k}") for k in range(300)] + [(k, ("vile nasty horrid " if j % 4 == 0 else "calm words ") + " ".join(rng.choices(neutral, k=12))) for j, k in enumerate(ids) if k != hot]
+    labels = spark.createDataFrame([(k, int(j % 4 == 0)) for j, k in enumerate(ids)], "doc_id long, toxic int")
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, toxic = toxicity.training_sample(docs_, labels, bound=30)
+    assert len(texts) == 120 and sum(toxic) == 30
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs_, labels, bound=30).collect()}
+    assert min(s for k, s in scores.items() if k in ids[4::4]) > 0.5 > max(s for k, s in scores.items() if k in ids[1::4])
+
+
+def test_quiet_segments_count_whole():
+    """Texts whose quiet segments are folded give the field of one long likelihood: more quiet text, lower chance to start toxic."""
+    rng = random.Random(2)
+    texts = [" ".join(f"n{rng.randrange(200)}" for _ in range(70)) + (" vile horrid" if k % 3 == 0 else "") for k in range(90)]
+    toxic = [int(k % 3 == 0) for k in range(90)]
+    short, long = (toxicity.fit([t + " calm" * n for t in texts], toxic) for n in (0, 640))
+    assert (long.move[0, 1] - long.move[0, 0]) < (short.move[0, 1] - short.move[0, 0])
 
 
 def test_field_marginals_equal_enumeration():
