@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS = ("reference", "wholes", "kernels", "solvers", "files", "runs")
+_PLANS = ("reference", "wholes", "kernels", "solvers", "files", "runs", "jobs")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

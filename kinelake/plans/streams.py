@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder shared by all executors. A local session without one (tests) uses a folder of this machine; on a
-    cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or "/tmp/checkpoints"
+from ..sources.tables import shared_folder
 
 
 def replay(spark: SparkSession, messages: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, files: int = 3) -> DataFrame:
