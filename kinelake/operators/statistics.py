@@ -116,7 +116,7 @@ def two_passes(pool: DataFrame, threshold: float = STATIC) -> DataFrame:
     return symmetric(both, F.col("key").startswith("action_") | (F.col("key") == "gripper_action")).select("key", "axis", "q01", "q99", "n")
 
 
-def _series(text: Column, width: int | None = None) -> Column:
+def rows_of(text: Column, width: int | None = None) -> Column:
     """Rows of numbers from a JSON array: of rows, of matrices (each a row), or of ``width`` numbers after one another."""
     head = F.regexp_replace(F.regexp_extract(text, r"^([\s\[]*)", 1), r"\s", "")
     deep = F.transform(F.from_json(text, "array<array<array<double>>>"), F.flatten)
@@ -128,7 +128,7 @@ def _series(text: Column, width: int | None = None) -> Column:
     return F.when((F.length(head) == 1) & (F.size(flat) >= width), cut).otherwise(rows)
 
 
-def _turn(rows: DataFrame, name: str, array: str) -> tuple[DataFrame, Q.Quaternion]:
+def turned(rows: DataFrame, name: str, array: str) -> tuple[DataFrame, Q.Quaternion]:
     """Scalar columns of the quaternion of a rotation vector (3 numbers) or a matrix (9); NULL otherwise."""
     size = F.size(array)
     rows, v = Q.staged(rows, f"{name}v", [F.when((size == 3) | (size == 9), F.get(array, F.lit(k))) for k in range(3)])
@@ -150,14 +150,14 @@ def episode_pool(episodes: DataFrame, action_skip: int = 1, arms: tuple[str, ...
     later = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
     arms_ = []
     for k, arm in enumerate(arms):
-        made = {"p": _series(F.col("proprios")[f"{arm}_ee_pos"], 3), "a": _series(F.col("actions")[f"{arm}_ee_pos"], 3), "rp": _series(F.col("proprios")[f"{arm}_ee_rotm"]), "ra": _series(F.col("actions")[f"{arm}_ee_rotm"]), "g": _series(F.col("proprios")[f"{arm}_gripper_pos"], 1), "raw": _series(F.col("actions")["raw_actions"])}
+        made = {"p": rows_of(F.col("proprios")[f"{arm}_ee_pos"], 3), "a": rows_of(F.col("actions")[f"{arm}_ee_pos"], 3), "rp": rows_of(F.col("proprios")[f"{arm}_ee_rotm"]), "ra": rows_of(F.col("actions")[f"{arm}_ee_rotm"]), "g": rows_of(F.col("proprios")[f"{arm}_gripper_pos"], 1), "raw": rows_of(F.col("actions")["raw_actions"])}
         made = {name: F.coalesce(c, F.array().cast("array<array<double>>")) for name, c in made.items()}
         arms_.append(F.struct(F.lit(arm).alias("arm"), F.lit(k).alias("side"), *(c.alias(name) for name, c in made.items())))
     rows = episodes.filter("proprios is not null").select(F.coalesce(F.map_contains_key("actions", F.lit("raw_actions")), F.lit(False)).alias("given"), F.explode_outer(F.array(*arms_)).alias("s")).select("given", "s.*")
     frames = F.arrays_zip(F.col("p"), later(F.col("a"), action_skip - 1).alias("a"), F.col("rp"), later(F.col("ra"), action_skip - 1).alias("ra"), F.col("g"), later(F.col("g"), action_skip).alias("h"), F.col("raw"))
     rows = rows.select("arm", "side", "given", F.explode_outer(frames).alias("x")).select("arm", "side", "given", "x.p", "x.a", "x.rp", "x.ra", F.get("x.g", F.lit(0)).alias("g"), F.get("x.h", F.lit(0)).alias("h"), "x.raw")
-    rows, qp = _turn(rows, "_p", "rp")
-    rows, qa = _turn(rows, "_a", "ra")
+    rows, qp = turned(rows, "_p", "rp")
+    rows, qa = turned(rows, "_a", "ra")
     rows, q = Q.staged(rows, "_d", Q.multiply(qa, Q.conjugate(qp)))
     rows, c = Q.staged(rows, "_c", Q.canonical(q))
     rows, v = Q.staged(rows, "_v", Q.to_rotvec(c, own=True))

@@ -65,14 +65,14 @@ class EpisodeSource:
         return parsed.filter("d._corrupt is null").select("d.*", "episode").drop("_corrupt")
 
     def parts(self) -> DataFrame:
-        """(episode, proprios, actions) with every part as its JSON text, since the parts differ in depth. Strict: a broken
-        document is an error; else it is left out."""
-        kind = "proprios MAP<STRING, STRING>, actions MAP<STRING, STRING>"
+        """One row for each document with every proprio and action as its JSON text, since these differ in depth. Strict: a
+        broken document is an error; else it is left out."""
+        kind = EPISODE_DDL.replace("ARRAY<ARRAY<DOUBLE>>", "STRING")
         if self.strict:
             return self._text().select("episode", F.from_json("value", kind, {"mode": "FAILFAST"}).alias("d")).select("episode", "d.*")
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
         parsed = self._text().select("episode", F.from_json("value", kind + ", _corrupt STRING", options).alias("d"))
-        return parsed.filter("d._corrupt is null").select("episode", "d.proprios", "d.actions")
+        return parsed.filter("d._corrupt is null").select("episode", "d.*").drop("_corrupt")
 
     def frame_counts(self) -> DataFrame:
         """(episode, num_frames) from the head of each document, else from all of it; none is an error (strict) or left out."""
