@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, metrics, sampling, sequences
@@ -94,8 +93,53 @@ def broker_waiting(spark, d):
 
 @query(f"WITH {_RANKED} SELECT CAST(r.queue AS VARCHAR) AS queue, r.id AS request_id, w.id AS worker_id, r.ts AS request_ts, w.ts AS ready_ts, greatest(r.ts, w.ts) AS dispatch_ts FROM r JOIN w ON w.queue = r.queue AND w.k = r.k")
 def broker_stream(spark, d):
-    """The pairs of requests and workers by the stateful stream, from files."""
-    return replay(spark, _messages(spark, d), broker.dispatch_stream, f"pairs_{uuid.uuid4().hex}")
+    """The pairs of requests and workers by the stateful stream, from a message log read by offset."""
+    return replay(spark, _messages(spark, d), broker.dispatch_stream, "pairs")
+
+
+@query(f"WITH {_RANKED} SELECT CAST(r.queue AS VARCHAR) AS queue, r.id AS request_id, w.id AS worker_id FROM r JOIN w ON w.queue = r.queue AND w.k = r.k")
+def broker_late(spark, d):
+    """The same pairs where the messages arrive in a random order: they wait for the watermark."""
+    rows = _messages(spark, d).withColumn("arrival", F.md5(F.col("id").cast("string")))
+    last = rows.agg(F.max("ts"), F.min("ts")).first()
+    delay = int(last[0] - last[1]) + 60  # the messages of all days come at once
+    # the first mark moves the watermark behind all messages, the second one starts the batch that sees it
+    marks = spark.createDataFrame([(0, "end", -k, float(last[0] + delay + k), "z" * k) for k in (1, 2)], "queue long, kind string, id long, ts double, arrival string")
+    out = replay(spark, rows.unionByName(marks), lambda m: broker.dispatch_late(m, f"{delay} seconds"), "late", ("arrival", "id"), alone=1)
+    return out.select("queue", "request_id", "worker_id")
+
+
+_SERVED = """m AS (SELECT user_id % 16 AS client, event_id AS id, ts, value, event_type = 'purchase' AS setup FROM events),
+s AS (SELECT *, max(CASE WHEN setup THEN [epoch_us(ts), id] END) OVER (PARTITION BY client ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS last FROM m),
+o AS (SELECT client, id, ts, value, last[2] AS from_, row_number() OVER (PARTITION BY client ORDER BY ts, id) AS ordinal FROM s WHERE NOT setup),
+b AS (SELECT *, [-1.0 - from_ % 3, -1.0 - from_ % 2] AS low, [2.0 + from_ % 5, 3.0 + from_ % 4] AS high FROM o),
+z AS (SELECT *, 2 * (value - low[1]) / (high[1] - low[1]) - 1 AS x, 2 * (value / 2 - low[2]) / (high[2] - low[2]) - 1 AS y FROM b)"""
+
+
+@query(f"""WITH {_SERVED} SELECT CAST(client AS VARCHAR) AS client, ordinal, id AS request_id,
+  CASE WHEN from_ IS NOT NULL THEN {r6s('(0.5 * x + 0.25 * y + 1) / 2 * (high[1] - low[1]) + low[1]')} END AS a, CASE WHEN from_ IS NOT NULL THEN {r6s('(x - y + 1) / 2 * (high[2] - low[2]) + low[2]')} END AS b FROM z""")
+def worker_stream(spark, d):
+    """Requests answered by a server that keeps each client's statistics: purchases bring new ones, all else observations."""
+    k, setup = F.col("event_id"), F.col("event_type") == "purchase"
+    pair = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    rows = table(spark, d, "events").select(
+        (F.col("user_id") % 16).alias("client"), F.when(setup, "setup").otherwise("observe").alias("kind"), k.alias("id"), "ts", F.when(~setup, pair(F.col("value"), F.col("value") / 2)).alias("state"),
+        F.when(setup, pair(-1 - k % 3, -1 - k % 2)).alias("q01"), F.when(setup, pair(2 + k % 5, 3 + k % 4)).alias("q99"),
+    )
+    out = replay(spark, rows, lambda m: broker.serve(m, _linear), "served")
+    return out.select("client", "ordinal", "request_id", *(r6(F.get("action", F.lit(j))).alias(n) for j, n in enumerate("ab")))
+
+
+def _linear(states):
+    return np.stack([0.5 * states[:, 0] + 0.25 * states[:, 1], states[:, 0] - states[:, 1]], axis=1)
+
+
+@query("""WITH r AS (SELECT user_id % 20 AS run, event_id % 16 AS rank FROM events WHERE event_type = 'purchase'), n AS (SELECT run, count(DISTINCT rank) AS n FROM r GROUP BY 1)
+SELECT CAST(run AS VARCHAR) AS run, CAST(5 AS BIGINT) AS ranks, true AS complete FROM n WHERE n >= 5""")
+def completion_stream(spark, d):
+    """One row for each run, at its fifth distinct rank, however often ranks report."""
+    rows = table(spark, d, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 20).alias("run"), (F.col("event_id") % 16).alias("rank"), "ts", F.col("event_id").alias("id"))
+    return replay(spark, rows, lambda m: broker.completed_stream(m, 5), "done", clock=True)
 
 
 @query("""WITH q AS (SELECT user_id AS client_id, event_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'),
@@ -129,5 +173,5 @@ def completion(spark, d):
 def speed_stream(spark, d):
     """Speeds over the last ten entries of each run, as a stateful stream."""
     rows = frames(spark, d).filter("frame > 0").select(F.col("episode").alias("run"), F.col("frame").alias("step"), F.col("seconds").alias("ts"))
-    out = replay(spark, rows, broker.speed_stream, f"speeds_{uuid.uuid4().hex}")
+    out = replay(spark, rows, broker.speed_stream, "speeds", ("ts", "run", "step"))
     return out.select(F.col("run").cast("long").alias("episode"), F.col("step").alias("frame"), r6(F.col("speed")).alias("speed"))

@@ -5,23 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.tables import shared_folder
+from ..sources.tables import scratch
+from ..streaming import log
 
+STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def replay(spark: SparkSession, messages: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, files: int = 3) -> DataFrame:
-    """Writes the messages in time order to a few files, streams them one file a batch through the operator, and
-    returns what came out. State lives in RocksDB under the shared folder."""
-    folder = f"{shared_folder(spark)}/{name}"
-    # one file after another, so that the source takes them in the order of time
-    cuts = messages.agg(F.percentile_approx("ts", [k / files for k in range(1, files)])).first()[0]
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = messages if low is None else messages.filter(F.col("ts") >= low)
-        part = part if high is None else part.filter(F.col("ts") < high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    run = operator(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+
+def replay(spark: SparkSession, messages: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, order: tuple[str, ...] = ("ts", "id"), runs: int = 2, alone: int = 0, clock: bool = False) -> DataFrame:
+    """Writes the messages to a log in the order given, shows it to a stream part by part, and returns what came out of
+    the operator. Each part is a run of its own that goes on from the checkpoint; the last ``alone`` messages are a further
+    one. State lives in RocksDB under the shared folder; the settings are those of a session of its own. ``clock`` says
+    that the operator waits for processing time, so that a stream would never end by itself."""
+    folder = scratch(spark, name)
+    schema = StructType([*messages.schema.fields, StructField("at", LongType())])
+    end = log.append(messages, f"{folder}/in", list(order), shown=False)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    for upto in [(end - alone) * k // runs for k in range(1, runs + 1)] + [end] * bool(alone):
+        log.show(spark, f"{folder}/in", upto)
+        made = operator(log.read_log(own, f"{folder}/in", schema))
+        run = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        run = run.trigger(**({"once": True} if clock else {"availableNow": True})).start()
+        run.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")

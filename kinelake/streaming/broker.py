@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,10 +65,157 @@ class Fifo(StatefulProcessor):
 
 
 def dispatch_stream(messages: DataFrame) -> DataFrame:
-    """Stream of (queue, kind: request or ready, id, ts) to stream of pairs; queues are independent."""
+    """Stream of (queue, kind: request or ready, id, ts), in order of time, to stream of pairs; queues are independent."""
     return messages.withColumn("queue", F.col("queue").cast("string")).groupBy("queue").transformWithStateInPandas(Fifo(), OUT, "Append", "None")
 
 
+class LateFifo(Fifo):
+    """The same for messages that arrive in any order: each waits until the watermark has passed its time, when none
+    before it can come any more, and then joins its line. An event-time timer stands for the first one that waits."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts double, kind string, id long", "there boolean")
+        self.next = handle.getValueState("next", "ms long")
+
+    def _wait(self, low: float) -> None:
+        ms = int(low * 1000) + 1
+        if not self.next.exists() or ms < self.next.get()[0]:
+            self.handle.registerTimer(ms)
+            self.next.update((ms,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        low = None
+        for frame in rows:
+            for kind, i, t in zip(frame["kind"], frame["id"], frame["ts"], strict=True):
+                if kind in ("request", "ready"):  # others only move the watermark
+                    self.waiting.updateValue((float(t), kind, int(i)), (True,))
+                    low = float(t) if low is None else min(low, float(t))
+        if low is not None:
+            self._wait(low)
+        yield pd.DataFrame(columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(k for k in self.waiting.keys())
+        ready = [k for k in held if k[0] * 1000 <= mark]
+        for k in ready:
+            self.waiting.removeKey(k)
+        self.next.clear()
+        if len(held) > len(ready):
+            self._wait(held[len(ready)][0])
+        # of messages at one time the order is that of the ids, as in the batch form
+        frame = pd.DataFrame([(kind, i, t) for t, kind, i in ready], columns=["kind", "id", "ts"])
+        yield from super().handleInputRows(key, iter([frame]), timerValues)
+
+
+def dispatch_late(messages: DataFrame, delay: str) -> DataFrame:
+    """Stream of (queue, kind, id, ts in seconds), in any order within ``delay``, to stream of pairs; a pair comes out once
+    the watermark has passed both its messages. Later ones are dropped, as everywhere behind a watermark."""
+    timed = messages.withColumns({"queue": F.col("queue").cast("string"), "event_time": F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("long"))})
+    return timed.withWatermark("event_time", delay).groupBy("queue").transformWithStateInPandas(LateFifo(), OUT, "Append", "EventTime")
+
+
+REPLIES = "client string, ordinal long, request_id long, action array<double>"
+
+
+class Server(StatefulProcessor):
+    """The loop of a prediction server: each client's statistics and number of requests are state; a setup message
+    replaces the statistics, an observation is normalised, predicted and scaled back, and answered by its ordinal."""
+
+    def __init__(self, predict: Callable[[np.ndarray], np.ndarray]):
+        self.predict = predict
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bounds = handle.getValueState("bounds", "q01 array<double>, q99 array<double>")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [r for r in rows if len(r)]
+        out = []
+        if frames:
+            arrived = pd.concat(frames).sort_values("at")
+            bounds = tuple(np.array(b, float) for b in self.bounds.get()) if self.bounds.exists() else None
+            n = self.count.get()[0] if self.count.exists() else 0
+            # the predictor takes all observations between two setups at once
+            for _, run in arrived.groupby((arrived["kind"] == "setup").cumsum()):
+                if run["kind"].iloc[0] == "setup":
+                    bounds = np.array(run["q01"].iloc[0], float), np.array(run["q99"].iloc[0], float)
+                    run = run.iloc[1:]
+                if len(run):
+                    ordinals = range(n + 1, n + 1 + len(run))
+                    n += len(run)
+                    answers = [None] * len(run)
+                    if bounds is not None:
+                        low, high = bounds
+                        made = self.predict(2 * (np.array(run["state"].tolist(), float) - low) / (high - low) - 1)
+                        answers = ((made + 1) / 2 * (high - low) + low).tolist()
+                    out += zip([key[0]] * len(run), ordinals, run["id"].astype(int), answers, strict=True)
+            if bounds is not None:
+                self.bounds.update(tuple(b.tolist() for b in bounds))
+            self.count.update((n,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLIES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def serve(messages: DataFrame, predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Stream of (client, kind: setup or observe, id, at, state, q01, q99), each client's in order of ``at``, to stream of
+    replies. ``predict`` takes and gives scaled rows; a client without statistics gets a reply without an action."""
+    return messages.withColumn("client", F.col("client").cast("string")).groupBy("client").transformWithStateInPandas(Server(predict), REPLIES, "Append", "None")
+
+
+DONE = "run string, ranks long, complete boolean"
+
+
+class Barrier(StatefulProcessor):
+    """Distinct ranks of a run; one row when the last one has reported, or when ``patience`` ms have passed before."""
+
+    def __init__(self, world_size: int, patience: int):
+        self.world_size, self.patience = world_size, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ranks = handle.getMapState("ranks", "rank long", "there boolean")
+        self.told = handle.getValueState("told", "n long, timer long")
+
+    def _tell(self, key, n: int, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame([(str(key[0]), n, complete)], columns=[c.split()[0] for c in DONE.split(", ")])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, timer = self.told.get() if self.told.exists() else (0, 0)
+        for frame in rows:
+            for rank in frame["rank"].dropna().astype(int).unique().tolist():
+                if n < self.world_size and not self.ranks.containsKey((rank,)):
+                    self.ranks.updateValue((rank,), (True,))
+                    n += 1
+                    if n == self.world_size and timer >= 0:
+                        if timer:
+                            self.handle.deleteTimer(timer)
+                        timer = -1
+                        yield self._tell(key, n, True)
+        if timer == 0:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.patience
+            self.handle.registerTimer(timer)
+        self.told.update((n, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _ = self.told.get()
+        self.told.update((n, -1))
+        yield self._tell(key, n, False)
+
+    def close(self) -> None:
+        pass
+
+
+def completed_stream(results: DataFrame, world_size: int, patience: int = 3_600_000) -> DataFrame:
+    """Stream of (run, rank), ranks in any order and any number of times, to one row for each run: complete at its
+    ``world_size``-th distinct rank, or not complete if ``patience`` ms passed since its first."""
+    return results.withColumn("run", F.col("run").cast("string")).groupBy("run").transformWithStateInPandas(Barrier(world_size, patience), DONE, "Append", "ProcessingTime")
+
+
 class Speeds(StatefulProcessor):
     """The last entries of a run, and the speed over them at each new one."""
 
