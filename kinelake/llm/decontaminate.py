@@ -4,8 +4,10 @@ Texts are lower-cased (A-Z only) and cut into words of letters, digits and non-A
 consecutive words of one item; an item with fewer words, but not none, is one window. Hits are verified by the bytes of
 their words. The set is sorted arrays, made once on the driver and broadcast; it takes 8 bytes for each window's hash, 4
 for its place, 4 for its group and the normalised texts, which is under 13 bytes for each byte of benchmark text. A
-benchmark of over ``MAX_BYTES`` is scanned in blocks of items of at most that size, one broadcast at a time, and the hits
-of the blocks are merged by document. ``drop_contaminated`` removes documents, ``cut_contaminated`` only the spans.
+benchmark of over ``MAX_BYTES`` is not collected: its windows become a table, and only a bitmap of their hashes (at most
+``BITS`` bits) is broadcast. One scan of the documents emits the windows whose bit is set, these are joined with the table
+by hash and words, the table's side put beside ``SALTS`` numbers for windows that very many documents hold, and the hits
+are merged by row. ``drop_contaminated`` removes documents, ``cut_contaminated`` only the spans.
 
 Defined cases: a null has no words and no windows; a null or repeated item_id is an id like others (null: empty text);
 an empty benchmark hits nothing; an empty table gives no rows; invalid UTF-8 is bytes like others; other columns are ignored.
@@ -26,7 +28,8 @@ from .frames import release, written
 
 SIZE = 10
 MAX_BYTES = 8 << 20
-_HITS = "doc_id long, n_words long, hits array<int>, item_ids array<string>"
+#: bits of the map of a large benchmark's windows, bits of one of its chunks, salts of a window, windows in a batch
+BITS, CHUNK, SALTS, ROWS = 1 << 27, 1 << 15, 16, 1 << 14
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -141,26 +144,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_b
                     )
 
         return docs.mapInArrow(run, _OUT)
-    merged = _in_blocks(written(docs.withColumn("row", F.monotonically_increasing_id())), items, size, max_bytes)
+    merged = _by_table(written(docs.withColumn("row", F.monotonically_increasing_id())), items, size)
     return merged.select("doc_id", "n_words", F.size("h").cast("long").alias("n_hit"), F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), (F.size("h") > 0).alias("contaminated"))
 
 
-def _in_blocks(rows: DataFrame, items: DataFrame, size: int, max_bytes: int) -> DataFrame:
-    """(row, doc_id, n_words, h: flagged words, i: item ids) of the rows (doc_id, text, row): one scan for each block of
-    items, whose set is broadcast and destroyed again; what the scans found is merged by row."""
-    blocks = 2 * -(-_bytes(items) // max_bytes)
-    items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
-    found, parts = None, []
-    for k in range(blocks):
-        shared = _shared(items.filter(F.col("block") == k), size)
-        parts.append(written(rows.mapInArrow(_scan_block(shared), "row long, " + _HITS)))
-        shared.destroy()
-        found = parts[-1] if found is None else found.unionByName(parts[-1])
-    merged = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i")
-    )
-    merged = written(merged)
-    release(items, *parts)
+def _by_table(rows: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(row, doc_id, n_words, h: flagged words, i: item ids) of the rows (doc_id, text, row), through a table of windows."""
+    windows = written(items.distinct().mapInArrow(_emit_windows(size), "item_id string, width int, hash long, words string").distinct())
+    known = windows.select("width", "hash", "words").distinct()
+    bits = min(BITS, max(CHUNK, 1 << (16 * windows.count()).bit_length()))
+    cell = F.shiftrightunsigned("hash", 64 - (bits.bit_length() - 1))
+    chunks = windows.select(F.floor(cell / CHUNK).cast("int").alias("chunk"), (cell % CHUNK).cast("int").alias("bit")).groupBy("chunk").agg(F.collect_set("bit").alias("bits"))
+    mask = np.zeros(bits // 8, np.uint8)
+    for r in chunks.mapInArrow(_packed, "chunk int, bits binary").collect():  # at most bits / 8 bytes
+        mask[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
+    shared = rows.sparkSession.sparkContext.broadcast((mask, bits, widths))
+    seen = written(rows.mapInArrow(_scan_windows(shared), "row long, doc_id long, n_words long, at int, width int, hash long, words string"))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = written(seen.filter("width > 0").withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["width", "hash", "words", "salt"]).select("row", "at", "width", "hash", "words"))
+    flagged = hits.select("row", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("j")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("j")).alias("h"))
+    owners = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = hits.select("row", "width", "hash", "words").distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(owners, ["width", "hash", "words", "salt"])
+    named = found.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("i"))
+    merged = seen.filter("width = 0").select("row", "doc_id", "n_words").join(flagged, "row", "left").join(named, "row", "left")
+    merged = written(merged.select("row", "doc_id", "n_words", F.coalesce("h", F.array().cast("array<int>")).alias("h"), F.coalesce("i", F.array().cast("array<string>")).alias("i")))
+    release(windows, seen, hits)
     return merged
 
 
@@ -179,11 +188,12 @@ def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int, w
     items, names = _items(benchmark), docs.columns
     at = names.index("text")
     if _bytes(items) > max_bytes:
-        rows = written(docs.withColumn("_clean_row", F.monotonically_increasing_id()))
-        found = _in_blocks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_clean_row").alias("row")), items, size, max_bytes).filter("size(h) > 0").select(F.col("row").alias("_found_row"), F.col("h").alias("_found"))
+        key, other, flags_ = (_free(docs, n) for n in ("row", "found_row", "found"))
+        rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
+        found = _by_table(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("row")), items, size).filter("size(h) > 0").select(F.col("row").alias(other), F.col("h").alias(flags_))
         if whole:
-            return rows.join(found, rows["_clean_row"] == found["_found_row"], "left_anti").drop("_clean_row")
-        joined = rows.join(found, rows["_clean_row"] == found["_found_row"], "left").drop("_clean_row", "_found_row")
+            return rows.join(found, rows[key] == found[other], "left_anti").drop(key)
+        joined = rows.join(found, rows[key] == found[other], "left").drop(key, other)
 
         def cut_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,6 +222,13 @@ def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int, w
     return docs.mapInArrow(run, docs.schema)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def _replaced(piece: pa.RecordBatch, at: int, words: T.Words, flags: np.ndarray) -> pa.RecordBatch:
     if not flags.any():
         return piece
@@ -235,14 +252,65 @@ def _bytes(items: DataFrame) -> int:
     return int(items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0)
 
 
-def _scan_block(shared):
+def _emit_windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in T.pieces(batch):
+                words = T.Words(piece.column(1), T.ALNUM_WORDS)
+                for width in range(1, size + 1):
+                    at, hashes = T.ngrams(words, width)
+                    if width < size and len(at):  # an item of fewer words is one window
+                        own = words.counts[words.doc[at]] == width
+                        at, hashes = at[own], hashes[own]
+                    for k in range(0, len(at), ROWS):
+                        some = at[k : k + ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(0).take(pa.array(words.doc[some])), pa.array(np.full(len(some), width), pa.int32()), pa.array(hashes[k : k + ROWS].view(np.int64)), _joined(words, some, width)],
+                            names=["item_id", "width", "hash", "words"],
+                        )
+
+    return run
+
+
+def _joined(words: T.Words, at: np.ndarray, width: int) -> pa.Array:
+    """The words of windows, one blank between two."""
+    return pa.array([b" ".join(words.word(j) for j in range(i, i + width)) for i in at.tolist()], pa.binary()).view(pa.string())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for bits in batch.column(1):
+            own = np.zeros(CHUNK, bool)
+            own[bits.values.to_numpy()] = True
+            out.append(np.packbits(own).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "bits"])
+
+
+def _scan_windows(shared):
+    """One row (width 0) for each document, and one for each of its windows whose bit is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, bits, widths = shared.value
+        shift = np.uint64(64 - (bits.bit_length() - 1))
+        names = ["row", "doc_id", "n_words", "at", "width", "hash", "words"]
         for batch in batches:
             for piece in T.pieces(batch):
-                found = list(shared.value.scan(piece.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(2), piece.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([np.flatnonzero(x[1]).astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))],
-                    names=["row", "doc_id", "n_words", "hits", "item_ids"],
-                )
+                words = T.Words(piece.column(1), T.ALNUM_WORDS)
+                n = piece.num_rows
+                none = np.zeros(n, np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(0), pa.array(words.counts, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none), pa.array([""] * n, pa.string())], names=names)
+                for width in widths:
+                    at, hashes = T.ngrams(words, width)
+                    cell = (hashes >> shift).astype(np.int64)
+                    hit = (mask[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                    at, hashes = at[hit], hashes[hit]
+                    for k in range(0, len(at), ROWS):
+                        some = at[k : k + ROWS]
+                        doc = words.doc[some]
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(2).take(pa.array(doc)), piece.column(0).take(pa.array(doc)), pa.array(words.counts[doc], pa.int64()), pa.array(some - words.first[doc], pa.int32()), pa.array(np.full(len(some), width), pa.int32()), pa.array(hashes[k : k + ROWS].view(np.int64)), _joined(words, some, width)],
+                            names=names,
+                        )
 
     return run

@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A fingerprint is a vector of sums: each paragraph (line) adds the 4 words of 64 bits of a 256-bit hash (BLAKE2b) of its
+A fingerprint is a vector of sums: each paragraph (what stands between two line feeds, empty lines too) adds the 4 words of 64 bits of a 256-bit hash (BLAKE2b) of its
 bytes modulo 2**64, and 256 lanes modulo 2**16, to which each of its words adds +1 or -1 by the hash of the word with the two before it.
 Sums do not depend on the order of paragraphs, and a paragraph is inserted or deleted by adding or subtracting its own
 vector. The lanes are a linear sketch too: the squared length of a difference estimates how many words differ, so
@@ -63,16 +63,16 @@ class Prints:
             cuts = np.flatnonzero(np.diff(docs, prepend=-1))
             for c, d in zip(cuts, [*cuts[1:], len(docs)], strict=True):
                 lanes[docs[c]] += 2 * bits[c:d].sum(axis=0, dtype=np.int64) - (d - c)
-        # bytes of each paragraph
+        # bytes of each line of a text that is not empty
         wide = np.zeros((n, WIDE), T._U)
         ends = np.flatnonzero(words.buf == 10)
-        cuts = np.unique(np.concatenate([words.offsets, ends, ends + 1]))
-        starts, stops = cuts[:-1], cuts[1:]
-        keep = words.buf[starts] != 10 if len(starts) else np.zeros(0, bool)
-        starts, stops = starts[keep], stops[keep]
+        some = np.flatnonzero(np.diff(words.offsets))
+        starts = np.concatenate([words.offsets[some], ends + 1])
+        doc = np.concatenate([some, np.searchsorted(words.offsets, ends, "right") - 1])
+        stops = np.minimum(np.append(ends, len(words.buf))[np.searchsorted(ends, starts)], words.offsets[doc + 1])
         raw = words.buf.tobytes()
         own = b"".join(hashlib.blake2b(raw[a:b], digest_size=8 * WIDE).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
-        np.add.at(wide, np.searchsorted(words.offsets, starts, "right") - 1, np.frombuffer(own, "<u8").reshape(-1, WIDE))
+        np.add.at(wide, doc, np.frombuffer(own, "<u8").reshape(-1, WIDE))
         return cls(wide, lanes.astype(np.int32))  # a text has under 2**31 words
 
     def add(self, other: Prints) -> Prints:

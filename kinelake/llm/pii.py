@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -229,12 +231,17 @@ class Model:
         raw = self.trees.raw(np.array([features(text, *c, self.weights) for c in found]))
         chance = 1 / (1 + np.exp(-(self.a * raw + self.b)))
         kept = [c[:3] for c in found if c[3]]
-        taken = sorted((a, b) for _, a, b in kept)
+        base = sorted((a, b) for _, a, b in kept)
+        starts, reached = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        own: list[tuple[int, int]] = []  # ascending, and without overlaps
         for c, p in sorted(zip(found, chance, strict=True), key=lambda x: (-x[1], x[0][1])):
             kind, a, b, _ = c
-            if kind in EXTRA and p >= self.threshold[kind] and all(b <= s or a >= e for s, e in taken):
+            if kind not in EXTRA or p < self.threshold[kind]:
+                continue
+            k, j = bisect_left(starts, b), bisect_left(own, (b, b))
+            if not (k and reached[k - 1] > a) and not (j and own[j - 1][1] > a):
                 kept.append((kind, a, b))
-                taken.append((a, b))
+                insort(own, (a, b))
         return sorted(kept, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +103,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def spans(text: str, reach: int = REACH, around: int = AROUND) -> list[tuple[str, int, int]]:
     """All spans, by start, then kind as listed."""
     found = base_spans(text)
-    taken = [(a, b) for _, a, b in found]
+    taken = sorted((a, b) for _, a, b in found)
+    starts, reached = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     folded = text.translate(_FOLD)
     end = walked = -1
     for c in _CONTEXT.finditer(folded):
@@ -112,7 +115,7 @@ def spans(text: str, reach: int = REACH, around: int = AROUND) -> list[tuple[str
             while m:
                 a, b = m.span()
                 own = m[0]
-                if b - a >= SHORTEST and a >= end and any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and not any(a < e and s < b for s, e in taken):
+                if b - a >= SHORTEST and a >= end and any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and not _meets(starts, reached, a, b):
                     end = b
                     if novelty(own, *surroundings(text, a, b, around)) >= NOVELTY:
                         found.append(("novel", a, b))
@@ -121,6 +124,12 @@ def spans(text: str, reach: int = REACH, around: int = AROUND) -> list[tuple[str
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _meets(starts: list[int], reached: list[int], a: int, b: int) -> bool:
+    """Whether a span overlaps one of those that begin at ``starts``; ``reached`` are their running largest ends."""
+    k = bisect_left(starts, b)
+    return k > 0 and reached[k - 1] > a
+
+
 _FOLD = {k: k + 32 for k in range(65, 91)}
 
 

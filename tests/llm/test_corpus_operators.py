@@ -176,9 +176,7 @@ def print_by_loops(text):
     """Wide words and lanes of one text, number by number."""
     wide, lanes = [0] * 4, [0] * 256
     seeds = [mixed(k) for k in range(1, 5)]
-    for line in text.encode().split(b"\n"):
-        if not line:
-            continue
+    for line in text.encode().split(b"\n") if text else []:  # an empty line is a paragraph as well
         digest = hashlib.blake2b(line, digest_size=32).digest()
         wide = [(w + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % 2**64 for k, w in enumerate(wide)]
         own = [word_hash(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", line)]
