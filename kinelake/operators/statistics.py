@@ -18,16 +18,18 @@ STATIC = 0.01
 LIMIT = 100_000
 #: cells that a group's values are cut into by a sketch where they are more, and the sketch's relative error
 GRID, ACCURACY = 256, 10_000
+#: a round cannot leave fewer values than some cells hold
+FEWEST = 16
 
 
 def quantiles(pool: DataFrame, by: list[str], few: bool = True, limit: int = LIMIT) -> DataFrame:
     """(by, n, q01, q99): exact quantiles by linear interpolation for each group; null keys are a group like others.
 
     The values are written once. Groups of at most ``limit`` values are ranked as they are. Else each end of a group has
-    bounds, at first the least and the greatest value: one scan counts what lies below and between them and cuts the
-    values between by a mergeable sketch, and the cells around the wanted rank are the next bounds, so each round leaves
-    some 4 / ``GRID`` of the values, until at most ``limit`` are left or all that are left are equal. Ranks follow from
-    running counts. So no task holds a group, or more than ``limit`` different values of it.
+    bounds, at first the least and the greatest value: one scan counts what lies below, at and between them and cuts the
+    values strictly between by a mergeable sketch, and the cells around the wanted rank are the next bounds, so each round
+    leaves some 4 / ``GRID`` of the values, or makes a value that fills cells a bound, until at most ``limit`` are left.
+    Ranks follow from running counts. So no task ranks a group, or more than ``limit`` different values of it.
     ``few`` says that the groups are a fixed set, such as components by axis, so that their bounds can be broadcast.
     """
     kept = written(pool.filter(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value")), "pool")
@@ -44,20 +46,21 @@ def quantiles(pool: DataFrame, by: list[str], few: bool = True, limit: int = LIM
     own = [*by, "k", "n", "at", "part", "a", "z"]
     while True:
         ends = written(ends, "bounds")
-        inside = (F.col("value") >= F.col("a")) & (F.col("value") <= F.col("z"))
+        inside = (F.col("value") > F.col("a")) & (F.col("value") < F.col("z"))
         grid = F.percentile_approx(F.when(inside, F.col("value")), [k / GRID for k in range(GRID + 1)], ACCURACY)
-        seen = written(_beside(kept, ends, by, few).groupBy(*own).agg(F.count_if(F.col("value") < F.col("a")).alias("below"), F.count_if(inside).alias("m"), grid.alias("cells")), "cells")
-        if (seen.filter("a < z").agg(F.max("m")).first()[0] or 0) <= limit:
+        counts = F.count_if(F.col("value") < F.col("a")).alias("below"), F.count_if(F.col("value") == F.col("a")).alias("least"), F.count_if(inside).alias("m")
+        seen = written(_beside(kept, ends, by, few).groupBy(*own).agg(*counts, grid.alias("cells")), "cells")
+        if (seen.agg(F.max("m")).first()[0] or 0) <= max(limit, FEWEST):
             break
-        # the cells of both wanted ranks, and one more on each side for the sketch's error
-        low = F.greatest(F.floor((F.col("at") - F.col("below")) * GRID / F.col("m")) - 1, F.lit(0)).cast("int")
-        high = F.least(F.ceil((F.col("at") + 2 - F.col("below")) * GRID / F.col("m")) + 1, F.lit(GRID)).cast("int")
-        # the outermost cells are the bounds themselves: a sketch need not hold the least and the greatest value
-        a, z = F.when(low == 0, F.col("a")).otherwise(F.get("cells", low)), F.when(high == GRID, F.col("z")).otherwise(F.get("cells", high))
-        ready = F.col("m") <= limit
-        ends = seen.select(*own[:-2], F.when(ready, F.col("a")).otherwise(a).alias("a"), F.when(ready, F.col("z")).otherwise(z).alias("z"))
-
-    bounds = seen.drop("cells", "m")
+        # the cells of both wanted ranks, and one more on each side for the sketch's error; beyond them the bounds stay
+        rank = F.col("at") - F.col("below") - F.col("least")
+        low = (F.floor(rank * GRID / F.col("m")) - 1).cast("int")
+        high = (F.ceil((rank + 2) * GRID / F.col("m")) + 1).cast("int")
+        open_ = F.col("m") > max(limit, FEWEST)
+        a, z = F.when(open_ & (low > 0), F.get("cells", F.least(low, F.lit(GRID)))).otherwise(F.col("a")), F.when(open_ & (high < GRID), F.get("cells", F.greatest(high, F.lit(0)))).otherwise(F.col("z"))
+        ends = seen.select(*own[:-2], a.alias("a"), z.alias("z"))
+
+    bounds = seen.drop("cells", "m", "least")
     counted = _beside(kept, bounds, by, few).filter("value >= a and value <= z").groupBy(*own, "below", "value").agg(F.count("*").alias("c"))
     running = Window.partitionBy(*by, "k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("upto", F.col("below") + F.sum("c").over(running))
