@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -111,5 +112,9 @@ class MessageLog(DataSource):
 
 def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
     """The log as a stream; ``schema`` may add ``at``, the offset."""
-    spark.dataSource.register(MessageLog)
+    try:
+        spark.dataSource.register(MessageLog)
+    except AnalysisException as e:  # the session this one was made of has it
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
     return spark.readStream.format("message_log").schema(schema).option("path", path).load()
