@@ -117,7 +117,7 @@ z AS (SELECT *, 2 * (value - low[1]) / (high[1] - low[1]) - 1 AS x, 2 * (value /
 
 
 @query(f"""WITH {_SERVED} SELECT CAST(client AS VARCHAR) AS client, ordinal, id AS request_id,
-  CASE WHEN from_ IS NOT NULL THEN {r6s('(0.5 * x + 0.25 * y + 1) / 2 * (high[1] - low[1]) + low[1]')} END AS a, CASE WHEN from_ IS NOT NULL THEN {r6s('(x - y + 1) / 2 * (high[2] - low[2]) + low[2]')} END AS b FROM z""")
+  CASE WHEN from_ IS NOT NULL THEN {r6s('(0.4871317173137 * x + 0.2313193931937 * y + 1) / 2 * (high[1] - low[1]) + low[1]')} END AS a, CASE WHEN from_ IS NOT NULL THEN {r6s('(0.9173317331713 * x - 0.7717131913173 * y + 1) / 2 * (high[2] - low[2]) + low[2]')} END AS b FROM z""")
 def worker_stream(spark, d):
     """Requests answered by a server that keeps each client's statistics: purchases bring new ones, all else observations."""
     k, setup = F.col("event_id"), F.col("event_type") == "purchase"
@@ -131,7 +131,7 @@ def worker_stream(spark, d):
 
 
 def _linear(states):
-    return np.stack([0.5 * states[:, 0] + 0.25 * states[:, 1], states[:, 0] - states[:, 1]], axis=1)
+    return np.stack([0.4871317173137 * states[:, 0] + 0.2313193931937 * states[:, 1], 0.9173317331713 * states[:, 0] - 0.7717131913173 * states[:, 1]], axis=1)
 
 
 @query("""WITH r AS (SELECT user_id % 20 AS run, event_id % 16 AS rank FROM events WHERE event_type = 'purchase'), n AS (SELECT run, count(DISTINCT rank) AS n FROM r GROUP BY 1)
