@@ -105,7 +105,7 @@ def broker_late(spark, d):
     delay = int(last[0] - last[1]) + 60  # the messages of all days come at once
     # the first mark moves the watermark behind all messages, the second one starts the batch that sees it
     marks = spark.createDataFrame([(0, "end", -k, float(last[0] + delay + k), "z" * k) for k in (1, 2)], "queue long, kind string, id long, ts double, arrival string")
-    out = replay(spark, rows.unionByName(marks), lambda m: broker.dispatch_late(m, f"{delay} seconds"), "late", ("arrival", "id"), alone=1)
+    out = replay(spark, rows.unionByName(marks), lambda m: broker.dispatch_late(m, delay), "late", ("arrival", "id"), alone=1)
     return out.select("queue", "request_id", "worker_id")
 
 
