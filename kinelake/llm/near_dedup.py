@@ -5,7 +5,8 @@ circularly by k for coordinate k, so ``h_k(S) = min over s of pi(sigma(s) + k)``
 candidate pairs, which full shingle sets confirm. Rows with equal sets are one class from the start, so copies are
 never expanded into pairs. In each band bucket every class is compared with the bucket's two leaders. Classes of larger
 buckets that are then in different components go an exact way, a prefix filter on their rarest shingles, so that a
-bucket of many documents around one shared passage is not expanded into its pairs. A link between two members of one
+bucket of many documents around one shared passage is not expanded into its pairs. Holders of a frequent shingle meet in
+small deals first, and in larger ones only where components are still apart. A link between two members of one
 component could not change the result, so the components hold all links found by banding.
 
 Sets are compared by 64-bit hashes of shingles, which are made of strong 64-bit hashes of words: two given sets that
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ BANDS, ROWS = 30, 5
 SIZES = 64
 #: tasks that the classes of one bucket are dealt to
 SALTS = 16
+#: holders of a shingle that meet at first; eight times as many in each further round
+DEAL = 64
 _U32 = np.uint32
 _SIGN_SCHEMA = "doc_id long, file_key long, row_at long, n_shingles long, set_key binary, bands array<long>"
 _SET_SCHEMA = "cid long, shingles array<long>"
@@ -145,8 +149,8 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.least(F.floor(F.ln(n.cast("double")) / (math.log(100 / percent) + 1e-9)), F.lit(SIZES - 1)) if percent < 100 else F.lit(0)
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, component_a, component_b) of different components that may be similar enough; loses none.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (cid, component, n, at, s, band): the rarest shingles of each set that one of another component may share.
 
     Shingles are ordered by how many sets hold them, those of one component only first. Similar sets share a shingle
     among the first ``n - ceil(n * percent / 100) + 1`` of both, and at the first shared one enough must remain in
@@ -159,13 +163,50 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     ranked = held.join(common, "s").groupBy("cid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "s"))).alias("t"))
     ranked = ranked.withColumn("own", F.col("n") - F.size("t")).withColumn("use", F.expr(f"n - (n * {int(percent)} + 99) div 100 + 1 - own")).filter("use > 0")
     firsts = ranked.select("cid", "component", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(use as int))")).alias("k", "e"))
-    firsts = written(firsts.select("cid", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s"), _size_class(F.col("n"), percent).cast("int").alias("band")))
-    one, two = (firsts.select("s", "band", *(F.col(c).alias(c + side) for c in ("cid", "component", "n", "at"))) for side in ("_a", "_b"))
-    # the larger set of a pair is in the band of the smaller or in the next one
-    one = one.select("s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "cid_a", "component_a", "n_a", "at_a")
+    return written(firsts.select("cid", "component", "n", (F.col("own") + F.col("k") + 1).alias("at"), F.col("e.s").alias("s"), _size_class(F.col("n"), percent).cast("int").alias("band")))
+
+
+def _owned(firsts: DataFrame) -> DataFrame:
+    """The rows of shingles that several components hold, with ``size`` (holders) and ``main``: whether the row is of the
+    component with most holders, which need not meet among themselves."""
+    parts = firsts.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
+    return firsts.join(parts.filter("parts > 1").select("s", "size", F.col("top.component").alias("top")), "s").withColumn("main", F.col("component") == F.col("top")).drop("top")
+
+
+def _prefix_pairs(owned: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, component_a, component_b) of different components, of the same ``deal`` of a shingle, that may be
+    similar enough; loses none of these."""
+    one, two = (owned.select("s", "deal", "band", *(F.col(c).alias(c + side) for c in ("cid", "component", "n", "at", "main"))) for side in ("_a", "_b"))
+    one = one.filter("not main_a").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     fits = f"(1 + least(n_a - at_a, n_b - at_b)) * {100 + int(percent)} >= (n_a + n_b) * {int(percent)}"
-    pairs = one.join(two, ["s", "band"]).filter(f"component_a <> component_b and (n_a < n_b or (n_a = n_b and cid_a < cid_b)) and n_a * 100 >= n_b * {int(percent)} and {fits}")
-    return pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "component_a", "component_b").distinct()
+    pairs = one.join(two, ["s", "deal", "band"]).filter(f"component_a <> component_b and (main_b or cid_a < cid_b) and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {int(percent)} and {fits}")
+    return pairs.select(*(f("cid_a", "cid_b").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))), *(f("component_a", "component_b").alias(f"component_{n}") for f, n in ((F.least, "a"), (F.greatest, "b")))).distinct()
+
+
+def _prefix_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b): components (column of ``sets``) to be joined, as two of their sets are similar enough. No two
+    components with such sets stay apart.
+
+    The holders of a frequent shingle meet in deals, of about ``DEAL`` at first, which are few pairs. Near copies of one
+    text are mostly joined by that. Shingles still held by several components go on with larger deals, until one deal is
+    all holders of a shingle, so every pair of sets meets unless it is in one component by then.
+    """
+    owned, deal, found = written(_owned(_prefixes(sets, percent))), DEAL, []
+    while True:
+        dealt = owned.withColumn("deal", F.pmod(F.xxhash64("cid", "s"), F.ceil(F.col("size") / deal)))
+        pairs = written(_prefix_pairs(dealt, percent))
+        found.append(written(_confirmed(pairs, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))))
+        release(pairs)
+        # a shingle of one deal is done
+        rest = owned.filter(F.col("size") > deal).drop("size", "main")
+        if rest.isEmpty():
+            break
+        joined = components(found[-1]).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        before, owned = owned, written(_owned(rest.join(joined, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")))
+        release(before)
+        deal *= 8
+    release(owned)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -200,10 +241,9 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
     split = split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     salted = owned.withColumn("salt", F.pmod(F.floor(F.col("cid") / SIZES), F.lit(SALTS)))  # a large bucket goes to several tasks
     open_ = salted.join(split, ["bucket", "salt"], "left_semi").select("cid", "component").distinct()
-    rest = written(_prefix_pairs(open_.join(sets, "cid"), percent))
-    release(owned)
-    more = written(_confirmed(rest, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
-    release(rest, sets)
+    opened = written(open_.join(sets, "cid"))
+    more = _prefix_links(opened, percent)
+    release(owned, opened, sets)
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
 
     # linked classes and the first row of their component, in the order of doc_id; any other class is its own
