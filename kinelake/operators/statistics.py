@@ -22,7 +22,7 @@ GRID, ACCURACY = 256, 10_000
 FEWEST = 16
 
 
-def quantiles(pool: DataFrame, by: list[str], few: bool = True, limit: int = LIMIT) -> DataFrame:
+def quantiles(pool: DataFrame, by: list[str], few: bool = True, limit: int = LIMIT, accuracy: int | None = None) -> DataFrame:
     """(by, n, q01, q99): exact quantiles by linear interpolation for each group; null keys are a group like others.
 
     The values are written once. Groups of at most ``limit`` values are ranked as they are. Else each end of a group has
@@ -30,8 +30,10 @@ def quantiles(pool: DataFrame, by: list[str], few: bool = True, limit: int = LIM
     values strictly between by a mergeable sketch, and the cells around the wanted rank are the next bounds, so each round
     leaves some 4 / ``GRID`` of the values, or makes a value that fills cells a bound, until at most ``limit`` are left.
     Ranks follow from running counts. So no task ranks a group, or more than ``limit`` different values of it.
-    ``few`` says that the groups are a fixed set, such as components by axis, so that their bounds can be broadcast.
+    ``few`` says that the groups are a fixed set, such as components by axis, so that their bounds can be broadcast;
+    ``accuracy`` is the former name of ``limit``.
     """
+    limit = limit if accuracy is None else accuracy
     kept = written(pool.filter(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value")), "pool")
     sizes = kept.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("z")).filter("n > 0")
     if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
